@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, warc
+from vartide.llm import common, packing, warc
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens, each closed by token 2."""
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +41,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_warc": op7_warc}
+QUERIES = {"op1_pack": op1_pack, "op7_warc": op7_warc}
 ORACLE_SQL: dict[str, str] = {}
