@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, packing, warc
+from vartide.llm import common, media, packing, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,18 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as samples behind a media reference: parsed, resolved by digest, described.
+
+    The text takes part as a payload only; its document is a figure that refers to it by digest."""
+    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    figure = F.concat(F.lit('<figure><img src="digest:'), F.sha2(F.encode("text", "UTF-8"), 256), F.lit('"><figcaption>document text</figcaption></figure>'))
+    sequences = media.parse_sequences(docs.select("doc_id", figure.alias("html")), "doc_id")
+    store = common.materialize(media.store_samples(docs), "op4")  # a table, so that the join can split a hot digest
+    resolved = media.resolve(sequences, store, "doc_id")
+    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back: record type, payload size and digest as read."""
     path = common.scratch_path(spark, "op7")
@@ -41,5 +53,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op7_warc": op7_warc}
+QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op7_warc": op7_warc}
 ORACLE_SQL: dict[str, str] = {}
