@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vartide.llm import common
+
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,7 +44,8 @@ def mark_duplicates(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .filter("copies > 1 and winner is not null")
         .select("payload_digest", "winner")
     )
-    joined = rows.join(winners, "payload_digest", "left")
+    # a table: between two plain exchanges the join can split a hot digest
+    joined = rows.join(common.materialize(winners, "winners"), "payload_digest", "left")
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
