@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, media, packing, warc
+from vartide.llm import common, media, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -37,6 +37,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each document and the verdict of the label model."""
+    measured = common.materialize(quality.measure(common.table(spark, sf_dir, "documents")), "op6")
+    f = [F.col(f"f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality.judge(measured).select("doc_id", *f, "base_failed", "kept", "p_good")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back: record type, payload size and digest as read."""
     path = common.scratch_path(spark, "op7")
@@ -53,5 +60,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op7_warc": op7_warc}
+QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op6_quality": op6_quality, "op7_warc": op7_warc}
 ORACLE_SQL: dict[str, str] = {}
