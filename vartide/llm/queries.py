@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, media, packing, quality, warc
+from vartide.llm import common, licenses, media, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -37,6 +37,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of each document's whole text."""
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of each document and the verdict of the label model."""
     measured = common.materialize(quality.measure(common.table(spark, sf_dir, "documents")), "op6")
@@ -60,5 +65,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op6_quality": op6_quality, "op7_warc": op7_warc}
+QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc}
 ORACLE_SQL: dict[str, str] = {}
