@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, licenses, media, packing, quality, warc
+from vartide.llm import common, licenses, linededup, media, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -65,5 +65,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the line runs that stand earlier: counts and the digest of what is left."""
+    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    f = F.col("line_dedup")
+    return linededup.delete_repeats(docs).select("doc_id", f["n_lines"].alias("n_lines"), f["n_removed"].alias("n_removed"), f["sha256"].alias("kept_sha256"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines}
 ORACLE_SQL: dict[str, str] = {}
