@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, licenses, linededup, media, packing, quality, warc
+from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text as samples behind a media reference: parsed, resolved by digest, described.
 
@@ -72,5 +77,5 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.delete_repeats(docs).select("doc_id", f["n_lines"].alias("n_lines"), f["n_removed"].alias("n_removed"), f["sha256"].alias("kept_sha256"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines}
+QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines}
 ORACLE_SQL: dict[str, str] = {}
