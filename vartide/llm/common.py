@@ -48,3 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Between phases whose results are written tables: let go of finished stages' shuffle files."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, warc
+from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, repeats, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -77,5 +77,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.delete_repeats(docs).select("doc_id", f["n_lines"].alias("n_lines"), f["n_removed"].alias("n_removed"), f["sha256"].alias("kept_sha256"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that stand elsewhere, too."""
+    return repeats.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
 ORACLE_SQL: dict[str, str] = {}
