@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, repeats, warc
+from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, repeats, secrets, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -30,6 +30,14 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, secrets and the digest of the redacted text of every document."""
+    rules = secrets.forest_rules(secrets.train(secrets.labelled_findings(spark)))
+    f = F.col("secret_scan")
+    redacted = F.sha2(F.encode(F.coalesce(f["text"], F.lit("")), "UTF-8"), 256)
+    return secrets.redact(common.table(spark, sf_dir, "documents"), rules).select("doc_id", f["n_candidates"].alias("n_candidates"), f["n_secrets"].alias("n_secrets"), f["top_score"].alias("top_score"), redacted.alias("redacted_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text as samples behind a media reference: parsed, resolved by digest, described.
 
@@ -82,5 +90,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
 ORACLE_SQL: dict[str, str] = {}
