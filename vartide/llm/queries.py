@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import common, licenses, linededup, media, neardup, packing, quality, repeats, secrets, warc
+from vartide.llm import bpe, common, licenses, linededup, media, neardup, packing, quality, repeats, secrets, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -78,6 +78,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the multilingual ranks, and what they decode to."""
+    docs, ranks = common.table(spark, sf_dir, "documents"), bpe.load_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode(docs, ranks, _pattern(), bpe.cache_of(docs, ranks, _pattern()))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the line runs that stand earlier: counts and the digest of what is left."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -90,5 +96,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
+QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
 ORACLE_SQL: dict[str, str] = {}
