@@ -259,5 +259,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = graph.components(links.unionByName(more))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     named = common.materialize(named, "named")
-    out = sk.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = sk.join(named, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
