@@ -191,9 +191,10 @@ def alone_counts(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
-    """Distinct pairs across components from buckets (band, rep, label, n_shingles, alone, registers).
+    """Pairs across components from buckets (band, rep, label, n_shingles, alone, registers).
 
-    Large buckets are dealt out by pairs of blocks of about BLOCK members."""
+    Large buckets are dealt out by pairs of blocks of about BLOCK members. A pair that meets in several
+    buckets is reported by the first of them only."""
     sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
     rows = buckets.join(sizes, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -202,10 +203,10 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
     rows = rows.repartition("band", "cell").sortWithinPartitions("band", "cell", "rep")
     names = ["rep", "label", "n_shingles", "alone", "block"]
 
-    def pairs_of(held: list[dict], cell: tuple[int, int]) -> list[tuple[int, int]]:
+    def pairs_of(held: list[dict], band: int, cell: tuple[int, int]) -> list[tuple[int, int]]:
         rep, label, n, alone, block = (np.array([r[c] for r in held]) for c in names)
         regs = np.frombuffer(b"".join(r["registers"] for r in held), np.int16).reshape(-1, REGISTERS)
-        out, rest = [], n - alone
+        out, rest, this = [], n - alone, bands(regs[0]).index(band)
         for k in range(len(held)):
             most = np.minimum(rest[k], rest[k + 1 :])
             ok = (label[k + 1 :] != label[k]) & (100 * most >= percent * (n[k] + n[k + 1 :] - most))
@@ -215,7 +216,8 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
             if len(at):
                 x, y = regs[k], regs[at]
                 j = likely_similarity((x > y).sum(1), (x < y).sum(1), np.full(len(at), n[k]), n[at])
-                out += [(int(min(rep[k], rep[i])), int(max(rep[k], rep[i]))) for i in at[j >= least]]
+                first = (x == y).reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1)
+                out += [(int(min(rep[k], rep[i])), int(max(rep[k], rep[i]))) for i in at[(j >= least) & (first == this)]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,14 +227,14 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
             for r in b.to_pylist():
                 at = (r["band"], (r["cell"]["i"], r["cell"]["j"]))
                 if at != of:
-                    out += pairs_of(held, of[1]) if len(held) > 1 else []
+                    out += pairs_of(held, *of) if len(held) > 1 else []
                     of, held = at, []
                 held.append(r)
             yield _batch(out, [pa.int64()] * 2, ["a", "b"])
         if len(held) > 1:
-            yield _batch(pairs_of(held, of[1]), [pa.int64()] * 2, ["a", "b"])
+            yield _batch(pairs_of(held, *of), [pa.int64()] * 2, ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
