@@ -1 +1 @@
-"""Tail-forecast recalibration and audit on Spark."""
+"""Streaming twins of sequential operators. The batch operators remain the reference; a replay gives equal rows."""
