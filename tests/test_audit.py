@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 from vartide.functions import numeric, stats
 from vartide.operators import conformal, fit, forecast, inference, recalibrate, returns, simulate
 from vartide.operators import distributions as D
+from tests_support import series
 
 
 def values(spark, **columns):
     return spark.range(1).select(*[c.cast("double").alias(n) if n[0] != "_" else c.alias(n) for n, c in columns.items()]).first()
 
 
-def series(spark, n=400, assets=2, seed=1):
-    rng = np.random.default_rng(seed)
-    rows = [(f"a{k}", t, float(x)) for k in range(assets) for t, x in enumerate(rng.standard_normal(n) * 0.01)]
-    d = spark.createDataFrame(rows, "asset string, t int, r double")
-    return d.select("asset", F.date_add(F.lit("2020-01-01"), F.col("t")).alias("date"), "r", F.col("t").cast("long").alias("pos"))
-
-
 def test_tail_probabilities(spark):
     v = values(spark, a=stats.chi2_sf1(F.lit(3.841458820694124)), b=stats.chi2_sf2(F.lit(5.991464547107979)), c=stats.normal_cdf(F.lit(-2.3263478740408408)), d=stats.erf(F.lit(0.0)), e=stats.chi2_sf1(F.lit(0.0)), f=stats.erf(F.lit(9.0)))
     assert v.a == pytest.approx(0.05, abs=1e-12) and v.b == pytest.approx(0.05, abs=1e-12) and v.c == pytest.approx(0.01, abs=1e-12)
