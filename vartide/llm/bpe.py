@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vartide.llm import common
 
-CACHE_WORDS, FOLD_BYTES, SLOTS = 1 << 18, 64, 1 << 16
+CACHE_WORDS, FOLD_BYTES, SLOTS = 1 << 16, 64, 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +152,8 @@ def cache_of(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int =
     top = common.materialize(word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     folded = fold_words(top.repartition(parts, "word"), ranks).select("word", F.array_join("ids", ",").alias("ids"))
-    return {bytes(w).decode(): np.array(ids.split(","), np.int64).astype("<u4").tobytes() for w, ids in folded.collect()}
+    rows = folded.toArrow()  # at most `most` short rows
+    return {w.as_py().decode(): np.array(ids.as_py().split(","), np.int64).astype("<u4").tobytes() for w, ids in zip(rows["word"], rows["ids"], strict=True)}
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
