@@ -21,6 +21,11 @@ def d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def level(alpha: float | Column) -> Column:
+    """A level that is one number or differs from row to row."""
+    return alpha if isinstance(alpha, Column) else d(alpha)
+
+
 def z_value(level: float) -> float:
     return NormalDist().inv_cdf(level)
 

@@ -22,31 +22,33 @@ def align(returns: DataFrame, forecasts: DataFrame, keys: tuple[str, ...] = ("as
     return joined.withColumn("pos", F.row_number().over(Window.partitionBy(*PAIR).orderBy("date")) - 1)
 
 
-def split_paths(paths: DataFrame, split: float = 0.7, warmup: int = 0) -> DataFrame:
+def split_paths(paths: DataFrame, split: float | Column = 0.7, warmup: int = 0, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Add score, n, n_cal, is_cal; rows before min(warmup, n_cal / 4) leave the calibration part (role 'skip')."""
-    w = Window.partitionBy(*PAIR)
+    w = Window.partitionBy(*keys)
     out = paths.withColumns({"n": F.count("*").over(w), "score": F.col("q") - F.col("r")})
-    out = out.withColumn("n_cal", F.floor(F.col("n").cast("double") * stats.d(split)).cast("int"))
+    out = out.withColumn("n_cal", F.floor(F.col("n").cast("double") * stats.level(split)).cast("int"))
     skip = F.least(F.lit(warmup), F.floor(F.col("n_cal") / 4).cast("int"))
     return out.withColumn("role", F.when(F.col("pos") >= F.col("n_cal"), "test").when(F.col("pos") < skip, "skip").otherwise("cal"))
 
 
-def fit_static(parts: DataFrame, alpha: float = 0.01, method: str = "linear") -> DataFrame:
+def fit_static(parts: DataFrame, alpha: float | Column = 0.01, method: str = "linear", keys: tuple[str, ...] = PAIR) -> DataFrame:
     """model, asset, q_v from calibration scores: `linear` (type-7 quantile), `order` (order statistic of
-    rank ceil((n+1)(1-alpha))) or `hybrid` (type-7 at that rank's level)."""
-    cal = parts.filter("role = 'cal'").groupBy(*PAIR)
-    if method == "linear":
+    rank ceil((n+1)(1-alpha))) or `hybrid` (type-7 at that rank's level). alpha may be one of the keys."""
+    cal = parts.filter("role = 'cal'").groupBy(*keys)
+    if method == "linear" and not isinstance(alpha, Column):
         return cal.agg(F.percentile("score", F.lit(1.0 - alpha)).alias("q_v"))
     s = cal.agg(F.array_sort(F.collect_list("score")).alias("s"))
-    n, rank = F.size("s"), stats.order_rank(F.size("s"), stats.d(alpha))
+    n, rank = F.size("s"), stats.order_rank(F.size("s"), stats.level(alpha))
+    if method == "linear":
+        return s.select(*keys, stats.lerp_sorted(F.col("s"), 1.0 - stats.level(alpha)).alias("q_v"))
     if method == "order":
-        return s.select(*PAIR, F.element_at("s", rank).alias("q_v"))
-    return s.select(*PAIR, stats.lerp_sorted(F.col("s"), rank.cast("double") / n.cast("double")).alias("q_v"))
+        return s.select(*keys, F.element_at("s", rank).alias("q_v"))
+    return s.select(*keys, stats.lerp_sorted(F.col("s"), rank.cast("double") / n.cast("double")).alias("q_v"))
 
 
-def apply_shift(parts: DataFrame, params: DataFrame) -> DataFrame:
+def apply_shift(parts: DataFrame, params: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """Test rows with var_raw, var_corr, their violations and pinball losses' arguments; params is short."""
-    test = parts.filter("role = 'test'").join(params, list(PAIR))
+    test = parts.filter("role = 'test'").join(params, list(keys))
     return corrected(test.withColumns({"var_raw": -F.col("q"), "var_corr": -F.col("q") + F.col("q_v")}))
 
 
@@ -55,8 +57,8 @@ def corrected(test: DataFrame) -> DataFrame:
     return test.withColumns({"viol_raw": hit("var_raw"), "viol_corr": hit("var_corr")})
 
 
-def transitions(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(f"prev_{column}", F.lag(column).over(Window.partitionBy(*PAIR).orderBy("pos")))
+def transitions(df: DataFrame, column: str, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    return df.withColumn(f"prev_{column}", F.lag(column).over(Window.partitionBy(*keys).orderBy("pos")))
 
 
 def regime(q_v: Column, mean_var: Column, limit: float = 1.0) -> tuple[Column, Column]:
@@ -65,12 +67,12 @@ def regime(q_v: Column, mean_var: Column, limit: float = 1.0) -> tuple[Column, C
     return ratio, F.when(ratio > limit, "replacement").otherwise("signal-preserving")
 
 
-def backtest(test: DataFrame, alpha: float, keys: tuple[str, ...] = PAIR) -> DataFrame:
+def backtest(test: DataFrame, alpha: float | Column, keys: tuple[str, ...] = PAIR) -> DataFrame:
     """One row per pair: counts, rates, coverage tests, zones and scores before and after correction."""
-    marked = transitions(transitions(test, "viol_raw"), "viol_corr")
-    last = Window.partitionBy(*PAIR).orderBy(F.col("pos").desc())
+    marked = transitions(transitions(test, "viol_raw", keys), "viol_corr", keys)
+    last = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
     marked = marked.withColumn("_age", F.row_number().over(last))
-    a, aggs = stats.d(alpha), [F.count("*").alias("n_test"), F.first("q_v").alias("q_v"), F.avg(F.abs("var_raw")).alias("width_raw"), F.avg(F.abs("var_corr")).alias("width_corr")]
+    a, aggs = stats.level(alpha), [F.count("*").alias("n_test"), F.first("q_v").alias("q_v"), F.avg(F.abs("var_raw")).alias("width_raw"), F.avg(F.abs("var_corr")).alias("width_corr")]
     for s in ("raw", "corr"):
         v, p = F.col(f"viol_{s}"), F.col(f"prev_viol_{s}")
         aggs += [F.sum(v).alias(f"viol_{s}"), F.sum(F.when(F.col("_age") <= 250, v)).alias(f"last_{s}"), F.avg(stats.pinball(F.col("r"), -F.col(f"var_{s}"), a)).alias(f"qs_{s}")]
@@ -94,10 +96,11 @@ def backtest(test: DataFrame, alpha: float, keys: tuple[str, ...] = PAIR) -> Dat
     return out.withColumns({"ratio": ratio, "regime": kind})
 
 
-def static_audit(paths: DataFrame, alpha: float = 0.01, split: float = 0.7, warmup: int = 0, method: str = "linear") -> DataFrame:
-    """The static audit of every pair: correction fitted on the first part, everything measured on the rest."""
-    parts = split_paths(paths, split, warmup)
-    return backtest(apply_shift(parts, fit_static(parts, alpha, method)), alpha)
+def static_audit(paths: DataFrame, alpha: float | Column = 0.01, split: float | Column = 0.7, warmup: int = 0, method: str = "linear", keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """The static audit of every pair: correction fitted on the first part, everything measured on the rest.
+    Further keys (a column alpha, say) put several audits of a pair into one plan."""
+    parts = split_paths(paths, split, warmup, keys)
+    return backtest(apply_shift(parts, fit_static(parts, alpha, method, keys), keys), alpha, keys)
 
 
 def rolling_qv(paths: DataFrame, alpha: float = 0.01, window: int = 250, method: str = "linear") -> DataFrame:

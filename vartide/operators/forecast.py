@@ -55,6 +55,21 @@ def standard_set(returns: DataFrame, alpha: float = 0.01, window: int = 250) ->
     return long.unionByName(rolling_normal(returns, alpha, window).drop("es"))
 
 
+def levels_set(returns: DataFrame, alphas: tuple[float, ...], window: int = 250) -> DataFrame:
+    """The models of `standard_set` at several levels, with a column alpha: one sliding pass gives all quantiles,
+    mean and deviation; the variants are arithmetic on one row."""
+    w = trailing(window)
+    q = F.percentile("r", F.array(*[F.lit(float(a)) for a in alphas])).over(w)
+    base = returns.select("asset", "date", "pos", "r", q.alias("qs"), F.avg("r").over(w).alias("m"), F.coalesce(F.stddev_samp("r").over(w), stats.d(0)).alias("s"))
+    cells = []
+    for k, a in enumerate(alphas):
+        h = exact(F.coalesce(F.get("qs", F.lit(k)), stats.d(0)))
+        normal = exact(F.coalesce(F.col("m") + F.col("s") * stats.z_value(a), stats.d(0)))
+        variants = (("hist_sim", h), ("scaled_05", exact(h * 0.5)), ("scaled_12", exact(h * 1.2)), ("const_zero", stats.d(0)), ("norm_roll", normal))
+        cells += [F.struct(F.lit(name).alias("model"), stats.d(a).alias("alpha"), v.alias("q")) for name, v in variants]
+    return base.select("asset", "date", "pos", "r", F.explode(F.array(*cells)).alias("v")).select("v.model", "v.alpha", "asset", "date", "pos", "r", "v.q")
+
+
 def recursive_vol(series: DataFrame, decay: float = 0.94, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
     """keys and `sigma`, the array of recursive EWMA volatilities (start: variance of the first 20), by a fold."""
     rs = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("rs"))

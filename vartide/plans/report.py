@@ -104,13 +104,9 @@ ALPHAS = (0.01, 0.025, 0.05, 0.1)
 
 
 def full_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: order-statistic audits of every model, asset and level, levels side by side in one plan."""
-    out = None
-    r = panels.panel(spark, sf_dir)
-    for a in ALPHAS:
-        one = conformal.static_audit(forecast.standard_set(r, a, W), a, method="order").withColumn("alpha", F.lit(a))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The fact table: order-statistic audits of every model, asset and level in one plan."""
+    every = forecast.levels_set(panels.panel(spark, sf_dir), ALPHAS, W)
+    return conformal.static_audit(every, F.col("alpha"), method="order", keys=("alpha", *PAIR))
 
 
 def _facts_sql() -> str:
@@ -207,11 +203,8 @@ def _split_case(split: float) -> str:
     "every",
 )
 def calibration_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, out = paths(spark, sf_dir), None
-    for s in (0.5, 0.6, 0.7, 0.8):
-        one = conformal.static_audit(p, ALPHA, s).withColumn("split", F.lit(str(s)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    every = paths(spark, sf_dir).withColumn("split", F.explode(F.array(*[F.lit(str(s)) for s in (0.5, 0.6, 0.7, 0.8)])))
+    return conformal.static_audit(every, ALPHA, F.col("split").cast("double"), keys=("split", *PAIR))
 
 
 @query(
