@@ -40,3 +40,4 @@ def query(shape: Shape | None = None, ctes: str = "", source: str = "", sql: str
 
 from vartide.plans import report  # noqa: E402, F401  registers its queries
 from vartide.plans import fitted  # noqa: E402, F401
+from vartide.plans import datasets  # noqa: E402, F401
