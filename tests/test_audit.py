@@ -185,7 +185,7 @@ def test_small_fits():
 def test_fitted_methods_keep_coverage(spark):
     p = forecast.hist_sim(series(spark, 700, 1, 3), 0.05, 100).filter("pos >= 100").withColumn("pos", F.col("pos") - 100)
     rows = conformal.corrected(fit.recalibrate(conformal.split_paths(p), 0.05)).groupBy("method").agg(F.avg("viol_corr").alias("pi")).collect()
-    assert len(rows) == 4 and all(0.005 <= r.pi <= 0.15 for r in rows)
+    assert len(rows) == 5 and all(0.005 <= r.pi <= 0.15 for r in rows)
     ci = fit.bootstrap_ci(conformal.split_paths(p), 0.05, draws=200).first()
     assert ci.q_lo <= ci.q_v <= ci.q_hi
     again = fit.bootstrap_ci(conformal.split_paths(p), 0.05, draws=200).first()
@@ -217,3 +217,24 @@ def test_daily_bars_plan(spark):
     from vartide.streaming import monitor
 
     assert "event_type" in monitor.daily_bars(spark.readStream.format("rate").load().selectExpr("value as event_id", "timestamp as ts", "'a' as event_type", "cast(value as double) as value")).columns
+
+
+def test_cluster_comparison_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [("m1", "m2", f"a{k}", t, float(x)) for k in range(6) for t, x in enumerate(rng.standard_normal(40) + 0.2)]
+    pairs = spark.createDataFrame(rows, "model_a string, model_b string, asset string, pos int, diff double")
+    got = inference.t_p_value(inference.cluster_dm(pairs).withColumn("dof", (F.col("clusters") - 1).cast("double"))).first()
+    m = np.array([np.mean([r[4] for r in rows if r[2] == f"a{k}"]) for k in range(6)])
+    t = m.mean() / (m.std(ddof=1) / math.sqrt(6))
+    assert got.t == pytest.approx(t) and got.p_value == pytest.approx(2 * numeric.t_cdf(-abs(t), 5))
+    boot = inference.wild_cluster_dm(pairs, 199).first()
+    assert 0 < boot.p_boot <= 1 and boot.t == pytest.approx(t)
+
+
+def test_skew_t_quantiles():
+    rng = np.random.default_rng(7)
+    for xi in (0.7, 1.0, 1.4):
+        z = np.abs(rng.standard_t(6, 300_000))
+        x = np.where(rng.random(len(z)) < xi * xi / (1 + xi * xi), z * xi, -z / xi)
+        for level in (0.05, 0.3, 0.8):
+            assert numeric.skew_t_quantile(level, 6, xi) == pytest.approx(np.quantile(x, level), abs=0.03)

@@ -60,9 +60,23 @@ def _evt_scale(q: np.ndarray, r: np.ndarray, alpha: float, decay: float = 0.94,
     return float(sigma.mean() * var / np.abs(q).mean())
 
 
-def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...] = ("linear_qr", "isotonic", "evt_pot", "gbm_qr")) -> DataFrame:
+def _skew_t(cal: np.ndarray, r: np.ndarray, test: np.ndarray, alpha: float) -> np.ndarray:
+    """Quantiles of the skewed Student regression; of a normal one around the linear fit where it fails."""
+    p = numeric.skew_t_fit(r, *cal.T)
+    if p is None:
+        from statistics import NormalDist
+
+        slope, base = np.polyfit(cal[:, 0], r, 1)
+        return base + slope * test[:, 0] + NormalDist().inv_cdf(alpha) * np.std(r - base - slope * cal[:, 0])
+    df, xi = float(np.exp(np.clip(p[5], -5, 5))) + 2, float(np.exp(np.clip(p[6], -3, 3)))
+    scale = np.exp(np.clip(p[2] + p[3] * test[:, 1] + p[4] * test[:, 2], -10, 10))
+    return p[0] + p[1] * test[:, 0] + scale * numeric.skew_t_quantile(alpha, df, xi)
+
+
+def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...] = ("linear_qr", "isotonic", "evt_pot", "gbm_qr", "skew_t")) -> DataFrame:
     """Test rows by method with var_corr: quantile regression (pinball loss), isotonic coverage, peaks over
-    threshold on standardised returns, boosted quantile stumps on forecast and lagged volatilities."""
+    threshold on standardised returns, boosted quantile stumps and a skewed Student regression on forecast and
+    lagged volatilities."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -82,8 +96,8 @@ def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...]
             else:
                 past = pd.Series(pdf.r.to_numpy())
                 vol = np.column_stack([pdf.q, past.rolling(5, min_periods=2).std().shift().fillna(0), past.rolling(20, min_periods=2).std().shift().fillna(0)])
-                cut = (pdf.role == "cal").to_numpy(), (pdf.role == "test").to_numpy()
-                v = -numeric.boosted_quantile(vol[cut[0]], r, alpha)(vol[cut[1]])
+                a, b = vol[(pdf.role == "cal").to_numpy()], vol[(pdf.role == "test").to_numpy()]
+                v = -(numeric.boosted_quantile(a, r, alpha)(b) if method == "gbm_qr" else _skew_t(a, r, b, alpha))
             out.append(test[["model", "asset", "pos", "r"]].assign(method=method, var_raw=-tq, var_corr=v))
         return pd.concat(out)[["model", "asset", "pos", "r", "method", "var_raw", "var_corr"]]
 

@@ -108,3 +108,50 @@ def wild_cluster_kupiec(facts: DataFrame, draws: int = 999, alpha: float = 0.01,
     real = per.groupBy(*keys).agg(F.sum("x").alias("x0"), F.sum("n").alias("n0")).withColumn("lr0", stats.kupiec_lr(F.col("x0"), F.col("n0"), stats.d(alpha)))
     joined = star.join(real, list(keys))
     return joined.groupBy(*keys).agg(F.first("lr0").alias("lr"), F.avg((F.round("lr", 9) >= F.round("lr0", 9)).cast("double")).alias("p_boot"))
+
+
+def _signed(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """rows (with asset) once per draw, with a sign of +1 or -1 from a hash of (seed, draw, asset)."""
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    up = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "asset")), 1, 1) < "8"
+    return drawn.withColumn("sign", F.when(up, 1.0).otherwise(-1.0))
+
+
+def wild_cluster_kupiec_report(facts: DataFrame, draws: int = 999, alpha: float = 0.01, seed: int = 42, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Reports' form: each asset's excess of violations over the level is turned by its sign; p = (hits + 1) / (draws + 1)."""
+    per = facts.select(*keys, "asset", F.col("viol_corr").cast("double").alias("x"), F.col("n_test").cast("double").alias("n"))
+    real = per.groupBy(*keys).agg(F.sum("x").alias("x0"), F.sum("n").alias("n0")).withColumn("lr", stats.kupiec_lr(F.col("x0"), F.col("n0"), stats.d(alpha)))
+    star = _signed(per, draws, seed).groupBy(*keys, "draw").agg(F.sum(alpha * F.col("n") + F.col("sign") * (F.col("x") - alpha * F.col("n"))).alias("x"), F.sum("n").alias("n"))
+    star = star.withColumn("lr_star", stats.kupiec_lr(F.greatest(stats.d(0), F.least(F.round("x", 9), F.col("n"))), F.col("n"), stats.d(alpha)))
+    hits = F.sum((F.round("lr_star", 9) >= F.round("lr", 9)).cast("int"))
+    return star.join(real, list(keys)).groupBy(*keys).agg(F.first("lr").alias("lr"), ((hits + 1) / (draws + 1)).alias("p_boot"))
+
+
+def cluster_dm(pairs: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b")) -> DataFrame:
+    """Comparison by the assets' own mean differences: t over clusters with the number of assets."""
+    means = pairs.groupBy(*keys, "asset").agg(F.avg("diff").alias("m"))
+    g = means.groupBy(*keys).agg(F.count("*").alias("clusters"), F.avg("m").alias("mean_diff"), (F.stddev_samp("m") / F.sqrt(F.count("*").cast("double"))).alias("se"))
+    return g.withColumn("t", F.when(F.col("se") > 0, F.col("mean_diff") / F.col("se")).otherwise(0.0))
+
+
+def t_p_value(df: DataFrame, t: str = "t", dof: str = "dof") -> DataFrame:
+    """df with p_value, two-sided under Student's law (a short table: one row per test)."""
+    from vartide.functions import numeric
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(p_value=[2 * numeric.t_cdf(-abs(a), b) for a, b in zip(pdf[t], pdf[dof], strict=True)])
+
+    return df.mapInPandas(run, df.withColumn("p_value", stats.d(0)).schema)
+
+
+def wild_cluster_dm(pairs: DataFrame, draws: int = 999, seed: int = 42, keys: tuple[str, ...] = ("model_a", "model_b")) -> DataFrame:
+    """Bootstrap of cluster_dm: centred cluster means under random signs; p = (hits + 1) / (draws + 1)."""
+    means = pairs.groupBy(*keys, "asset").agg(F.avg("diff").alias("m"))
+    real = cluster_dm(pairs, keys)
+    centred = means.join(real.select(*keys, "mean_diff"), list(keys)).withColumn("c", F.col("m") - F.col("mean_diff"))
+    star = _signed(centred, draws, seed).groupBy(*keys, "draw").agg(F.avg(F.col("c") * F.col("sign")).alias("d"), (F.stddev_samp(F.col("c") * F.col("sign")) / F.sqrt(F.count("*").cast("double"))).alias("s"))
+    star = star.withColumn("t_star", F.when(F.col("s") > 0, F.col("d") / F.col("s")).otherwise(0.0)).join(real.select(*keys, "t", "se"), list(keys))
+    hits = F.sum((F.round(F.abs("t_star"), 9) >= F.round(F.abs("t"), 9)).cast("int"))
+    out = star.groupBy(*keys).agg(F.first("t").alias("t"), F.first("se").alias("se"), hits.alias("hits"))
+    return out.withColumn("p_boot", F.when(F.col("se") > 0, (F.col("hits") + 1) / (draws + 1)).otherwise(1.0)).drop("hits", "se")

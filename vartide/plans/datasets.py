@@ -13,6 +13,7 @@ from vartide.plans import sql as S
 from vartide.plans.catalog import Shape, query
 from vartide.plans.report import ALPHA, AUDIT_CTES, PAIR, PAIRS_CTE, ROLL, W, full_facts, paths
 from vartide.plans.report import FACTS_SQL as FACTS
+from vartide.plans.report import PANEL_CTES, WC, _losses, _panel_facts, _test_rows
 from vartide.sources import panels
 
 
@@ -166,3 +167,41 @@ def segment_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.ntile(3).over(Window.partitionBy("asset").orderBy("pos"))
     r = panels.panel(spark, sf_dir, "b").withColumn("part", F.when(k == 1, "first").when(k == 2, "second").otherwise("third"))
     return r.groupBy("asset", "part").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"))
+
+
+SIGN = "CASE WHEN md5('42:' || d || ':' || asset)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+CLUSTER = f"{PANEL_CTES}, {PAIRS_CTE}, cm AS (SELECT model_a, model_b, asset, AVG(diff) AS m FROM pr GROUP BY ALL), ct AS (SELECT model_a, model_b, COUNT(*) AS clusters, AVG(m) AS mean_diff, STDDEV_SAMP(m) / SQRT(COUNT(*)) AS se FROM cm GROUP BY ALL), tt AS (SELECT *, CASE WHEN se > 0 THEN mean_diff / se ELSE 0 END AS t FROM ct)"
+
+
+@query(
+    Shape("model", "", "lr p_boot", 7),
+    PANEL_CTES + f""", ax AS (SELECT model, asset, viol_corr::DOUBLE AS x, n_test::DOUBLE AS n FROM bt),
+dr AS (SELECT model, d, ROUND(SUM(0.01::DOUBLE * n + {SIGN} * (x - 0.01::DOUBLE * n)), 9) AS x0, SUM(n) AS n FROM ax, range(1, 1000) g(d) GROUP BY ALL), dc AS (SELECT model, GREATEST(0.0, LEAST(x0, n)) AS x, n FROM dr),
+l1 AS (SELECT model, {S.kupiec_lr('x', 'n', '0.01::DOUBLE')} AS lr FROM dc), l0 AS (SELECT model, {S.kupiec_lr('SUM(x)', 'SUM(n)', '0.01::DOUBLE')} AS lr FROM ax GROUP BY model)""",
+    "(SELECT model, l0.lr AS lr, (SUM(CAST(ROUND(l1.lr, 9) >= ROUND(l0.lr, 9) AS INT)) + 1) / 1000.0::DOUBLE AS p_boot FROM l1 JOIN l0 USING (model) GROUP BY ALL)",
+)
+def wild_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.wild_cluster_kupiec_report(_panel_facts(spark, sf_dir))
+
+
+def _panel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.loss_pairs(_losses(_test_rows(spark, sf_dir, "c", WC)))
+
+
+@query(Shape("model_a model_b", "clusters", "mean_diff se t", 7), CLUSTER, "tt")
+def dm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.cluster_dm(_panel_pairs(spark, sf_dir))
+
+
+@query(Shape("model_a model_b", "clusters", "t p_value", 6))
+def dm_clusters_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.t_p_value(inference.cluster_dm(_panel_pairs(spark, sf_dir)).withColumn("dof", (F.col("clusters") - 1).cast("double")))
+
+
+@query(
+    Shape("model_a model_b", "", "t p_boot", 6),
+    f"{CLUSTER}, dw AS (SELECT model_a, model_b, d, AVG((m - mean_diff) * {SIGN}) AS db, STDDEV_SAMP((m - mean_diff) * {SIGN}) / SQRT(COUNT(*)) AS s FROM cm JOIN ct USING (model_a, model_b), range(1, 1000) g(d) GROUP BY ALL)",
+    "(SELECT model_a, model_b, ANY_VALUE(t) AS t, CASE WHEN ANY_VALUE(se) > 0 THEN (SUM(CAST(ROUND(ABS(CASE WHEN s > 0 THEN db / s ELSE 0 END), 9) >= ROUND(ABS(t), 9) AS INT)) + 1) / 1000.0::DOUBLE ELSE 1 END AS p_boot FROM dw JOIN tt USING (model_a, model_b) GROUP BY ALL)",
+)
+def wild_cluster_dm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.wild_cluster_dm(_panel_pairs(spark, sf_dir))
