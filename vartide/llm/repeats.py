@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vartide.llm import common
 
-MIN_LEN, GRAM, BIN = 200, 48, 512
+MIN_LEN, GRAM, BIN = 200, 48, 4096
 #: Windows hashed at a time; positions of one step fit the low bits of a packed key.
 STEP, BITS = 1 << 20, 21
 PLACES = "gram long, region long, doc_id long, text_key long, at int, start int, stop int"
