@@ -10,7 +10,7 @@ from vartide.functions import stats
 from vartide.operators import conformal, forecast, inference
 from vartide.plans import api
 from vartide.plans import sql as S
-from vartide.plans.catalog import Shape, query
+from vartide.plans.registry import Shape, query
 from vartide.plans.report import ALPHA, AUDIT_CTES, PAIR, PAIRS_CTE, ROLL, W, full_facts, paths
 from vartide.plans.report import FACTS_SQL as FACTS
 from vartide.plans.report import PANEL_CTES, WC, _losses, _panel_facts, _test_rows

@@ -10,7 +10,7 @@ from vartide.functions import stats
 from vartide.operators import conformal, fit, forecast, inference, simulate
 from vartide.operators import distributions as D
 from vartide.plans import sql as S
-from vartide.plans.catalog import Shape, query
+from vartide.plans.registry import Shape, query
 from vartide.plans.report import ALPHA, PAIR, W, paths
 from vartide.sources import panels
 

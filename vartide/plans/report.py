@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from vartide.functions import stats
 from vartide.operators import conformal, forecast, inference, recalibrate, returns
 from vartide.plans import sql as S
-from vartide.plans.catalog import Shape, query
+from vartide.plans.registry import Shape, query
 from vartide.sources import panels
 
 W, ALPHA = 250, 0.01
