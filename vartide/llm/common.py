@@ -34,7 +34,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends there, lost executors cost nothing."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing reads any more."""
+    spark = written.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(written._scratch)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -197,6 +197,29 @@ def bin_groups(sliced: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, group int, region long, reach_left int, reach_right int")
 
 
+def bin_reaches(sliced: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
+    """gram, region, reach_left, reach_right: the farthest reach of each class over its groups in the bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        names, types = ["gram", "region", "reach_left", "reach_right"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        for gram, regions, lefts, rights in _grouped(batches):
+            far: dict[int, tuple[int, int]] = {}
+            for left, right, members in repeats_in_bin(lefts, rights, min_len):
+                for i in members:
+                    a, b = far.get(i, (0, 0))
+                    far[i] = (max(a, left), max(b, right))
+            rows += [(gram, regions[i], a, b) for i, (a, b) in far.items()]
+            if len(rows) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    dealt = sliced.select("gram", "region", "left", "right").repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "gram long, region long, reach_left int, reach_right int")
+
+
 def window_rows(sliced: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """gram, region, window (hash of its bytes), ahead (its bytes before the anchor) of every window."""
 
@@ -237,7 +260,10 @@ def shared_places(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     every = common.materialize(places(docs, min_len), "places")
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).filter("n > 1")
     grams = common.materialize(grams.select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
-    return common.materialize(every.join(grams, "gram"), "shared")
+    common.release(docs.sparkSession)
+    shared = common.materialize(every.join(grams, "gram"), "shared")
+    common.discard(every)  # most places are alone and of no more use
+    return shared
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -252,7 +278,7 @@ def reaches(shared: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) -> DataF
     bins = common.materialize(classes.groupBy("gram").agg((F.count("*") > BIN).alias("hot")), "bins")
     sliced = common.materialize(slice_classes(classes.join(bins, "gram"), docs), "sliced")
     whole = classes.filter("n > 1").select("gram", "region", (F.col("place.at") - F.col("place.start")).alias("reach_left"), (F.col("place.stop") - F.col("place.at")).alias("reach_right"))
-    from_bins = bin_groups(sliced.filter("not hot"), min_len).drop("group")
+    from_bins = bin_reaches(sliced.filter("not hot"), min_len)
     windows = common.materialize(window_rows(sliced.filter("hot"), min_len), "windows")
     twice = common.materialize(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "twice")
     from_windows = windows.join(twice, "window").select("gram", "region", F.col("ahead").alias("reach_left"), (F.lit(min_len) - F.col("ahead")).alias("reach_right"))
