@@ -98,8 +98,13 @@ def backtest(test: DataFrame, alpha: float | Column, keys: tuple[str, ...] = PAI
 
 def static_audit(paths: DataFrame, alpha: float | Column = 0.01, split: float | Column = 0.7, warmup: int = 0, method: str = "linear", keys: tuple[str, ...] = PAIR) -> DataFrame:
     """The static audit of every pair: correction fitted on the first part, everything measured on the rest.
-    Further keys (a column alpha, say) put several audits of a pair into one plan."""
+    Further keys (a column alpha, say) put several audits of a pair into one plan. A linear correction at one
+    level is a window over the same partitioning; the others join their short table of parameters."""
     parts = split_paths(paths, split, warmup, keys)
+    if method == "linear" and not isinstance(alpha, Column):
+        q_v = F.percentile(F.when(F.col("role") == "cal", F.col("score")), F.lit(1.0 - alpha)).over(Window.partitionBy(*keys))
+        test = parts.withColumn("q_v", q_v).filter("role = 'test' and q_v is not null")
+        return backtest(corrected(test.withColumns({"var_raw": -F.col("q"), "var_corr": -F.col("q") + F.col("q_v")})), alpha, keys)
     return backtest(apply_shift(parts, fit_static(parts, alpha, method, keys), keys), alpha, keys)
 
 

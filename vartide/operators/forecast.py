@@ -47,12 +47,8 @@ def constant(returns: DataFrame, value: float = 0.0, model: str = "const_zero")
 
 
 def standard_set(returns: DataFrame, alpha: float = 0.01, window: int = 250) -> DataFrame:
-    """Five native models side by side, in one long table, from one sliding quantile."""
-    base = hist_sim(returns, alpha, window)
-    q = F.col("q")
-    variants = F.array(*[F.struct(F.lit(m).alias("model"), exact(x).alias("q")) for m, x in (("hist_sim", q), ("scaled_05", q * 0.5), ("scaled_12", q * 1.2), ("const_zero", stats.d(0)))])
-    long = base.select("asset", "date", "pos", "r", F.explode(variants).alias("v")).select("v.model", "asset", "date", "pos", "r", "v.q")
-    return long.unionByName(rolling_normal(returns, alpha, window).drop("es"))
+    """Five native models side by side, in one long table, from one sliding pass."""
+    return levels_set(returns, (alpha,), window).drop("alpha")
 
 
 def levels_set(returns: DataFrame, alphas: tuple[float, ...], window: int = 250) -> DataFrame:
