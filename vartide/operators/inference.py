@@ -71,29 +71,31 @@ def hac_dm(sums: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b"), band
 
 def regress(rows: DataFrame, y: str, x1: str, x2: str, cluster: str) -> DataFrame:
     """One row: OLS of y on 1, x1, x2 with classical and cluster-robust standard errors, R2 and the partial R2
-    of x1 given x2. Sums of products are one aggregation; clusters meet as one short row each."""
-    data = rows.select(F.col(y).cast("double").alias("y"), F.lit(1.0).alias("x0"), F.col(x1).cast("double").alias("x1"), F.col(x2).cast("double").alias("x2"), F.col(cluster).alias("c")).dropna()
+    of x1 given x2. Sums of products per cluster are one aggregation; all else is arithmetic on one short row
+    for each cluster, as a cluster's score is X'y - X'X b of its own sums."""
     xs = ("x0", "x1", "x2")
-    sums = data.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(xs) for b in xs[i:]], *[F.sum(F.col(a) * F.col("y")).alias(f"{a}y") for a in xs], F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
-    m = lambda i, j: F.col(f"x{min(i, j)}x{max(i, j)}")
+    data = rows.select(F.col(y).cast("double").alias("y"), F.lit(1.0).alias("x0"), F.col(x1).cast("double").alias("x1"), F.col(x2).cast("double").alias("x2"), F.col(cluster).alias("c")).dropna()
+    products = {f"{a}{b}": F.col(a) * F.col(b) for i, a in enumerate(xs) for b in xs[i:]} | {f"{a}y": F.col(a) * F.col("y") for a in xs} | {"yy": F.col("y") * F.col("y")}
+    per = data.groupBy("c").agg(*[F.sum(v).alias(k) for k, v in products.items()])
+    every = Window.partitionBy(F.lit(1))  # clusters, not rows
+    per = per.withColumns({f"t_{k}": F.sum(k).over(every) for k in products})
+    m = lambda i, j: F.col(f"t_x{min(i, j)}x{max(i, j)}")
     det = sum((m(0, i) * (m(1, (i + 1) % 3) * m(2, (i + 2) % 3) - m(1, (i + 2) % 3) * m(2, (i + 1) % 3)) for i in range(3)), stats.d(0))
-    inv = {(i, j): (m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)) / F.col("det") for i in range(3) for j in range(3)}
-    fit = sums.withColumn("det", det)
-    fit = fit.withColumns({f"i{i}{j}": v for (i, j), v in inv.items()})
-    fit = fit.withColumns({f"b{i}": sum((F.col(f"i{i}{j}") * F.col(f"x{j}y") for j in range(3)), stats.d(0)) for i in range(3)})
-    fit = fit.withColumn("rss", F.col("yy") - F.col("b0") * F.col("x0y") - F.col("b1") * F.col("x1y") - F.col("b2") * F.col("x2y"))
-    scored = data.crossJoin(F.broadcast(fit.select("b0", "b1", "b2"))).withColumn("e", F.col("y") - F.col("b0") - F.col("b1") * F.col("x1") - F.col("b2") * F.col("x2"))  # one row beside each
-    per = scored.groupBy("c").agg(*[F.sum(F.col(x) * F.col("e")).alias(f"s{i}") for i, x in enumerate(xs)])
-    meat = per.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(3)], F.count("*").alias("clusters"))
-    out = fit.crossJoin(meat)
-    n, g = F.col("n").cast("double"), F.col("clusters").cast("double")
-    corr = g / (g - 1) * (n - 1) / (n - 3)
-    var = lambda k: corr * sum((F.col(f"i{k}{i}") * F.col(f"m{i}{j}") * F.col(f"i{j}{k}") for i in range(3) for j in range(3)), stats.d(0))
-    tss = F.col("yy") - F.col("x0y") * F.col("x0y") / n
-    t1 = F.col("b1") / F.sqrt(F.col("rss") / (n - 3) * F.col("i11"))
+    per = per.withColumn("det", det)
+    per = per.withColumns({f"i{i}{j}": (m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)) / F.col("det") for i in range(3) for j in range(3)})
+    per = per.withColumns({f"b{i}": sum((F.col(f"i{i}{j}") * F.col(f"t_x{j}y") for j in range(3)), stats.d(0)) for i in range(3)})
+    own = lambda i, j: F.col(f"x{min(i, j)}x{max(i, j)}")
+    per = per.withColumns({f"s{i}": F.col(f"x{i}y") - sum((own(i, j) * F.col(f"b{j}") for j in range(3)), stats.d(0)) for i in range(3)})
+    same = [*(f"t_{k}" for k in products), *(f"i{i}{j}" for i in range(3) for j in range(3)), *(f"b{i}" for i in range(3))]
+    out = per.agg(*[F.first(k).alias(k) for k in same], *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(3)], F.count("*").alias("clusters"))
+    n, g = F.col("t_x0x0"), F.col("clusters").cast("double")
+    rss = F.col("t_yy") - sum((F.col(f"b{i}") * F.col(f"t_x{i}y") for i in range(3)), stats.d(0))
+    var = lambda k: g / (g - 1) * (n - 1) / (n - 3) * sum((F.col(f"i{k}{i}") * F.col(f"m{i}{j}") * F.col(f"i{j}{k}") for i in range(3) for j in range(3)), stats.d(0))
+    tss = F.col("t_yy") - F.col("t_x0y") * F.col("t_x0y") / n
+    t1 = F.col("b1") / F.sqrt(rss / (n - 3) * F.col("i11"))
     return out.select(
-        F.col("n").alias("n_obs"), *[F.col(f"b{i}").alias(f"beta{i}") for i in range(3)], *[F.sqrt(F.col("rss") / (n - 3) * F.col(f"i{i}{i}")).alias(f"se{i}") for i in range(3)],
-        *[F.sqrt(var(i)).alias(f"se_cluster{i}") for i in range(3)], (1 - F.col("rss") / tss).alias("r2"), (t1 * t1 / (t1 * t1 + n - 3)).alias("partial_r2"),
+        n.cast("long").alias("n_obs"), *[F.col(f"b{i}").alias(f"beta{i}") for i in range(3)], *[F.sqrt(rss / (n - 3) * F.col(f"i{i}{i}")).alias(f"se{i}") for i in range(3)],
+        *[F.sqrt(var(i)).alias(f"se_cluster{i}") for i in range(3)], (1 - rss / tss).alias("r2"), (t1 * t1 / (t1 * t1 + n - 3)).alias("partial_r2"),
     )
 
 
