@@ -25,7 +25,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +111,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word (binary) and n over all texts, counted in tasks before they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, found = regex.compile(pattern).findall, Counter()
+        split, found = splitter(pattern), Counter()
         rows = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
         for b in batches:
             for text in b.column(0):
@@ -132,28 +129,59 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.filter(F.octet_length("word").between(1, FOLD_BYTES)).select("word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids"))
 
 
-class WordIds(dict):
-    """Ids (little-endian 32-bit) by word; words it lacks are merged, and kept up to a bound."""
+def splitter(pattern: str):
+    """All matches of the pattern. A `+` that ends an alternative is made possessive: nothing follows it that
+    could take a character back, so the matches are the same and the engine keeps no positions."""
+    import re
+
+    import regex
+
+    return regex.compile(re.sub(r"(?<=[\]}s])\+(?=\||$)", "++", pattern)).findall
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], most: int = 500_000):
-        super().__init__(known)
+
+class Words(dict):
+    """By word: its number of ids, the ids as comma-joined decimals, and the bytes that they decode to. Words
+    that the given ones lack are merged, and kept up to a bound."""
+
+    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], most: int = 300_000):
+        super().__init__()
         self.ranks, self.room = ranks, most
+        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+        self.update({w: self.entry(ids) for w, ids in known.items()})
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(merge_word(word.encode(), self.ranks), "<u4").tobytes()
+    def entry(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        found = self.entry(merge_word(word.encode(), self.ranks))
         if self.room and len(word) < 100:
-            self[word] = ids
+            self[word] = found
             self.room -= 1
-        return ids
-
-
-def cache_of(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = CACHE_WORDS) -> dict[str, bytes]:
-    """The `most` most frequent words of docs with their ids, as folded by Spark."""
-    top = common.materialize(word_counts(docs, pattern).orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
+        return found
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of counts (word, n) from some count on, at most `most`. The bound comes from a histogram of
+    counts in logarithmic steps, a few thousand rows at any input size, so nothing is sorted."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    histogram = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("step")).agg(F.count("*")).collect()), reverse=True)
+    least, total = None, 0
+    for k, n in histogram:
+        total += n
+        if total > most:
+            break
+        least = k
+    return counts.filter(step >= least) if least is not None else counts.limit(0)
+
+
+def cache_of(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = CACHE_WORDS) -> dict[str, list[int]]:
+    """At most `most` of the most frequent words of docs with their ids, as folded by Spark."""
+    counts = common.materialize(word_counts(docs, pattern), "words")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    folded = fold_words(top.repartition(parts, "word"), ranks).select("word", F.array_join("ids", ",").alias("ids"))
-    rows = folded.toArrow()  # at most `most` short rows
-    return {w.as_py().decode(): np.array(ids.as_py().split(","), np.int64).astype("<u4").tobytes() for w, ids in zip(rows["word"], rows["ids"], strict=True)}
+    rows = fold_words(frequent(counts, most).repartition(parts, "word"), ranks).toArrow()  # at most `most` short rows
+    return {w.as_py().decode(): ids.as_py() for w, ids in zip(rows["word"], rows["ids"], strict=True)}
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -166,32 +194,25 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes], with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: dict[str, list[int]], with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256 (of the bytes that the ids
     decode to) and, with_ids, the ids themselves."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, known))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
         ranks, known = shared.value
-        split, words = regex.compile(pattern).findall, WordIds(known, ranks)
-        pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
-        decimals = [str(k) for k in range(len(pieces))]
+        split, words = splitter(pattern), Words(known, ranks)
         for b in batches:
-            rows, every = [], []
+            rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.frombuffer(b"".join(map(words.__getitem__, split(text.as_py() or ""))), "<u4").tolist()
-                said = ",".join([decimals[i] for i in ids])
-                back = b"".join([pieces[i] for i in ids])
-                rows.append((doc_id, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-                every += [ids] * with_ids
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(every, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
+                found = [words[w] for w in split(text.as_py() or "")]
+                said = ",".join([x[1] for x in found])
+                back = b"".join([x[2] for x in found])
+                rows.append((doc_id, sum([x[0] for x in found]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *[[int(i) for i in said.split(",") if i]] * with_ids))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: len(names)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
