@@ -336,7 +336,7 @@ def test_bpe_folds_and_heap_agree(spark):
     df = spark.createDataFrame([(bytearray(w),) for w in ws], "word binary")
     folded = bpe.fold_words(df, ranks)
     for x in folded.withColumn("back", bpe.decode_ids(F.col("ids"), ranks)).collect():
-        assert bytes(x.back) == bytes(x.word) and list(x.ids) == bpe.merge_word(bytes(x.word), ranks)
+        assert bytes(x.back) == bytes(x.word) and list(x.ids) == bpe.merge_word(bytes(x.word), ranks) == bpe.merge_long(bytes(x.word), ranks)
     for t in ("a" * 3000, "".join(r.choice("abcxyzé") for _ in range(4000))):
         assert bpe.merge_word(t.encode(), ranks) == enc.encode_ordinary(t)
 

@@ -80,9 +80,29 @@ def fold_merges(word: Column, literal: Column) -> Column:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by the same rule, over a heap of ranked neighbours and linked parts."""
+    """Ids of one word by the same rule: over a list of parts while that is short, else over a heap."""
     if word in ranks:
         return [ranks[word]]
+    return merge_short(word, ranks) if len(word) <= FOLD_BYTES else merge_long(word, ranks)
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get, none = ranks.get, len(ranks) + 256
+    parts = [word[i : i + 1] for i in range(len(word))]
+    found = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while found and (least := min(found)) < none:
+        i = found.index(least)
+        parts[i] += parts.pop(i + 1)
+        found.pop(i)
+        if i:
+            found[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(found):
+            found[i] = get(parts[i] + parts[i + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same over ranked neighbours in a heap and linked parts: n log n."""
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(ranks[x], i, i + 2) for i in range(n - 1) if (x := word[i : i + 2]) in ranks]
@@ -140,22 +160,14 @@ def splitter(pattern: str):
 
 
 class Words(dict):
-    """By word: its number of ids, the ids as comma-joined decimals, and the bytes that they decode to. Words
-    that the given ones lack are merged, and kept up to a bound."""
+    """Ids by word, as comma-joined decimals. Words that the given ones lack are merged, and kept up to a bound."""
 
-    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], most: int = 300_000):
-        super().__init__()
+    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], most: int = 600_000):
+        super().__init__({w: ",".join(map(str, ids)) for w, ids in known.items()})
         self.ranks, self.room = ranks, most
-        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.pieces[rank] = token
-        self.update({w: self.entry(ids) for w, ids in known.items()})
 
-    def entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
-
-    def __missing__(self, word: str) -> tuple[int, str, bytes]:
-        found = self.entry(merge_word(word.encode(), self.ranks))
+    def __missing__(self, word: str) -> str:
+        found = ",".join(map(str, merge_word(word.encode(), self.ranks)))
         if self.room and len(word) < 100:
             self[word] = found
             self.room -= 1
@@ -204,13 +216,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value
         split, words = splitter(pattern), Words(known, ranks)
+        pieces = {str(rank): token for token, rank in ranks.items()}
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                found = [words[w] for w in split(text.as_py() or "")]
-                said = ",".join([x[1] for x in found])
-                back = b"".join([x[2] for x in found])
-                rows.append((doc_id, sum([x[0] for x in found]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *[[int(i) for i in said.split(",") if i]] * with_ids))
+                said = ",".join([words[w] for w in split(text.as_py() or "")])
+                ids = said.split(",") if said else []
+                back = b"".join([pieces[i] for i in ids])
+                rows.append((doc_id, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *[list(map(int, ids))] * with_ids))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: len(names)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
