@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import bpe, common, licenses, linededup, media, neardup, packing, quality, repeats, secrets, warc
+from vartide.llm import bpe, common, licenses, linededup, media, neardup, oracles, packing, quality, repeats, secrets, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -97,4 +97,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
