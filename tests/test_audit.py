@@ -1,5 +1,6 @@
 """Closed-form edge cases, invariances and plain numpy twins of the audit operators."""
 
+import itertools
 import math
 
 import numpy as np
@@ -238,3 +239,49 @@ def test_skew_t_quantiles():
         x = np.where(rng.random(len(z)) < xi * xi / (1 + xi * xi), z * xi, -z / xi)
         for level in (0.05, 0.3, 0.8):
             assert numeric.skew_t_quantile(level, 6, xi) == pytest.approx(np.quantile(x, level), abs=0.03)
+
+
+def test_noncentral_t():
+    for df in (1.5, 5, 40):
+        assert numeric.nct_cdf(-2, df, 0) == pytest.approx(numeric.t_cdf(-2, df), abs=1e-12)
+        assert numeric.nct_ppf(0.01, df, 0) == pytest.approx(numeric.t_ppf(0.01, df), abs=1e-9)
+        assert numeric.nct_shortfall(0.01, df, 0) == pytest.approx(numeric.t_shortfall(0.01, df), abs=1e-8)
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(1_000_000) - 0.5) / np.sqrt(rng.chisquare(5, 1_000_000) / 5)
+    q = numeric.nct_ppf(0.05, 5, -0.5)
+    assert numeric.nct_cdf(q, 5, -0.5) == pytest.approx(0.05, abs=1e-10) and (x <= q).mean() == pytest.approx(0.05, abs=1e-3)
+    assert numeric.nct_shortfall(0.05, 5, -0.5) == pytest.approx(x[x <= q].mean(), abs=0.03)
+
+
+@pytest.mark.parametrize("m,n", [(4, 3), (5, 5), (3, 6)])
+def test_exact_kolmogorov_smirnov(m, n):
+    reached = []
+    for firsts in itertools.combinations(range(m + n), m):
+        gaps = np.cumsum([n if k in firsts else -m for k in range(m + n)])
+        reached.append(np.abs(gaps).max())
+    values = np.unique(reached)
+    assert numeric.ks_exact(values, m, n) == pytest.approx([(np.array(reached) >= v).mean() for v in values])
+    assert list(numeric.ks_exact(np.array([0]), m, n)) == [1.0]
+
+
+def test_rolling_ks_counts_equal_scores_together(spark):
+    rng = np.random.default_rng(8)
+    scores = rng.integers(0, 4, 40).astype(float)
+    rows = spark.createDataFrame([("m", "a", k, float(x), 0.0) for k, x in enumerate(scores)], "model string, asset string, pos long, q double, r double")
+    got = fit.rolling_ks(rows, 20).toPandas().sort_values("pos")
+    expected = []
+    for t in range(20, 40):
+        a, b = scores[t - 20 : t - 10], scores[t - 10 : t]
+        expected.append(max(abs((a <= v).mean() - (b <= v).mean()) for v in range(4)))
+    assert list(got.ks) == pytest.approx(expected) and list(got.p_value) == pytest.approx(numeric.ks_exact(np.rint(np.array(expected) * 100), 10, 10))
+
+
+def test_parametric_laws(spark):
+    rows = [("a", "normal", None, None, 1.0, 2.0, 1.0), ("b", "student_t", 6.0, None, 0.5, 2.0, 0.5), ("c", "skewed_t", 6.0, 0.0, 0.5, 2.0, 0.5), ("d", "skewed_t", 6.0, None, 0.0, 1.0, 0.0), ("e", "other", 6.0, 1.0, 0.0, 1.0, 0.0), ("f", None, None, None, None, None, None), ("g", "student_t", 1.0, None, 0.0, 1.0, 0.0)]
+    laws = spark.createDataFrame(rows, "id string, family string, df double, skew double, location double, scale double, at double")
+    got = {r.id: r for r in fit.parametric(laws, 0.05).collect()}
+    assert got["a"].quantile == pytest.approx(1 - 2 * 1.6448536269514722) and got["a"].below == 0.5
+    assert got["b"].quantile == pytest.approx(0.5 + 2 * numeric.t_ppf(0.05, 6)) and got["b"].shortfall == pytest.approx(numeric.t_shortfall(0.05, 6, 0.5, 2.0))
+    assert got["c"][2:] == pytest.approx(got["b"][2:])
+    assert [got[k][2:] for k in "def"] == [(None, None, None)] * 3 and got["g"].shortfall is None and got["g"].below == 0.5
+    assert fit.parametric(laws.limit(0)).count() == 0

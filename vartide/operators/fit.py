@@ -129,6 +129,38 @@ def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, every:
     return returns.groupBy("asset").applyInPandas(run, "model string, asset string, date date, pos long, r double, q double")
 
 
+def parametric(laws: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """laws (id, family, df, skew, location, scale, at) with quantile, shortfall and the distribution function
+    at `at`. Families: normal, student_t (needs df), skewed_t (needs df and skew: a non-central t).
+    Laws without their parameters, of other families or without a shortfall (df up to 1) give nulls there."""
+    from statistics import NormalDist
+
+    unit = NormalDist()
+    z = unit.inv_cdf(alpha)
+
+    def standard(family: str | None, df: float, skew: float, x: float) -> tuple[float, float, float]:
+        """Quantile, shortfall and distribution function at x of the law with location 0 and scale 1."""
+        tailed = df > 1
+        if family == "normal":
+            return z, -unit.pdf(z) / alpha, unit.cdf(x)
+        if family == "student_t" and df > 0:
+            return numeric.t_ppf(alpha, df), numeric.t_shortfall(alpha, df) if tailed else np.nan, numeric.t_cdf(x, df)
+        if family == "skewed_t" and df > 0 and skew == skew:
+            return numeric.nct_ppf(alpha, df, skew), numeric.nct_shortfall(alpha, df, skew) if tailed else np.nan, numeric.nct_cdf(x, df, skew)
+        return np.nan, np.nan, np.nan
+
+    def run(batches):
+        for pdf in batches:
+            figures = pdf[["df", "skew", "location", "scale", "at"]].astype(float)
+            rows = []
+            for i, family, (df, skew, mu, sigma, x) in zip(pdf["id"], pdf["family"], figures.to_numpy(), strict=True):
+                q, es, below = standard(family, df, skew, (x - mu) / sigma) if sigma > 0 else (np.nan,) * 3
+                rows.append([i, family, *(None if v != v else float(v) for v in (mu + sigma * q, mu + sigma * es, below))])
+            yield pd.DataFrame(rows, columns=["id", "family", "quantile", "shortfall", "below"]).astype({k: float for k in ("quantile", "shortfall", "below")})
+
+    return laws.select("id", "family", "df", "skew", "location", "scale", "at").mapInPandas(run, "id string, family string, quantile double, shortfall double, below double")
+
+
 def complete_tail(grids: DataFrame, alpha: float = 0.01) -> DataFrame:
     """id, df, location, scale, quantile and shortfall at alpha of the Student t fitted to each quantile grid
     (id, levels, quantiles)."""
@@ -146,7 +178,7 @@ def complete_tail(grids: DataFrame, alpha: float = 0.01) -> DataFrame:
 
 def rolling_ks(paths: DataFrame, window: int = 250) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of the halves of each trailing window of scores, with the
-    asymptotic p-value."""
+    exact p-value (equal scores count together)."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -157,10 +189,11 @@ def rolling_ks(paths: DataFrame, window: int = 250) -> DataFrame:
         half = window // 2
         order = np.argsort(w, axis=1, kind="stable")
         first = (order < half) / half - (order >= half) / (window - half)
-        d = np.abs(np.cumsum(first, axis=1)).max(axis=1)
-        x = d * np.sqrt(half * (window - half) / window)
-        k = np.arange(1, 101)[None, :]
-        p = np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k**2 * x[:, None] ** 2), axis=1), 0, 1)
+        ordered = np.take_along_axis(w, order, axis=1)
+        last = np.append(ordered[:, 1:] > ordered[:, :-1], np.ones((len(w), 1), bool), axis=1)  # of equal scores
+        d = np.where(last, np.abs(np.cumsum(first, axis=1)), 0).max(axis=1)
+        reach, which = np.unique(np.rint(d * half * (window - half)).astype(np.int64), return_inverse=True)
+        p = numeric.ks_exact(reach, half, window - half)[which]
         return pd.DataFrame({"model": key[0], "asset": key[1], "pos": pdf.pos.to_numpy()[window:], "ks": d, "p_value": p})
 
     return paths.select(*PAIR, "pos", "q", "r").groupBy(*PAIR).applyInPandas(run, "model string, asset string, pos long, ks double, p_value double")

@@ -60,6 +60,14 @@ def tail_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.complete_tail(g.select(F.concat_ws(":", "asset", "date").alias("id"), "levels", "quantiles"), 0.01)
 
 
+@query(Shape("id family", "", "quantile shortfall below", 6))
+def parametric_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal, Student and skewed Student laws with each asset's mean and deviation, at its least return."""
+    moments = panels.panel(spark, sf_dir).groupBy("asset").agg(F.avg("r").alias("location"), F.stddev_pop("r").alias("scale"), F.min("r").alias("at"))
+    laws = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(df).cast("double").alias("df"), F.lit(skew).cast("double").alias("skew")) for f, df, skew in (("normal", None, None), ("student_t", 5, None), ("skewed_t", 5, -0.5))))
+    return fit.parametric(moments.select(F.col("asset").cast("string").alias("id"), "location", "scale", "at", F.inline(laws)), 0.01)
+
+
 @query(Shape("model asset", "", "q_v q_lo q_hi q_se", 6))
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.bootstrap_ci(conformal.split_paths(paths(spark, sf_dir)), ALPHA)
