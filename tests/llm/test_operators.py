@@ -179,6 +179,28 @@ def test_components(spark):
     assert all(got[k] == 1 for k in range(1, 41)) and got[100] == got[95] == 90
 
 
+def bad_chain(n):
+    """A path 0, n-1, ..., 1: its least label has to pass every node in turn."""
+    return [(0, n - 1)] + [(k, k - 1) for k in range(n - 1, 1, -1)]
+
+
+def random_chain(n, seed):
+    at = random.Random(seed).sample(range(10 * n), n)
+    return [*itertools.pairwise(at)], min(at)
+
+
+def test_components_of_long_chains(spark):
+    """Chains in bad id orders, and a star whose middle is not its least node, in one table."""
+    wide, least = random_chain(100, 4)
+    long, low = random_chain(1000, 5)
+    edges = [*bad_chain(1000), *((a + 5_000, b + 5_000) for a, b in bad_chain(100)), *((a + 10_000, b + 10_000) for a, b in wide), *((a + 20_000, b + 20_000) for a, b in long), *((40_500, 40_000 + k) for k in range(400))]
+    got = collections.defaultdict(set)
+    for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect():
+        got[r.label].add(r.node)
+    assert {k: len(v) for k, v in got.items()} == {0: 1000, 5_000: 100, least + 10_000: 100, low + 20_000: 1000, 40_000: 401}
+    assert sum(map(len, got.values())) == len({x for e in edges for x in e})
+
+
 def test_secret_scan(spark, docs, rows, empty):
     found = secrets.labelled_findings(spark, 3000)
     rules = secrets.forest_rules(secrets.train(found.filter("id < 2000"), trees=10))

@@ -8,23 +8,40 @@ from pyspark.sql import functions as F
 from vartide.llm import common
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """node and label (the smallest node reachable) for every node of edges (a, b: long).
+def _stars(both: DataFrame) -> DataFrame:
+    """node and root for every node of symmetric edges without loops: each node hooks onto its least neighbour.
 
-    Each round takes the least label among neighbours and then the label's own label, so that paths
-    shorten by doubling. Labels are written to the shared folder each round; nothing but a count of
-    changes reaches the driver."""
-    both = common.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        low = common.materialize(low, "low")
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        fresh = low.join(jump, "low", "left").select("node", F.coalesce("far", "low").alias("label"), (F.coalesce("far", "low") != F.col("label")).cast("int").alias("changed"))
-        fresh = common.materialize(fresh, "labels")
+    Following least neighbours can only end in two nodes that are each other's; the smaller one becomes the
+    root. Pointers are then doubled until every node points at its root."""
+    least = common.materialize(both.groupBy("a").agg(F.min("b").alias("up")), "least")
+    above = least.select(F.col("a").alias("up"), F.col("up").alias("far"))
+    hooked = least.join(above, "up").select(F.col("a").alias("node"), F.when(F.col("far") == F.col("a"), F.least("a", "up")).otherwise(F.col("up")).alias("root"))
+    hooked = common.materialize(hooked, "hooked")
+    while True:
+        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        fresh = common.materialize(hooked.join(jump, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).cast("int").alias("changed")), "hooked")
         moved = fresh.agg(F.sum("changed")).first()[0]
-        labels = fresh.select("node", "label")
+        hooked = fresh.select("node", "root")
         if not moved:
-            return labels
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+            return hooked
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label (the smallest node reachable) for every node of edges (a, b: long).
+
+    Each round hooks every root onto its least neighbour and contracts the edges to roots. A root that still
+    has an edge merges with at least one other, so roots halve: rounds are at most log2 of the nodes, and
+    doubling steps in a round as well. Tables are written to the shared folder; nothing but counts
+    reaches the driver."""
+    both = common.materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    both = both.filter("a <> b")
+    while not both.isEmpty():
+        stars = _stars(both)
+        to = lambda x: stars.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
+        labels = labels.join(stars.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        labels = common.materialize(labels, "labels")
+        both = both.join(to("a"), "a").join(to("b"), "b").filter("root_a <> root_b")
+        both = common.materialize(both.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return common.materialize(labels.join(least, "label").select("node", F.col("least").alias("label")), "labels")
