@@ -272,6 +272,50 @@ def test_license_rules():
         assert any(t in rule.replace("licen[sc]e", "license") or t in keyword for t in terms), rule
 
 
+def spelled(pattern):
+    """Texts of every choice that a rule's regex leaves: groups, optional parts (absent and present), classes."""
+    from re import _constants as C
+    from re import _parser
+
+    def of(node):
+        out = [""]
+        for op, arg in node:
+            if op is C.LITERAL:
+                more = [chr(arg)]
+            elif op is C.IN:
+                more = [chr(x[1] if x[0] is C.LITERAL else x[1][0]) for x in arg]
+            elif op is C.SUBPATTERN:
+                more = of(arg[3])
+            elif op is C.BRANCH:
+                more = [t for branch in arg[1] for t in of(branch)]
+            else:
+                assert op is C.MAX_REPEAT, op
+                least, most, inner = arg
+                more = [t * n for t in of(inner) for n in {least, min(most, 1)}]
+            out = [a + b for a in out for b in dict.fromkeys(more)]
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_rules_pass_the_gate_in_every_spelling():
+    terms = licenses.gate_terms()
+    for _, keyword, rule, *_ in licenses.RULES:
+        word = f" {keyword}" if keyword in ("mit", "isc", "bsd") else keyword
+        for text in spelled(rule):
+            assert re.fullmatch(rule, text) and word in f" {text} ", (rule, keyword, text)
+            assert any(t in text for t in terms), (rule, text)
+
+
+def test_license_attributions(spark):
+    said = {
+        1: ("Photo: Creative Commons Attribution 4.0", "cc-by"), 2: ("Creative Commons Attribution-Non-Commercial", "cc-by-nc"), 3: ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+        4: ("Creative Commons Attribution Share Alike 3.0", "cc-by-sa"), 5: ("Open Data Commons Database License", "odbl"), 6: ("commercial share of attribution", ""),
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in said.items()], "doc_id long, text string")).collect()}
+    assert got == {k: v for k, (_, v) in said.items()}
+
+
 def test_license_containment(spark):
     d = spark.createDataFrame([(1, "SPDX-License-Identifier: GPL-2.0-only"), (2, "GNU Lesser General Public License, version 3")], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(d).collect()}

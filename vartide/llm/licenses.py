@@ -14,6 +14,8 @@ their result; texts of any length are scanned whole; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ FAMILIES = [
     ("sspl", "server side", r"server side public licen[sc]e", "1"),
     ("busl", "business source", r"business source licen[sc]e", "1.1"),
     ("elastic", "elastic", r"elastic licen[sc]e", "2.0"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e", "1.0"),
+    ("odbl", "database", r"open (?:data commons )?(?:open )?database licen[sc]e", "1.0"),
     ("cecill", "cecill", r"cecill(?: [abc])?(?: free software)? licen[sc]e", "1 2 2.1"),
     ("cc0", "cc0", r"(?:creative commons )?cc0", "1.0"),
     ("cc-by-nc-nd", "nc nd", r"cc by nc nd", "2.0 2.5 3.0 4.0"),
@@ -70,7 +72,7 @@ FAMILIES = [
     ("cc-by", "cc by", r"cc by", "2.0 2.5 3.0 4.0"),
     ("cc-by", "creative commons", r"creative commons attribution(?: licen[sc]e)?", "2.0 2.5 3.0 4.0"),
     ("cc-by-sa", "share", r"creative commons attribution share ?alike", "2.0 3.0 4.0"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial", "2.0 3.0 4.0"),
+    ("cc-by-nc", "attribution non", r"creative commons attribution non ?commercial", "2.0 3.0 4.0"),
 ]
 
 #: Names in SPDX tags: label -> words of the tag's start.
@@ -129,9 +131,15 @@ def count_words(spaced: Column) -> Column:
     return F.when(F.octet_length(spaced) <= 2, 0).otherwise(_spaces(spaced) - 1)
 
 
+def _certain(rule: str) -> str:
+    """The rule without its groups, which may be absent or stand for one of several texts."""
+    return re.sub(r"\(\?:[^()]*\)\??", "|", rule)
+
+
 def gate_terms() -> list[str]:
-    """Few plain terms of which every match of any rule holds one: the prefilter over whole texts."""
-    terms = {"licen" if "licen" in rule else "cc by" if "cc by" in rule else keyword for _, keyword, rule, *_ in RULES}
+    """Few plain terms of which every match of any rule holds one: the prefilter over whole texts. A shared
+    term stands for a rule's keyword only where each match of the rule holds it."""
+    terms = {next((t for t in ("licen", "cc by", "creative commons") if t in _certain(rule)), keyword) for _, keyword, rule, *_ in RULES}
     return sorted(t for t in terms if not any(o != t and o in t for o in terms))
 
 
