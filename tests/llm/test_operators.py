@@ -518,6 +518,25 @@ def test_pipeline_by_hand(spark, tmp_path, monkeypatch):
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_near_dedup_at_80(spark):
+    """Pairs between .80 and .85 are linked; rows that share a doc_id go only where they are near duplicates."""
+    rows = []
+    for k in range(6):
+        base = words(300, 50 + k, 4000)
+        edited = list(base)
+        for at in range(20, 20 + 50 * (5 + k % 2), 50):  # 5 or 6 edits: .844 and .816
+            edited[at] = "edited"
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(edited)), (10 * k + 2, " ".join(words(300, 80 + k, 4000)))]
+    a, b, c = (" ".join(words(100, 95 + k)) for k in range(3))
+    rows += [(5, a), (5, b), (5, b), (7, b + " tail"), (9, a), (3, c), (5, c)]
+    sets = list(enumerate(dict.fromkeys(sorted(rows))))
+    force = components_by_force([(i, t) for i, (_, t) in sets], 80)
+    assert [i for i, c in force.items() if c != components_by_force([(i, t) for i, (_, t) in sets], 85)[i]]
+    want = sorted(row for i, row in sets if force[i] == i)
+    got = sorted((r.doc_id, r.text) for r in stages.near_dedup(spark, table(spark, rows), "").collect())
+    assert got == want and {t for i, t in got if i == 5} == {a, b}
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, empty):
     for _, stage in [("q", stages.quality_rules), ("l", stages.line_dedup), ("n", stages.near_dedup), ("s", stages.secret_scan)]:
         assert stage(spark, docs, "").columns == docs.columns and stage(spark, docs, "").count() <= docs.count()

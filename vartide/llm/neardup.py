@@ -13,7 +13,8 @@
    reach. Pairs across components that pass this bound and the likelihood go through the same
    verification. This is exact for every pair that shares a bucket: nothing is capped.
 
-A pair at similarity .85 misses all 25 bands of 5 registers with probability 5e-7.
+A pair at similarity .85 misses all 25 bands of 5 registers with probability 5e-7. At lower thresholds
+bands have fewer registers (`band_width`): at .80, 31 bands of 4 miss a pair with probability 8e-8.
 
 Defined cases: documents without words or text have the empty set and stay alone, as do null doc_ids
 (component null); rows that repeat a doc_id are one document as far as links go and each get a result;
@@ -74,11 +75,17 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def bands(registers: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band of ROWS registers."""
+def band_width(percent: int) -> int:
+    """The most registers a band may have, up to ROWS, so that a pair at the threshold misses all bands with
+    probability below 1e-6."""
+    return next((w for w in range(ROWS, 1, -1) if (1 - (percent / 100) ** w) ** (REGISTERS // w) < 1e-6), 1)
+
+
+def bands(registers: np.ndarray, width: int = ROWS) -> list[int]:
+    """One signed 64-bit key for each full band of `width` registers."""
     raw = registers.tobytes()
-    size = 2 * ROWS
-    keys = (xxhash.xxh64_intdigest(raw[k : k + size], seed=k) for k in range(0, len(raw), size))
+    size = 2 * width
+    keys = (xxhash.xxh64_intdigest(raw[k : k + size], seed=k) for k in range(0, len(raw) - size + 1, size))
     return [x - (1 << 64) if x >> 63 else x for x in keys]
 
 
@@ -118,13 +125,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def band_rows(classes: DataFrame, width: int = ROWS) -> DataFrame:
     """band, rep for every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reps = np.repeat(b.column(0).to_numpy(), REGISTERS // ROWS)
-            keys = [k for r in b.column(1) for k in bands(np.frombuffer(r.as_py(), np.int16))]
+            reps = np.repeat(b.column(0).to_numpy(), REGISTERS // width)
+            keys = [k for r in b.column(1) for k in bands(np.frombuffer(r.as_py(), np.int16), width)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64())], ["band", "rep"])
 
     return classes.select("rep", "registers").mapInArrow(run, "band long, rep long")
@@ -190,7 +197,7 @@ def alone_counts(members: DataFrame, docs: DataFrame) -> DataFrame:
     return own.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
-def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
+def cross_pairs(buckets: DataFrame, percent: int, least: float, width: int = ROWS) -> DataFrame:
     """Pairs across components from buckets (band, rep, label, n_shingles, alone, registers).
 
     Large buckets are dealt out by pairs of blocks of about BLOCK members. A pair that meets in several
@@ -206,7 +213,7 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
     def pairs_of(held: list[dict], band: int, cell: tuple[int, int]) -> list[tuple[int, int]]:
         rep, label, n, alone, block = (np.array([r[c] for r in held]) for c in names)
         regs = np.frombuffer(b"".join(r["registers"] for r in held), np.int16).reshape(-1, REGISTERS)
-        out, rest, this = [], n - alone, bands(regs[0]).index(band)
+        out, rest, this = [], n - alone, bands(regs[0], width).index(band)
         for k in range(len(held)):
             most = np.minimum(rest[k], rest[k + 1 :])
             ok = (label[k + 1 :] != label[k]) & (100 * most >= percent * (n[k] + n[k + 1 :] - most))
@@ -216,7 +223,7 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
             if len(at):
                 x, y = regs[k], regs[at]
                 j = likely_similarity((x > y).sum(1), (x < y).sum(1), np.full(len(at), n[k]), n[at])
-                first = (x == y).reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1)
+                first = (x == y)[:, : REGISTERS // width * width].reshape(len(at), -1, width).all(axis=2).argmax(axis=1)
                 out += [(int(min(rep[k], rep[i])), int(max(rep[k], rep[i]))) for i in at[(j >= least) & (first == this)]]
         return out
 
@@ -239,12 +246,12 @@ def cross_pairs(buckets: DataFrame, percent: int, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    width, least = band_width(percent), percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     sk = common.materialize(sketches(docs), "sketches")
     some = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = common.materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    buckets = common.materialize(band_rows(classes).groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader <> last").select("band", "leader"), "buckets")
-    met = common.materialize(band_rows(classes).join(buckets, "band"), "met")
+    buckets = common.materialize(band_rows(classes, width).groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader <> last").select("band", "leader"), "buckets")
+    met = common.materialize(band_rows(classes, width).join(buckets, "band"), "met")
     star = common.materialize(met.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     links = common.materialize(verify(likely(star, classes, least), docs, percent), "links")
     labels = graph.components(links)
@@ -256,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     alone = common.materialize(alone_counts(members, docs), "alone")
     facts = classes.select("rep", "n_shingles", "registers").join(members, "rep").join(alone, "rep", "left").fillna(0, ["alone"])
     facts = common.materialize(facts.filter(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "facts")
-    crossing = common.materialize(cross_pairs(open_.join(facts, "rep"), percent, least), "crossing")
+    crossing = common.materialize(cross_pairs(open_.join(facts, "rep"), percent, least, width), "crossing")
     more = verify(crossing.join(star, ["a", "b"], "left_anti"), docs, percent)
     labels = graph.components(links.unionByName(more))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))

@@ -28,13 +28,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recount(done.filter((fact["n_removed"] == 0) | (fact["n_removed"] < fact["n_lines"])).select(*docs.columns))
 
 
+#: Similarity of word shingles, in percent, from which the pipeline takes documents for near duplicates.
+NEAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component, once if rows repeat it."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
-    alone = docs.filter("doc_id is null")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth").join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(alone)
+    """The document with the smallest doc_id of each near-duplicate component, once if rows repeat it.
+
+    Rows that share a doc_id with different texts are documents of their own, so the links are found
+    between ids of (doc_id, text)."""
+    mine = docs.filter("doc_id is not null").withColumn("_own", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    found = neardup.near_duplicates(mine.select(F.col("_own").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("_own"), "component_id")
+    kept = found.distinct().join(mine.select("_own", "doc_id"), "_own").groupBy("component_id").agg(F.min(F.struct("doc_id", "_own"))["_own"].alias("_own")).select("_own")
+    order = Window.partitionBy("_own", "doc_id", "text").orderBy("_own")
+    named = mine.join(kept, "_own", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
