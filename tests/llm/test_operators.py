@@ -96,6 +96,20 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path, P.PATTERN).count() == 0
 
 
+def test_packing_meets_added_tokens(spark):
+    """Ids are those of tokenizers at its defaults, also where a text holds the file's added token."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x\n\n <|endoftext|>", "<|endoftext|", "word <|endoftext|>'s", "a\n<|endoftext|>\n\nb  ", "<|ENDOFTEXT|>"]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.tokenize(table(spark, list(enumerate(texts))), path, P.PATTERN).collect()}
+    for k, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert got[k] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))), t
+
+
 def test_capacity_tree_and_counts():
     tree = packing.CapacityTree(10)
     for c in (3, 7, 10):
