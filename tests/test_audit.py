@@ -285,3 +285,25 @@ def test_parametric_laws(spark):
     assert got["c"][2:] == pytest.approx(got["b"][2:])
     assert [got[k][2:] for k in "def"] == [(None, None, None)] * 3 and got["g"].shortfall is None and got["g"].below == 0.5
     assert fit.parametric(laws.limit(0)).count() == 0
+
+
+def test_gjr_garch_refits_every_day(spark):
+    """Each day's forecast is the fit to the window before it, wherever the days are dealt."""
+    d = series(spark, n=140, assets=2)
+    rows = fit.gjr_garch(d, 0.01, window=60, span=16).collect()
+    assert len(rows) == 280 and len({(x.asset, x.pos) for x in rows}) == 280
+    history = {}
+    for x in sorted(d.collect(), key=lambda x: x.pos):
+        history.setdefault(x.asset, []).append(x.r * 100)
+    for x in rows:
+        past = np.array(history[x.asset][max(0, x.pos - 60) : x.pos])
+        if len(past) >= 50 and x.pos % 7 == 0:
+            p = numeric.gjr_fit(past)
+            assert x.q * 100 == pytest.approx(p[0] + stats.z_value(0.01) * np.sqrt(numeric.gjr_filter(past, *p)[-1]), abs=1e-9), (x.asset, x.pos)
+
+
+def test_simulation_study_runs_the_whole_grid(spark):
+    """5 laws x lengths 1000 and 5000 x 500 replications."""
+    got = {(r.law, r.length): r for r in simulate.summary(simulate.study(spark)).collect()}
+    assert {k: r.reps for k, r in got.items()} == {(law, n): 500 for law in simulate.LAWS for n in (1000, 5000)}
+    assert all(abs(got[law, 5000].mean_pi_corr - 0.01) < 0.001 for law in simulate.LAWS)

@@ -11,10 +11,14 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vartide.functions import numeric
 
 PAIR = ("model", "asset")
+#: Small tables with long fits are dealt over at least so many partitions.
+TASKS = 64
 
 
 def seed_of(*key: object) -> int:
@@ -105,28 +109,36 @@ def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...]
     return parts.select(*PAIR, "pos", "r", "q", "role").groupBy(*PAIR).applyInPandas(run, schema)
 
 
-def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, every: int = 50) -> DataFrame:
-    """GJR-GARCH forecasts with normal quantiles: refitted every `every` days on the last `window` returns,
-    filtered daily in between; mean and deviation of the window where a fit is not possible."""
+def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, span: int = 32) -> DataFrame:
+    """GJR-GARCH forecasts with normal quantiles, refitted every day on the last `window` returns; mean and
+    deviation of the window where a fit is not possible.
+
+    A group is an asset's `span` days with the `window` days before them, so one history spreads over tasks."""
     from statistics import NormalDist
 
     z = NormalDist().inv_cdf(alpha)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        r = pdf.r.to_numpy() * 100
-        q, fit = np.zeros(len(r)), None
-        for t in range(len(r)):
+        pdf = pdf.sort_values("_t")
+        r, own = pdf.r.to_numpy() * 100, (pdf["_t"] >= key[1] * span).to_numpy()
+        q = np.zeros(len(r))
+        for t in np.flatnonzero(own):
             past = r[max(0, t - window) : t]
             if len(past) < 50:
                 q[t] = past.mean() + z * past.std() if len(past) > 1 else 0.0
                 continue
-            if fit is None or t % every == 0:
-                fit = numeric.gjr_fit(past)
+            fit = numeric.gjr_fit(past)
             q[t] = fit[0] + z * np.sqrt(numeric.gjr_filter(past, *fit)[-1])
-        return pd.DataFrame({"model": "gjr_garch", "asset": key[0], "date": pdf.date, "pos": pdf.pos, "r": pdf.r, "q": q / 100})
-
-    return returns.groupBy("asset").applyInPandas(run, "model string, asset string, date date, pos long, r double, q double")
+        mine = pdf[own]
+        return pd.DataFrame({"model": "gjr_garch", "asset": key[0], "date": mine.date, "pos": mine.pos, "r": mine.r, "q": q[own] / 100})
+
+    t = F.row_number().over(Window.partitionBy("asset").orderBy("pos")) - 1
+    last = F.max("_t").over(Window.partitionBy("asset"))
+    days = returns.select("asset", "date", "pos", "r").withColumn("_t", t).withColumn("_last", last)
+    first, end = F.floor(F.col("_t") / span).cast("int"), F.floor(F.least(F.col("_t") + window, "_last") / span).cast("int")
+    dealt = days.withColumn("_span", F.explode(F.sequence(first, end))).drop("_last")
+    dealt = dealt.repartition(max(TASKS, int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "asset", "_span")
+    return dealt.groupBy("asset", "_span").applyInPandas(run, "model string, asset string, date date, pos long, r double, q double")
 
 
 def parametric(laws: DataFrame, alpha: float = 0.01) -> DataFrame:

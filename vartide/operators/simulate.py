@@ -48,13 +48,13 @@ def garch_path(n: int, eps: np.ndarray, omega: float = 1e-5, a: float = 0.10, b:
     return r, s
 
 
-def study(spark: SparkSession, reps: int = 20, lengths: tuple[int, ...] = (250, 1000), laws: tuple[str, ...] = LAWS, alpha: float = 0.01, split: float = 0.7, seed: int = 2026) -> DataFrame:
+def study(spark: SparkSession, reps: int = 500, lengths: tuple[int, ...] = (1000, 5000), laws: tuple[str, ...] = LAWS, alpha: float = 0.01, split: float = 0.7, seed: int = 2026) -> DataFrame:
     """law, length, rep: normal forecasts with the true deviations, corrected by the hybrid quantile."""
     from statistics import NormalDist
 
     z = NormalDist().inv_cdf(alpha)
     cells = [F.struct(F.lit(law).alias("law"), F.lit(n).alias("length")) for law in laws for n in lengths]
-    grid = spark.range(reps).withColumnRenamed("id", "rep").withColumn("cell", F.explode(F.array(*cells))).select("cell.law", "cell.length", "rep").repartition(8, "law", "length", "rep")
+    grid = spark.range(reps).withColumnRenamed("id", "rep").withColumn("cell", F.explode(F.array(*cells))).select("cell.law", "cell.length", "rep").repartition(64, "law", "length", "rep")
 
     def run(batches):
         for pdf in batches:
