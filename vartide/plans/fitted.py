@@ -17,46 +17,73 @@ from vartide.sources import panels
 LEVELS = [k / 10 for k in range(1, 10)]
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailing 50 returns as samples, every 25th day."""
+def _every_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing 50 returns as samples, every day that has them all."""
     w = forecast.trailing(50)
-    return panels.panel(spark, sf_dir).withColumn("samples", F.collect_list("r").over(w)).filter("pos >= 50 and pos % 25 = 0")
+    return panels.panel(spark, sf_dir).withColumn("samples", F.collect_list("r").over(w)).filter("pos >= 50")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 25th day, as the SQL of the queries that use it says."""
+    return _every_sample(spark, sf_dir).filter("pos % 25 = 0")
 
 
 SAMPLES_SQL = f"{S.returns()}, sm AS (SELECT asset, date, pos, list(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS xs FROM ret), st AS (SELECT asset, date, pos, list_sort(xs) AS s FROM sm WHERE pos >= 50 AND pos % 25 = 0), sq AS (SELECT *, s[3] + (s[4] - s[3]) * (0.05::DOUBLE * 49 - 2) AS q FROM st)"
 
 
-@query(
-    Shape("asset date", "", "quantile shortfall cdf0 tail10"),
-    SAMPLES_SQL,
-    "(SELECT asset, date, q AS quantile, list_avg(list_filter(s, lambda x: x <= q)) AS shortfall, len(list_filter(s, lambda x: x <= 0)) / 50.0::DOUBLE AS cdf0, list_avg(s[1:10]) AS tail10 FROM sq)",
-)
+DAILY_SQL = SAMPLES_SQL.replace(" AND pos % 25 = 0", "")
+SAMPLE_SHAPE = Shape("asset date", "", "quantile shortfall cdf0 tail10")
+SAMPLE_ROWS = "(SELECT asset, date, q AS quantile, list_avg(list_filter(s, lambda x: x <= q)) AS shortfall, len(list_filter(s, lambda x: x <= 0)) / 50.0::DOUBLE AS cdf0, list_avg(s[1:10]) AS tail10 FROM sq)"
+
+
+@query(SAMPLE_SHAPE, SAMPLES_SQL, SAMPLE_ROWS)
 def sample_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample_facts(_samples(spark, sf_dir))
+
+
+@query(SAMPLE_SHAPE, DAILY_SQL, SAMPLE_ROWS)
+def sample_distribution_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day with a full window."""
+    return _sample_facts(_every_sample(spark, sf_dir))
+
+
+def _sample_facts(samples: DataFrame) -> DataFrame:
     s = F.col("samples")
-    return _samples(spark, sf_dir).select("asset", "date", D.sample_quantile(s, 0.05).alias("quantile"), D.sample_shortfall(s, 0.05).alias("shortfall"), D.sample_cdf(s, stats.d(0)).alias("cdf0"), D.tail_mean(s).alias("tail10"))
+    return samples.select("asset", "date", D.sample_quantile(s, 0.05).alias("quantile"), D.sample_shortfall(s, 0.05).alias("shortfall"), D.sample_cdf(s, stats.d(0)).alias("cdf0"), D.tail_mean(s).alias("tail10"))
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grids(samples: DataFrame) -> DataFrame:
     grid = F.array(*[D.sample_quantile(F.col("samples"), u) for u in LEVELS])
-    return _samples(spark, sf_dir).select("asset", "date", "pos", F.array(*map(stats.d, LEVELS)).alias("levels"), grid.alias("quantiles"))
+    return samples.select("asset", "date", "pos", F.array(*map(stats.d, LEVELS)).alias("levels"), grid.alias("quantiles"))
 
 
 _GRID = ", ".join(f"s[CAST(FLOOR({u}::DOUBLE * 49) AS INT) + 1] + (s[CAST(FLOOR({u}::DOUBLE * 49) AS INT) + 2] - s[CAST(FLOOR({u}::DOUBLE * 49) AS INT) + 1]) * ({u}::DOUBLE * 49 - FLOOR({u}::DOUBLE * 49))" for u in LEVELS)
 
 
-@query(
-    Shape("asset date", "", "own inside linear gaussian"),
-    f"{SAMPLES_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)",
-    f"(SELECT asset, date, g[2] AS own, g[2] + (g[3] - g[2]) * (0.25::DOUBLE - 0.2::DOUBLE) / (0.3::DOUBLE - 0.2::DOUBLE) AS inside, g[1] + (g[2] - g[1]) / (0.2::DOUBLE - 0.1::DOUBLE) * (0.01::DOUBLE - 0.1::DOUBLE) AS linear, list_avg(g) + list_stddev_pop(g) * ({stats.z_value(0.01)!r})::DOUBLE AS gaussian FROM gr)",
-)
+GRID_SHAPE = Shape("asset date", "", "own inside linear gaussian")
+GRID_ROWS = f"(SELECT asset, date, g[2] AS own, g[2] + (g[3] - g[2]) * (0.25::DOUBLE - 0.2::DOUBLE) / (0.3::DOUBLE - 0.2::DOUBLE) AS inside, g[1] + (g[2] - g[1]) / (0.2::DOUBLE - 0.1::DOUBLE) * (0.01::DOUBLE - 0.1::DOUBLE) AS linear, list_avg(g) + list_stddev_pop(g) * ({stats.z_value(0.01)!r})::DOUBLE AS gaussian FROM gr)"
+
+
+@query(GRID_SHAPE, f"{SAMPLES_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)", GRID_ROWS)
 def grid_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_facts(_grids(_samples(spark, sf_dir)))
+
+
+@query(GRID_SHAPE, f"{DAILY_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)", GRID_ROWS)
+def grid_distribution_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day with a full window."""
+    return _grid_facts(_grids(_every_sample(spark, sf_dir)))
+
+
+def _grid_facts(grids: DataFrame) -> DataFrame:
     u, q = F.col("levels"), F.col("quantiles")
-    return _grids(spark, sf_dir).select("asset", "date", D.grid_quantile(u, q, 0.2).alias("own"), D.grid_quantile(u, q, 0.25).alias("inside"), D.grid_quantile(u, q, 0.01).alias("linear"), D.grid_quantile(u, q, 0.01, "gaussian").alias("gaussian"))
+    return grids.select("asset", "date", D.grid_quantile(u, q, 0.2).alias("own"), D.grid_quantile(u, q, 0.25).alias("inside"), D.grid_quantile(u, q, 0.01).alias("linear"), D.grid_quantile(u, q, 0.01, "gaussian").alias("gaussian"))
 
 
 @query(Shape("id", "", "df location scale quantile shortfall", 4))
 def tail_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _grids(spark, sf_dir).filter("pos % 250 = 0")
+    """A Student tail for every day with a full window; days are dealt over tasks, as each is a fit."""
+    g = _grids(_every_sample(spark, sf_dir)).repartition(fit.TASKS, "asset", "date")
     return fit.complete_tail(g.select(F.concat_ws(":", "asset", "date").alias("id"), "levels", "quantiles"), 0.01)
 
 

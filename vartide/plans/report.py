@@ -66,6 +66,17 @@ def asof_next_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.next_return(r.filter(F.col("pos") % 7 == 3).select("asset", "date"), r)
 
 
+@query(
+    Shape("asset date next_date", "", "next_r", 12),
+    S.returns(),
+    "(SELECT l.asset, l.date, r.date AS next_date, r.r AS next_r FROM ret l ASOF LEFT JOIN ret r ON l.asset = r.asset AND l.date < r.date)",
+)
+def asof_next_return_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's next return."""
+    r = panels.panel(spark, sf_dir)
+    return forecast.next_return(r.select("asset", "date"), r)
+
+
 # --- static audits ---------------------------------------------------------------------------------------
 
 AUDIT = Shape(
