@@ -5,14 +5,18 @@ over the array joins the neighbours whose joined bytes have the least rank (left
 no neighbours have one. Ranks are one literal: an array of small maps, found by the checksum of the bytes,
 so a lookup costs the same for any vocabulary. `fold_words` does this for a table of distinct words.
 
+Decoding concatenates binary pieces: `decode_ids` does it for an array of ids.
+
 Whole texts are encoded by tasks that hold a dictionary of the CACHE_WORDS most frequent words of the
-corpus, encoded that way (a fixed bound, sent to the executors once). It only saves work: any other word
-is merged in place by the same rule over a heap (`merge_word`; also what keeps words of many thousand
-bytes, for which a fold that rebuilds its array is quadratic, in n log n). No text is ever shuffled.
+corpus, folded and decoded that way (a fixed bound, sent to the executors once, as Arrow bytes). It only
+saves work: any other word is merged in place by the same rule over a heap (`merge_word`; also what keeps
+words of many thousand bytes, for which a fold that rebuilds its array is quadratic, in n log n). A text's
+ids and its decoded bytes are its words' one after the other. No text is ever shuffled.
 
 Defined cases: null text is empty and has no ids; equal texts get equal ids; repeated rows repeat their
-result; any byte has an id, so every text round-trips; an empty table gives an empty result; extra columns
-are ignored.
+result; ties of ranks go to the leftmost pair; any byte has an id, so every text round-trips; very long texts
+and words are encoded whole; an empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -160,14 +164,17 @@ def splitter(pattern: str):
 
 
 class Words(dict):
-    """Ids by word, as comma-joined decimals. Words that the given ones lack are merged, and kept up to a bound."""
+    """For each word its ids as comma-joined decimals and the bytes that they decode to. Words that the given
+    ones (word, ids, decoded) lack are merged, and kept up to a bound."""
 
-    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], most: int = 600_000):
-        super().__init__({w: ",".join(map(str, ids)) for w, ids in known.items()})
+    def __init__(self, known: pa.Table, ranks: dict[bytes, int], most: int = 600_000):
+        super().__init__(zip((w.decode() for w in known["word"].to_pylist()), zip(known["ids"].to_pylist(), known["decoded"].to_pylist(), strict=True), strict=True))
         self.ranks, self.room = ranks, most
+        self.pieces = {rank: token for token, rank in ranks.items()}
 
-    def __missing__(self, word: str) -> str:
-        found = ",".join(map(str, merge_word(word.encode(), self.ranks)))
+    def __missing__(self, word: str) -> tuple[str, bytes]:
+        ids = merge_word(word.encode(), self.ranks)
+        found = ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
         if self.room and len(word) < 100:
             self[word] = found
             self.room -= 1
@@ -188,14 +195,6 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(step >= least) if least is not None else counts.limit(0)
 
 
-def cache_of(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = CACHE_WORDS) -> dict[str, list[int]]:
-    """At most `most` of the most frequent words of docs with their ids, as folded by Spark."""
-    counts = common.materialize(word_counts(docs, pattern), "words")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = fold_words(frequent(counts, most).repartition(parts, "word"), ranks).toArrow()  # at most `most` short rows
-    return {w.as_py().decode(): ids.as_py() for w, ids in zip(rows["word"], rows["ids"], strict=True)}
-
-
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     """Bytes of an array of ids: the pieces, from a literal array, one after the other."""
     size = max(ranks.values()) + 1
@@ -206,24 +205,42 @@ def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: dict[str, list[int]], with_ids: bool = False) -> DataFrame:
+#: What a dictionary of words holds: the word, its ids as comma-joined decimals, the bytes they decode to.
+CACHE_SCHEMA = pa.schema([("word", pa.binary()), ("ids", pa.string()), ("decoded", pa.binary())])
+
+
+def cache_of(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = CACHE_WORDS) -> pa.Table:
+    """CACHE_SCHEMA of at most `most` of the most frequent words of docs, folded and decoded by Spark."""
+    counts = common.materialize(word_counts(docs, pattern), "words")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = common.materialize(fold_words(frequent(counts, most).repartition(parts, "word"), ranks), "folded")
+    return folded.select("word", F.array_join("ids", ",").alias("ids"), decode_ids(F.col("ids"), ranks).alias("decoded")).toArrow().cast(CACHE_SCHEMA)  # at most `most` short rows
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: pa.Table | dict | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids, comma-joined), decoded_sha256 (of the bytes that the ids
-    decode to) and, with_ids, the ids themselves."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, known))
+    decode to) and, with_ids, the ids themselves. known: what `cache_of` returns, or nothing."""
+    known = known if isinstance(known, pa.Table) else CACHE_SCHEMA.empty_table()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as writer:
+        writer.write_table(known)
+    raw = sink.getvalue().to_pybytes()
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, raw))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, known = shared.value
-        split, words = splitter(pattern), Words(known, ranks)
-        pieces = {str(rank): token for token, rank in ranks.items()}
+        ranks, raw = shared.value
+        split, words = splitter(pattern), Words(pa.ipc.open_stream(raw).read_all(), ranks)
+        of = words.__getitem__
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                said = ",".join([words[w] for w in split(text.as_py() or "")])
-                ids = said.split(",") if said else []
-                back = b"".join([pieces[i] for i in ids])
-                rows.append((doc_id, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *[list(map(int, ids))] * with_ids))
+                found = list(map(of, split(text.as_py() or "")))
+                said = ",".join([x for x, _ in found])
+                back = hashlib.sha256(b"".join([x for _, x in found])).hexdigest()
+                n = said.count(",") + 1 if said else 0
+                rows.append((doc_id, n, hashlib.sha256(said.encode()).hexdigest(), back, *[list(map(int, said.split(","))) if n else []] * with_ids))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: len(names)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
