@@ -28,6 +28,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -90,19 +91,36 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return merge_short(word, ranks) if len(word) <= FOLD_BYTES else merge_long(word, ranks)
 
 
+_JOINS: dict[int, tuple[dict[bytes, int], list[int], list[dict[int, int]]]] = {}
+
+
+def joins_of(ranks: dict[bytes, int]) -> tuple[list[int], list[dict[int, int]]]:
+    """The id of each byte; for each id a map from the ids that may follow it to the id of both joined."""
+    if id(ranks) not in _JOINS:
+        follow: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 1)]
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                    follow[a][b] = rank
+        _JOINS.clear()
+        _JOINS[id(ranks)] = (ranks, [ranks[bytes([k])] for k in range(256)], follow)
+    return _JOINS[id(ranks)][1:]
+
+
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    get, none = ranks.get, len(ranks) + 256
-    parts = [word[i : i + 1] for i in range(len(word))]
-    found = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    single, follow = joins_of(ranks)
+    none = len(follow)
+    parts = [single[x] for x in word]
+    found = [follow[a].get(b, none) for a, b in zip(parts, parts[1:], strict=False)]
     while found and (least := min(found)) < none:
         i = found.index(least)
-        parts[i] += parts.pop(i + 1)
-        found.pop(i)
+        parts[i] = least
+        del parts[i + 1], found[i]
         if i:
-            found[i - 1] = get(parts[i - 1] + parts[i], none)
+            found[i - 1] = follow[parts[i - 1]].get(least, none)
         if i < len(found):
-            found[i] = get(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
+            found[i] = follow[least].get(parts[i + 1], none)
+    return parts
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -153,14 +171,37 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.filter(F.octet_length("word").between(1, FOLD_BYTES)).select("word", fold_merges(F.col("word"), rank_literal(ranks)).alias("ids"))
 
 
+@cache
+def _members(name: str, most: int) -> str:
+    """The characters of a class such as \\p{L} up to the code point `most`, as ranges inside [ ]."""
+    import regex
+
+    every = "".join(map(chr, [*range(min(most + 1, 0xD800)), *range(0xE000, most + 1)]))
+    return "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in regex.finditer(name + "+", every))
+
+
+@cache
 def splitter(pattern: str):
-    """All matches of the pattern. A `+` that ends an alternative is made possessive: nothing follows it that
-    could take a character back, so the matches are the same and the engine keeps no positions."""
+    """All matches of the pattern, as a function of a text. A `+` that ends an alternative is made possessive:
+    nothing follows it that could take a character back, so the matches are the same and the engine keeps no
+    positions. Classes are written out for the standard engine, a short form for texts in ASCII; a pattern
+    with other properties than letters, numbers and white space goes to the `regex` module as it is."""
     import re
 
     import regex
 
-    return regex.compile(re.sub(r"(?<=[\]}s])\+(?=\||$)", "++", pattern)).findall
+    pattern = re.sub(r"(?<=[\]}s])\+(?=\||$)", "++", pattern)
+    if re.search(r"\\[pP](?!\{[LN]\})|\\[^pPsS]|\(\?(?![!=:])", pattern):
+        return regex.compile(pattern).findall
+
+    def written(most: int) -> str:
+        known = {k: _members(k, most) for k in (r"\s", r"\p{L}", r"\p{N}")}
+        inside = lambda m: re.sub(r"\\s|\\p\{[LN]\}", lambda x: known[x[0]], m[0])
+        out = re.sub(r"\[[^\]]*\]", inside, pattern)
+        return re.sub(r"(\\s|\\p\{[LN]\})|\\S", lambda m: f"[{known[m[1]]}]" if m[1] else f"[^{known[chr(92) + 's']}]", out)
+
+    short, full = re.compile(written(0x7F)).findall, re.compile(written(0x10FFFF)).findall
+    return lambda text: (short if text.isascii() else full)(text)
 
 
 class Words(dict):
@@ -170,11 +211,13 @@ class Words(dict):
     def __init__(self, known: pa.Table, ranks: dict[bytes, int], most: int = 600_000):
         super().__init__(zip((w.decode() for w in known["word"].to_pylist()), zip(known["ids"].to_pylist(), known["decoded"].to_pylist(), strict=True), strict=True))
         self.ranks, self.room = ranks, most
-        self.pieces = {rank: token for token, rank in ranks.items()}
+        self.pieces, self.names = [b""] * (max(ranks.values()) + 1), [str(k) for k in range(max(ranks.values()) + 1)]
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
 
     def __missing__(self, word: str) -> tuple[str, bytes]:
         ids = merge_word(word.encode(), self.ranks)
-        found = ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
+        found = ",".join([self.names[i] for i in ids]), b"".join([self.pieces[i] for i in ids])
         if self.room and len(word) < 100:
             self[word] = found
             self.room -= 1
