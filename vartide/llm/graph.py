@@ -45,3 +45,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = common.materialize(both.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
     return common.materialize(labels.join(least, "label").select("node", F.col("least").alias("label")), "labels")
+
+
+def extend(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """`components` of the edges behind labels and more edges (a, b): only the labels that these join are
+    looked at again."""
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    new = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    labels = common.materialize(labels.unionByName(new), "labels")
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    joined = edges.join(end("a"), "a").join(end("b"), "b").filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    higher = components(common.materialize(joined, "edges")).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return common.materialize(labels.join(higher, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")

@@ -9,16 +9,24 @@
    three outcomes of registers (greater, equal, less), given both set sizes, peaks too far below the
    threshold are dropped, the rest is verified on full sets, and components are formed.
 4. A bucket that still spans several components may hide links between them. For its members the
-   shingles that no other such member has are counted: they bound the similarity that any pair can
-   reach. Pairs across components that pass this bound and the likelihood go through the same
-   verification. This is exact for every pair that shares a bucket: nothing is capped.
+   shingles that other such members have, too, are counted: their number bounds the similarity that
+   any pair can reach, and who cannot reach the threshold is out. Of the others the one whose shingles
+   are the most common (the middle of its group) is paired with all members of other components.
+5. Members of buckets that span several components even then are joined by prefix: with shingles
+   in one order, rarest first, a pair at the threshold shares one of each side's first
+   n - ceil(n * threshold) + 1, at places that leave enough to come. Only such pairs across components
+   are looked at, by likelihood and on full sets.
+
+Steps 3 and 4 make as many pairs as a bucket has members. Step 5 is exact for what they leave: every link
+between members that share a bucket is found, and nothing is capped.
 
 A pair at similarity .85 misses all 25 bands of 5 registers with probability 5e-7. At lower thresholds
 bands have fewer registers (`band_width`): at .80, 31 bands of 4 miss a pair with probability 8e-8.
 
 Defined cases: documents without words or text have the empty set and stay alone, as do null doc_ids
 (component null); rows that repeat a doc_id are one document as far as links go and each get a result;
-with fewer than five words the whole sequence is one shingle; extra columns are ignored.
+with fewer than five words the whole sequence is one shingle; equal sets always link; very long texts are
+taken whole; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vartide.llm import common, graph
 
@@ -182,8 +191,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, salts: int = 64) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def alone_counts(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, alone: how many of its shingles no other member has."""
+def shingle_rows(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, shingle for every shingle of the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,56 +201,65 @@ def alone_counts(members: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], ["rep", "shingle"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").dropDuplicates(["rep"])
-    rows = texts.select("rep", "text").mapInArrow(run, "rep long, shingle long")
-    own = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
-    return own.groupBy("rep").agg(F.count("*").alias("alone"))
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingle long")
+
+
+def across(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets (band, label, ...) that span several labels."""
+    mixed = buckets.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    return buckets.join(common.materialize(mixed, "mixed"), "band")
 
 
-def cross_pairs(buckets: DataFrame, percent: int, least: float, width: int = ROWS) -> DataFrame:
-    """Pairs across components from buckets (band, rep, label, n_shingles, alone, registers).
+def central_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's member of the largest `centre` with those of other labels; buckets: band,
+    rep, label, centre."""
+    top = buckets.groupBy("band").agg(F.max(F.struct("centre", (-F.col("rep")).alias("minus"), "label")).alias("top"))
+    top = common.materialize(top.select("band", (-F.col("top.minus")).alias("hub"), F.col("top.label").alias("of")), "hubs")
+    pairs = buckets.join(top, "band").filter("label <> of")
+    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
-    Large buckets are dealt out by pairs of blocks of about BLOCK members. A pair that meets in several
-    buckets is reported by the first of them only."""
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("members"))
-    rows = buckets.join(sizes, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+def prefix_pairs(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across labels that can reach the threshold by their prefixes. held: rep, shingle, holders
+    (of shingles that several have); members: rep, label, n_shingles, alone.
+
+    A shingle that many members have in their prefix is dealt out by pairs of blocks of about BLOCK members."""
+    rows = held.join(members, "rep")
+    at = F.col("alone") + F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    rows = rows.withColumn("at", at).filter(F.col("at") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1)
+    rows = common.materialize(rows.select("shingle", "rep", "label", "n_shingles", "at"), "prefixes")
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    sizes = common.materialize(sizes.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "sizes")
+    rows = rows.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    rows = rows.select("band", "rep", "label", "n_shingles", "alone", "registers", "block", F.explode(both).alias("cell"))
-    rows = rows.repartition("band", "cell").sortWithinPartitions("band", "cell", "rep")
-    names = ["rep", "label", "n_shingles", "alone", "block"]
-
-    def pairs_of(held: list[dict], band: int, cell: tuple[int, int]) -> list[tuple[int, int]]:
-        rep, label, n, alone, block = (np.array([r[c] for r in held]) for c in names)
-        regs = np.frombuffer(b"".join(r["registers"] for r in held), np.int16).reshape(-1, REGISTERS)
-        out, rest, this = [], n - alone, bands(regs[0], width).index(band)
-        for k in range(len(held)):
-            most = np.minimum(rest[k], rest[k + 1 :])
-            ok = (label[k + 1 :] != label[k]) & (100 * most >= percent * (n[k] + n[k + 1 :] - most))
+    names = ["rep", "label", "n_shingles", "at", "block"]
+    rows = rows.select("shingle", *names, F.explode(both).alias("cell")).select("shingle", "cell.i", "cell.j", *names)
+    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "rep")
+
+    def pairs_of(held: list[tuple], cell: tuple[int, int]) -> list[tuple[int, int]]:
+        rep, label, n, at, block = np.array(held).T
+        out, rest = [], n - at + 1
+        for k in range(len(held) - 1):
+            ok = (label[k + 1 :] != label[k]) & ((100 + percent) * np.minimum(rest[k], rest[k + 1 :]) >= percent * (n[k] + n[k + 1 :]))
             if cell[0] != cell[1]:
                 ok &= block[k + 1 :] != block[k]
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                x, y = regs[k], regs[at]
-                j = likely_similarity((x > y).sum(1), (x < y).sum(1), np.full(len(at), n[k]), n[at])
-                first = (x == y)[:, : REGISTERS // width * width].reshape(len(at), -1, width).all(axis=2).argmax(axis=1)
-                out += [(int(min(rep[k], rep[i])), int(max(rep[k], rep[i]))) for i in at[(j >= least) & (first == this)]]
+            out += [(int(rep[k]), int(rep[i])) for i in np.flatnonzero(ok) + k + 1]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held = None, []
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                at = (r["band"], (r["cell"]["i"], r["cell"]["j"]))
-                if at != of:
-                    out += pairs_of(held, *of) if len(held) > 1 else []
-                    of, held = at, []
+            for shingle, i, j, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shingle, i, j) != of:
+                    out += pairs_of(held, of[1:]) if len(held) > 1 else []
+                    of, held = (shingle, i, j), []
                 held.append(r)
             yield _batch(out, [pa.int64()] * 2, ["a", "b"])
         if len(held) > 1:
-            yield _batch(pairs_of(held, *of), [pa.int64()] * 2, ["a", "b"])
+            yield _batch(pairs_of(held, of[1:]), [pa.int64()] * 2, ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -255,18 +273,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = common.materialize(met.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     links = common.materialize(verify(likely(star, classes, least), docs, percent), "links")
     labels = graph.components(links)
-    labelled = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    labelled = common.materialize(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    open_ = common.materialize(labelled.join(common.materialize(mixed, "mixed"), "band"), "open")
-    members = common.materialize(open_.select("rep").distinct(), "members")
-    alone = common.materialize(alone_counts(members, docs), "alone")
-    facts = classes.select("rep", "n_shingles", "registers").join(members, "rep").join(alone, "rep", "left").fillna(0, ["alone"])
-    facts = common.materialize(facts.filter(100 * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")), "facts")
-    crossing = common.materialize(cross_pairs(open_.join(facts, "rep"), percent, least, width), "crossing")
-    more = verify(crossing.join(star, ["a", "b"], "left_anti"), docs, percent)
-    labels = graph.components(links.unionByName(more))
-    named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    named = common.materialize(named, "named")
-    out = sk.join(named, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    named = lambda rows: rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+    open_ = common.materialize(across(common.materialize(named(met).select("band", "rep", "label"), "labelled")), "open")
+    shingled = common.materialize(shingle_rows(open_.select("rep").distinct(), docs), "shingles")
+    several = shingled.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    held = common.materialize(shingled.join(several, "shingle"), "held")
+    common.discard(shingled)
+    facts = held.groupBy("rep").agg(F.count("*").alias("shared"), F.sum(F.log("holders")).alias("weight")).join(classes.select("rep", "n_shingles"), "rep")
+    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    facts = common.materialize(facts.select("rep", "n_shingles", (F.col("n_shingles") - F.col("shared")).alias("alone"), (F.col("weight") / F.col("n_shingles")).alias("centre")), "facts")
+    open_ = common.materialize(across(common.materialize(open_.join(facts.select("rep", "centre"), "rep"), "viable")), "open")
+    spokes = common.materialize(central_pairs(open_).join(star, ["a", "b"], "left_anti"), "spokes")
+    labels = graph.extend(labels, common.materialize(verify(likely(spokes, classes, least), docs, percent), "links"))
+
+    open_ = across(common.materialize(named(open_.select("band", "rep")).select("band", "rep", "label"), "labelled"))
+    members = common.materialize(open_.select("rep", "label").distinct().join(facts.drop("centre"), "rep"), "members")
+    rest = prefix_pairs(held, members, percent).join(star.unionByName(spokes), ["a", "b"], "left_anti")
+    rest = common.materialize(rest, "rest")
+    labels = graph.extend(labels, common.materialize(verify(likely(rest, classes, least), docs, percent), "links"))
+    component = common.materialize(named(classes.select("set_key", "rep")).select("set_key", F.col("label").alias("component")), "named")
+    out = sk.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
