@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,25 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, where driver and executors are
+    one process, an unset one becomes a temporary folder; on a cluster that would be each machine's own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vartide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
