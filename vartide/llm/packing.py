@@ -9,8 +9,8 @@ each piece's place by its length and its rank among pieces of that length. Ranks
 of hashed documents, so a length that a third of all pieces share is ranked by many tasks.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are packed as often as they
-come; ties (equal lengths) are ranked by doc_id, piece and checksum; an empty table packs nothing;
-extra columns are ignored. Only documents over `capacity` tokens are cut: full pieces from the end,
+come; ties (equal lengths) are ranked by doc_id, piece and checksum; very long texts are encoded whole, in one
+task; an empty table packs nothing; extra columns, whatever their names, are ignored. Only documents over `capacity` tokens are cut: full pieces from the end,
 what is left comes first.
 """
 

@@ -7,8 +7,9 @@ counts per pattern of votes: one partial aggregation to at most 3^rules rows at
 which the few arithmetic steps of each iteration run on the driver.
 
 Defined cases: null text has no words and, like every text under 50 words, fails the base rule;
-repeated rows vote each for itself; equal texts get equal verdicts; an empty table gives an empty
-result (the priors stand); other columns do not matter and clash with nothing, as features stay in
+repeated rows vote each for itself; equal texts get equal verdicts; a value on the bound between two votes counts
+as the vote it bounds, a probability of exactly the threshold as good; very long texts are measured whole, in
+their row; an empty table gives an empty result (the priors stand); other columns do not matter and clash with nothing, as features stay in
 one struct.
 """
 
