@@ -15,7 +15,7 @@ def folders(spark, tmp_path_factory):
     texts = [None, "", " \n\t", "ONE two", "one TWO", base, base.replace("word7 ", "other "), base + " end", f"start\n{passage}\nend", f"{passage}\n\n{base}", "same\n" * 7, "ab" * 700, "x" * 64, base[:600] + base[:600], f"\x85  {passage}\x1f\n" * 2]
     pages = ["<p>small</p>", "<p>small</p>", None, "", "<p>" + "long " * 300, "<p>" + "long " * 300, "é" * 40_000, "y" * 8192, "z" * 32_768]
     where = str(tmp_path_factory.mktemp("odd"))
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(k, t, [None, "en", "a & b"][k % 3], [None, "<news>", "web"][k % 4 % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(k, f"http://x/{k}", x) for k, x in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{where}/pages.parquet")
     return {"odd": where, "small": "/root/testdata/sf0.001"}
 

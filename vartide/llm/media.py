@@ -1,17 +1,20 @@
 """Media columns: interleaved documents of text and media references, and the payloads behind them.
 
 `parse_sequences` turns HTML into one row per document with an ordered array of structs
-(position, kind, text, digest, caption). A media reference is an element with a
-`data-digest` attribute or a `digest:` source; the caption is its figcaption, else its alt text, and
-stays in the reference's own struct, so positions and captions remain aligned.
+(position, kind, text, digest, caption, source). A media reference is an element with a `data-digest`
+attribute, a `digest:` source or any other source (its digest is null then); the caption is its figcaption,
+else its alt text, and stays in the reference's own struct, so positions and captions remain aligned. A
+figcaption of a figure without a reference is text. A figcaption that is never closed ends with its figure or
+the document; outside a figure the tag is no more than a block of text.
 `store_samples` puts payloads into 8-bit PCM WAV, reads the stored bytes back and describes them, one
 row for each distinct digest. `resolve` joins the references of all documents with such a store by
-digest and puts the results back in order; without `with_media` no payload is shuffled.
+digest, `gather` puts the results back in order; without `with_media` no payload is shuffled.
 
 Defined cases: null or empty HTML gives an empty sequence; a null payload is empty and is padded to
 64 zero bytes; references without a stored payload keep null payload columns; repeated references
-and repeated rows each get the payload; broken markup is read as far as html.parser reads it; empty
-tables give empty tables; extra columns are ignored.
+and repeated rows each get the payload; equal payloads are one row of the store; broken markup is read as far
+as html.parser reads it; very long pages and payloads are taken whole, each in one task; empty tables give
+empty tables; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
-ITEM_DDL = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("source", pa.string())])
+ITEM_DDL = "struct<position:int,kind:string,text:string,digest:string,caption:string,source:string>"
 STORE_SCHEMA = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 SAMPLE_RATE = 8000
 #: Elements whose content is no text of the document.
@@ -48,52 +51,75 @@ class SequenceParser(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.hidden = 0
-        self.figure: list[int] = []
+        self.figures: list[list[int]] = []  # of open figures, the places of their references
 
     def flush(self) -> None:
-        said = " ".join("".join(self.text).split())
+        self.say(self.text)
         self.text = []
-        if said:
-            self.items.append({"kind": "text", "text": said, "digest": None, "caption": None})
+
+    def say(self, parts: list[str]) -> None:
+        if said := " ".join("".join(parts).split()):
+            self.items.append({"kind": "text", "text": said, "digest": None, "caption": None, "source": None})
+
+    def end_caption(self) -> None:
+        """What was said becomes the caption of the figure's references, or text where it has none."""
+        parts, self.caption = self.caption, None
+        if parts is None:
+            return
+        if self.figures and self.figures[-1]:
+            said = " ".join("".join(parts).split())
+            for k in self.figures[-1]:
+                self.items[k]["caption"] = said or self.items[k]["caption"]
+        else:
+            self.say(parts)
 
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
-        if tag in BLOCKS or tag in MEDIA:
+        if self.caption is not None and tag in BLOCKS:
+            self.caption.append(" ")
+        elif tag in BLOCKS or tag in MEDIA:
             self.flush()
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
+            self.end_caption()
+            self.figures.append([])
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
             self.caption = []
         if tag in MEDIA:
             at = dict(attrs)
             source = at.get("src") or at.get("data") or ""
-            digest = at.get("data-digest") or (source[7:] if source.startswith("digest:") else None)
-            if digest:
-                self.items.append({"kind": "media", "text": None, "digest": digest, "caption": at.get("alt") or None})
-                self.figure.append(len(self.items) - 1)
+            digest = at.get("data-digest") or (source[7:] if source.startswith("digest:") else "")
+            if digest or source:
+                self.items.append({"kind": "media", "text": None, "digest": digest or None, "caption": at.get("alt") or None, "source": source or None})
+                if self.figures:
+                    self.figures[-1].append(len(self.items) - 1)
 
     def handle_endtag(self, tag):
         if tag in HIDDEN and self.hidden:
             self.hidden -= 1
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for k in self.figure:
-                self.items[k]["caption"] = said or self.items[k]["caption"]
-            self.caption = None
-        elif tag in BLOCKS:
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
+        if tag == "figure" and self.figures:
+            self.flush()
+            self.figures.pop()
+        elif tag in BLOCKS and self.caption is None:
             self.flush()
 
     def handle_data(self, data):
         if not self.hidden:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.end_caption()
+        self.flush()
+
 
 def parse_html(html: str | None) -> list[dict]:
     parser = SequenceParser()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
+    parser.finish()
     return [{"position": k} | x for k, x in enumerate(parser.items)]
 
 

@@ -137,7 +137,9 @@ WITH t AS (
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(unhex(x)) AS payload_sha256, CAST(crc AS BIGINT) AS tail_crc32,
        CAST(size + 44 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
        'n=' || n_samples || ';sum=' || total || ';energy=' || energy || ';crossings=' || crossings || ';levels=' || said AS feature,
-       0 AS position, 'document text' AS caption
+       CASE WHEN trim(source) <> '' THEN 1 ELSE 0 END AS position, 'text of document ' || doc_id AS caption,
+       CASE WHEN trim(source) <> '' THEN 'text:' || trim(source) || '::|' ELSE '' END || 'media::text of document ' || doc_id || ':' || n || '|' || CASE WHEN trim(lang) <> '' THEN 'text:' || trim(lang) || '::|' ELSE '' END
+       || 'media::nothing:' || CASE WHEN EXISTS (SELECT 1 FROM p WHERE n = 0) THEN '0' ELSE '' END || '|text:end::' AS sequence
 FROM documents d JOIN p ON p.id = sha256(coalesce(d.text, '')) JOIN figures USING (id) JOIN levels USING (id) JOIN tails USING (id) JOIN files USING (id)
 """
 for _name, _value in (("LE_ALL", "size + 36"), ("LE_SIZE", "size")):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vartide.llm import bpe, common, licenses, linededup, media, neardup, oracles, packing, quality, repeats, secrets, warc
@@ -38,16 +40,37 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(common.table(spark, sf_dir, "documents"), rules).select("doc_id", f["n_candidates"].alias("n_candidates"), f["n_secrets"].alias("n_secrets"), f["top_score"].alias("top_score"), redacted.alias("redacted_sha256"))
 
 
-def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text as samples behind a media reference: parsed, resolved by digest, described.
+def _page_of(own: Column) -> Column:
+    """A document as a page: a heading, its text as a captioned figure by digest, its language, a reference to
+    the empty payload (a digest that every page holds), and a last paragraph. Null parts are left out."""
+    said = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(
+        F.coalesce(F.concat(F.lit("<h1>"), said("source"), F.lit("</h1>")), F.lit("")),
+        F.lit('<figure><img src="digest:'), own, F.lit('" alt="text"><figcaption>text of <b>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("</b></figcaption></figure>"),
+        F.coalesce(F.concat(F.lit("<p>"), said("lang")), F.lit("")),
+        F.lit(f'<img data-digest="{hashlib.sha256(b"").hexdigest()}" alt="nothing"><p>end'),
+    )
 
-    The text takes part as a payload only; its document is a figure that refers to it by digest."""
-    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    figure = F.concat(F.lit('<figure><img src="digest:'), F.sha2(F.encode("text", "UTF-8"), 256), F.lit('"><figcaption>document text</figcaption></figure>'))
-    sequences = media.parse_sequences(docs.select("doc_id", figure.alias("html")), "doc_id")
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as samples behind a media reference: parsed, resolved by digest, put back in order.
+
+    The texts take part as payloads only; a document is a page that refers to its own by digest, between other
+    items. Rows that repeat are one page and come back as often as they were."""
+    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", common.text_or_empty().alias("text"))
+    own = F.sha2(F.encode("text", "UTF-8"), 256)
+    key = F.struct("doc_id", F.xxhash64(own, "lang", "source").alias("page"))
+    pages = docs.select(key.alias("page"), _page_of(own).alias("html")).groupBy("page", "html").agg(F.count("*").alias("copies"))
+    sequences = common.materialize(media.parse_sequences(pages, "page"), "sequences")
     store = common.materialize(media.store_samples(docs), "op4")  # a table, so that the join can split a hot digest
-    resolved = media.resolve(sequences, store, "doc_id")
-    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    resolved = common.materialize(media.resolve(sequences, store, "page"), "resolved")
+    whole = media.gather(sequences, resolved, "page").join(pages.select("page", "copies"), "page")
+    first = F.filter("items", lambda x: x["item"]["kind"] == "media")[0]
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    said = F.transform("items", lambda x: F.concat_ws(":", x["item"]["kind"], blank(x["item"]["text"]), blank(x["item"]["caption"]), blank(x["payload"]["n_bytes"])))
+    rows = whole.select(F.col("page.doc_id").alias("doc_id"), first.alias("own"), F.array_join(said, "|").alias("sequence"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    facts = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.select("doc_id", *[F.col(f"own.payload.{c}").alias(c) for c in facts], F.col("own.at").alias("position"), F.col("own.item.caption").alias("caption"), "sequence")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

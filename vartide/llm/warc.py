@@ -1,8 +1,9 @@
 """WARC archives: write, read back, and reassemble segmented records.
 
 Writing: one record per page; blocks longer than `segment_bytes` become a first segment and
-`continuation` records. HTTP bodies are framed with chunked transfer coding. Spark's text sink
-puts the records into gzip files, so tasks commit or retry as usual.
+`continuation` records. HTTP bodies are framed with chunked transfer coding. Tasks bundle records up to
+`file_bytes` (segments keep any record below that) and Spark's text sink puts each bundle into a gzip file
+of its own, so tasks commit or retry as usual and a file always fits a task.
 Reading: every file is parsed into records by Content-Length; the segments of a record are grouped
 by origin identifier, ordered by segment number, held against the announced total length, and the
 body is decoded from its chunks.
@@ -10,7 +11,9 @@ body is decoded from its chunks.
 Defined cases: null html is an empty payload; null url gives the record's own identifier as target;
 null page_id gives a record whose identifier carries none (page_id comes back null) and such rows
 never become the record that others refer to; repeated rows each give a record; an empty table
-gives no records; extra input columns are ignored. A record with missing or surplus segments, or
+gives no records; extra input columns, whatever their names, are ignored; very long pages are segmented, and
+a record's segments meet in one task; of equal payloads whose largest page_id repeats, every row of that
+page_id is a response. A record with missing or surplus segments, or
 with a wrong total length, comes back with `complete` false and a null payload.
 """
 
@@ -111,18 +114,31 @@ def page_records(page_id, url, payload: bytes, digest: str, record_type: str, re
             yield _record(more + [("WARC-Segment-Total-Length", str(len(block)))] * (k == n - 1), piece)
 
 
-def write_archives(marked: DataFrame, path: str, segment_bytes: int = 32768, chunk_bytes: int = 8192, records_per_file: int = 5000) -> None:
-    """Write what mark_duplicates returns as .gz WARC files under path."""
+FILE_BYTES = 32 << 20
+
+
+def write_archives(marked: DataFrame, path: str, segment_bytes: int = 32768, chunk_bytes: int = 8192, records_per_file: int = 5000, file_bytes: int = FILE_BYTES) -> None:
+    """Write what mark_duplicates returns as .gz WARC files under path, of at most records_per_file records and
+    about file_bytes each (before compression)."""
+    end = b"\r\n\r\n"
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")]
-            out = [x for row in zip(*cols, strict=True) for x in page_records(*row, segment_bytes, chunk_bytes)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    records = marked.mapInArrow(frame, "record binary").select(F.col("record").cast("string").alias("value"))
-    # the record's closing blank lines are the sink's line separator
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+            cols = [b.column(c) for c in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to")]
+            for row in zip(*cols, strict=True):
+                for record in page_records(*(x.as_py() for x in row), segment_bytes, chunk_bytes):
+                    held.append(record)
+                    size += len(record)
+                    if size >= file_bytes or len(held) >= records_per_file:
+                        yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["records"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["records"])
+
+    bundles = marked.mapInArrow(frame, "records binary").select(F.col("records").cast("string").alias("value"))
+    # a bundle's last closing blank lines are the sink's line separator
+    bundles.write.option("lineSep", end.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -168,7 +184,7 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int6
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """A row per record under path: group_key (its own for a record in one piece, else the origin),
-    record_id and _PART. A file's bytes have to fit a task."""
+    record_id and _PART. A file is read by one task; `write_archives` bounds its bytes."""
     schema = f"group_key string, record_id string, {_PART}"
     names, types = [x.split()[0] for x in schema.split(", ")], [pa.string(), pa.string(), *_TYPES]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
