@@ -2,14 +2,16 @@
 
 Texts become words (ASCII lower case) joined by single spaces, so that every rule is a regex over
 words and a match's place is a word number. A keyword prefilter decides which rules a text meets at
-all: one alternation over the whole text first, then each rule's own keyword. Detections are sorted
-by start, longest first, then by priority; one that lies inside an earlier one is suppressed. What is
-left gives labels and a score.
+all: a few plain terms over the whole text first, then each rule's own keyword. A detection whose interval
+lies inside one of higher priority, or inside a longer one of the same, is suppressed; one of higher priority
+stays, also inside a longer one. What is left gives labels and a score.
 
 Base phrases (the contract's) are counted at all their places, whatever the rules say.
 
 Defined cases: null and empty texts have no words, no labels ('') and score 0; repeated rows repeat
-their result; texts of any length are scanned whole; other columns are ignored.
+their result; of equal intervals of one priority the label that sorts first stays; texts of any length are
+scanned whole, in time linear in their matches but for a small power; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -81,19 +83,95 @@ TAGS = ["agpl", "apache", "artistic", "bsd", "bsl", "cc by nc nd", "cc by nc sa"
 #: Sentences of license texts and notices: label, keyword, regex.
 SENTENCES = [
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", "without restriction", r"to deal in the software without restriction"),
+    ("mit", "merge publish", r"to use copy modify merge publish distribute sublicen[sc]e and or sell copies"),
     ("isc", "with or without fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("hpnd", "permission to use", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation"),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "endorse or promote", r"may be used to endorse or promote products derived from this software"),
+    ("bsd", "advertising materials", r"all advertising materials mentioning features or use of this software"),
+    ("bsd", "provided by the", r"this software is provided by the (?:copyright holders?|authors?|regents)(?: and contributors)? as is"),
+    ("apache", "in compliance with", r"you may not use this file except in compliance with the licen[sc]e"),
+    ("apache", "agreed to in writing", r"unless required by applicable law or agreed to in writing"),
+    ("apache", "obtain a copy", r"you may obtain a copy of the licen[sc]e at"),
+    ("apache", "as is", r"on an as is basis without warranties or conditions of any kind"),
+    ("apache", "software foundation", r"licen[sc]ed to the apache software foundation"),
+    ("apache", "terms and conditions", r"terms and conditions for use reproduction and distribution"),
     ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "source distribution", r"this notice may not be removed or altered from any source distribution"),
     ("boost", "machine executable", r"unless such copies or derivative works are solely in the form of machine executable object code"),
+    ("boost", "person or organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify it"),
     ("gpl", "without any warranty", r"but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", "any later version", r"either version (?:2|3) of the licen[sc]e or at your option any later version"),
+    ("gpl", "should have received", r"you should have received a copy of the gnu general public licen[sc]e"),
+    ("gpl", "under the terms", r"under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", "free software", r"this library is free software you can redistribute it and or modify it"),
+    ("lgpl", "should have received", r"you should have received a copy of the gnu lesser general public licen[sc]e"),
+    ("lgpl", "under the terms", r"under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", "should have received", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("agpl", "under the terms", r"under the terms of the gnu affero general public licen[sc]e"),
+    ("gfdl", "permission is granted", r"permission is granted to copy distribute and or modify this document"),
+    ("gfdl", "invariant sections", r"with no invariant sections"),
+    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("mpl", "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e"),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("eupl", "eupl", r"licen[sc]ed under the eupl"),
+    ("artistic", "perl itself", r"(?:same terms|terms) as perl itself"),
+    ("ofl", "reserved font name", r"with reserved font names?"),
+    ("json", "not evil", r"shall be used for good not evil"),
+    ("beerware", "me a beer", r"you can buy me a beer in return"),
+    ("wtfpl", "you want to", r"you just do what the fuck you want to"),
     ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
+    ("unlicense", "free to copy", r"anyone is free to copy modify publish use compile sell or distribute"),
+    ("cc0", "extent possible", r"to the extent possible under law"),
+    ("cc0", "copyright and related", r"all copyright and related or neighbou?ring rights"),
+    ("creative-commons", "creative commons", r"this work is licen[sc]ed under (?:a|the) creative commons"),
     ("public-domain", "public domain", r"(?:is|are|placed|dedicated|released) (?:in|in|to|into) the public domain"),
+    ("public-domain", "no rights", r"no rights reserved"),
     ("proprietary", "all rights", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)"),
+    ("proprietary", "internal use", r"for internal use only"),
+    ("proprietary", "evaluation purposes", r"for evaluation purposes only"),
+    ("proprietary", "prior written", r"without (?:the )?(?:express )?prior written (?:permission|consent)"),
+    ("proprietary", "end user", r"end user licen[sc]e agreement"),
+    ("non-commercial", "commercial", r"for non ?commercial (?:use|purposes)"),
     ("warranty-disclaimer", "as is", r"provided as is without warranty"),
+    ("warranty-disclaimer", "copyright holders", r"in no event shall the (?:authors or )?copyright holders be liable"),
     ("see-license-file", "file", r"see (?:the )?(?:accompanying )?licen[sc]e file"),
+    ("see-license-file", "file", r"licen[sc]e (?:can be found|that can be found|found) in the licen[sc]e file"),
+]
+
+#: Addresses of license texts, as words: label, keyword, regex.
+ADDRESSES = [
+    ("mit", "opensource org", r"opensource org licen[sc]es? mit"),
+    ("bsd", "opensource org", r"opensource org licen[sc]es? bsd"),
+    ("isc", "opensource org", r"opensource org licen[sc]es? isc"),
+    ("zlib", "opensource org", r"opensource org licen[sc]es? zlib"),
+    ("artistic", "opensource org", r"opensource org licen[sc]es? artistic"),
+    ("apache", "apache org", r"apache org licen[sc]es licen[sc]e (?:1 1|2 0)"),
+    ("gpl", "gnu org", r"gnu org licen[sc]es (?:old licen[sc]es )?gpl"),
+    ("lgpl", "gnu org", r"gnu org licen[sc]es (?:old licen[sc]es )?lgpl"),
+    ("agpl", "gnu org", r"gnu org licen[sc]es agpl"),
+    ("gfdl", "gnu org", r"gnu org licen[sc]es fdl"),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licen[sc]es by nc nd"),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licen[sc]es by nc sa"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licen[sc]es by nc"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licen[sc]es by nd"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licen[sc]es by sa"),
+    ("cc-by", "creativecommons", r"creativecommons org licen[sc]es by [1-4] [05]"),
+    ("cc0", "creativecommons", r"creativecommons org publicdomain zero"),
+    ("mpl", "mozilla org", r"mozilla org (?:en us )?mpl"),
+    ("epl", "eclipse org", r"eclipse org legal epl"),
+    ("boost", "boost org", r"boost org licen[sc]e 1 0"),
+    ("ofl", "sil org", r"sil org ofl"),
+    ("unlicense", "unlicense org", r"unlicense org"),
 ]
 
 
@@ -110,10 +188,13 @@ def _rules() -> list[tuple[str, str, str, int, float]]:
     for tag in TAGS:
         out.append((tag.replace(" ", "-"), "spdx", rf"spdx licen[sc]e identifier {tag}(?: [0-9]+)*(?: only| or later)?", 100, 1.0))
     out += [(label, keyword, rule, 70, 0.8) for label, keyword, rule in SENTENCES]
+    out += [(label, keyword, rule, 98, 1.0) for label, keyword, rule in ADDRESSES]
     return out
 
 
 RULES = _rules()
+#: Priorities from high to low; a rule's level is its place here.
+LEVELS = sorted({priority for *_, priority, _ in RULES}, reverse=True)
 
 
 def words_of(text: str = "text") -> Column:
@@ -166,26 +247,38 @@ def base_places(spaced: Column, n_words: Column) -> Column:
 def _literal(rules: list[tuple[str, str, str, int, float]]) -> Column:
     import json
 
-    rows = json.dumps([{"label": a, "keyword": f" {k}" if k in ("mit", "isc", "bsd") else k, "rule": f" (?:{r})(?= )", "priority": p, "sure": s} for a, k, r, p, s in rules])
-    return F.from_json(F.lit(rows), "array<struct<label:string,keyword:string,rule:string,priority:int,sure:double>>")
+    rows = json.dumps([{"label": a, "keyword": f" {k}" if k in ("mit", "isc", "bsd") else k, "rule": f" (?:{r})(?= )", "level": LEVELS.index(p), "sure": s} for a, k, r, p, s in rules])
+    return F.from_json(F.lit(rows), "array<struct<label:string,keyword:string,rule:string,level:int,sure:double>>")
+
+
+def running(values: Column, block: int = 256) -> Column:
+    """For each of the values (int) the sum of those before it; in blocks, as a fold copies what it appends to."""
+
+    def scan(xs: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), step, lambda acc: acc["found"])
+
+    def of(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x))
+        return common.let(scan(totals), lambda starts: F.flatten(F.transform(blocks, lambda xs, i: F.transform(scan(xs), lambda x: x + F.get(starts, i)))))
+
+    count = F.floor((F.size(values) + (block - 1)) / block).cast("int")
+    return common.let(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(values, k * block + 1, F.lit(block))), of)
 
 
 def detections(spaced: Column) -> Column:
-    """All matches of the rules whose keyword the text holds: array of (start, minus length, minus priority,
-    label, sure), places in characters. Gaps between matches and the matches' lengths give each place."""
+    """All matches of the rules whose keyword the text holds: array of (start, minus length, level, label, sure),
+    places in characters. Gaps between matches and the matches' lengths give each place."""
 
     def places(rule: Column) -> Column:
         def of(hits: Column) -> Column:
             def with_gaps(gaps: Column) -> Column:
-                # start of match i: all gaps up to it and all matches before it
-                def step(acc: Column, i: Column) -> Column:
-                    at = acc["at"] + F.length(F.get(gaps, i))
-                    n = F.length(F.get(hits, i))
-                    one = F.struct(at.alias("start"), (-n).alias("minus"), (-rule["priority"]).alias("rank"), rule["label"].alias("label"), rule["sure"].alias("sure"))
-                    return F.struct((at + n).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+                def with_starts(starts: Column) -> Column:
+                    return F.transform(hits, lambda hit, i: F.struct(
+                        (F.get(starts, i) + F.length(F.get(gaps, i))).alias("start"), (-F.length(hit)).alias("minus"), rule["level"].alias("level"), rule["label"].alias("label"), rule["sure"].alias("sure"),
+                    ))
 
-                none = F.array().cast("array<struct<start:int,minus:int,rank:int,label:string,sure:double>>")
-                return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+                return common.let(running(F.transform(hits, lambda hit, i: F.length(F.get(gaps, i)) + F.length(hit))), with_starts)
 
             return F.when(F.size(hits) > 0, common.let(F.split(spaced, rule["rule"], -1), with_gaps))
 
@@ -196,19 +289,21 @@ def detections(spaced: Column) -> Column:
 
 
 def suppress(found: Column) -> Column:
-    """Labels and best confidence of the detections that lie in no earlier, longer or higher one."""
+    """Labels and best confidence of the detections that lie inside none of higher priority and inside no longer
+    one of the same. By start, longest first, whatever contains a detection comes before it: it does if its end
+    lies no farther than the farthest end so far of a level as high."""
 
     def step(acc: Column, d: Column) -> Column:
         end = d["start"] - d["minus"]
-        keep = end > acc["end"]
+        keep = end > F.array_max(F.slice(acc["ends"], F.lit(1), d["level"] + 1))
         return F.struct(
-            F.greatest(acc["end"], end).alias("end"),
+            F.transform(acc["ends"], lambda x, i: F.when(i == d["level"], F.greatest(x, end)).otherwise(x)).alias("ends"),
             F.when(keep, F.array_union(acc["labels"], F.array(d["label"]))).otherwise(acc["labels"]).alias("labels"),
             F.when(keep, F.greatest(acc["sure"], d["sure"])).otherwise(acc["sure"]).alias("sure"),
         )
 
-    zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("sure"))
-    return F.aggregate(F.array_sort(found), zero, step)
+    zero = F.struct(F.array(*[F.lit(-1)] * len(LEVELS)).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("sure"))
+    return F.aggregate(F.array_sort(found), zero, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["sure"].alias("sure")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -217,7 +312,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for term in gate_terms():
         gate = gate | F.contains("spaced", F.lit(term))
     rows = docs.select("doc_id", words_of(text).alias("spaced")).withColumn("n_words", count_words(F.col("spaced")).cast("long"))
-    none = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("sure"))
+    none = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("sure"))
     rows = rows.withColumn("base", base_places(F.col("spaced"), F.col("n_words")))
     rows = rows.withColumn("more", F.when(gate, suppress(detections(F.col("spaced")))).otherwise(none))
     sure = F.when(F.col("base.n_base") > 0, F.greatest(F.col("more.sure"), F.lit(0.75))).otherwise(F.col("more.sure"))
