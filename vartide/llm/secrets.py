@@ -75,8 +75,9 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """value, before, after, label (1: a secret) by rule from row numbers: formats of real credentials on
-    one side; identifiers, paths, digests, placeholders and plain numbers on the other."""
+    """value, before, after, label (1: a secret) by rule from row numbers: formats of real credentials in code,
+    shells, headers and addresses on one side; identifiers, paths, hosts, digests, dates, placeholders and plain
+    numbers on the other."""
     h = lambda k: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}")), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(h(1))), "[+/=]", "k")
     pick = lambda k, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
@@ -90,16 +91,31 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), digits(4, 2))
     snake = F.concat_ws("_", word(5), word(6), word(7), digits(8, 3))
     path = F.concat(F.lit("/"), word(9), F.lit("/"), word(10), F.lit("/"), word(11), F.lit("-"), digits(12, 2), F.lit("."), pick(54, ["py", "js", "html", "json", "log"]))
+    upper = lambda c: F.upper(c)
+    url = F.concat(prose(36), F.lit(" https://"), word(37), F.lit("."), word(38), pick(57, [".com/", ".org/", ".io/v2/", ".net/api/"]))
+    query = F.concat(url, word(39), pick(58, ["?token=", "?api_key=", "?access_token=", "?sig="]))
+    env = F.concat(F.lit("export "), upper(word(40)), pick(59, ["_TOKEN=", "_SECRET=", "_PASSWORD=", "_API_KEY=", "_ACCESS_KEY=\""]))
+    header = F.concat(prose(41), pick(60, [" Authorization: Bearer ", " X-Api-Key: ", " authorization: token ", " Cookie: session_token="]))
+    urlsafe = F.translate(F.base64(F.unhex(h(4))), "+/=", "-_0")
+    mixed = F.concat(F.substring(base64, 3, 7), pick(61, ["!", "$", "%", "_", "-", "#"]), F.substring(base64, 12, 5), digits(42, 2))
+    host = F.concat(pick(62, ["mail", "www", "node", "db-primary-", "cdn", "ns"]), digits(43, 1), F.lit("."), word(44), pick(63, [".com", ".example.com", ".org", ".internal.net"]))
+    address = F.concat(prose(45), F.lit("."), digits(46, 2), F.lit("@"))
+    date = F.concat_ws("-", F.concat(F.lit("20"), digits(47, 2)), F.lit("0").cast("string"), digits(48, 2))
     positive = [
         (F.substring(h(1), 1, 40), assign), (F.substring(h(1), 1, 32), assign), (F.substring(base64, 1, 40), assign), (F.substring(base64, 1, 24), assign),
         (F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(base64, 1, 16), "lo", "QR"))), plain), (F.concat(F.lit("ghp_"), F.substring(base64, 1, 36)), plain),
         (F.concat(F.lit("sk-"), base64), plain), (F.concat(F.lit("AIza"), F.substring(base64, 1, 35)), plain), (F.concat(F.lit("xoxb-"), digits(13, 11), F.lit("-"), F.substring(base64, 1, 24)), assign),
         (F.concat(F.initcap(F.substring(word(14), 1, 5)), F.substring(base64, 1, 6), digits(15, 3)), assign),
+        (upper(F.substring(h(5), 1, 40)), upper(assign)), (F.substring(h(5), 1, 64), env), (F.substring(urlsafe, 1, 32), query), (F.substring(urlsafe, 1, 43), header),
+        (F.concat(F.lit("eyJ"), F.substring(urlsafe, 1, 20), F.lit("."), F.substring(base64, 1, 30)), header), (mixed, assign), (mixed, env),
     ]
     negative = [
         (camel, plain), (snake, plain), (path, plain), (F.substring(h(2), 1, 40), digest), (h(2), digest), (digits(16, 16), plain), (F.concat(digits(17, 9), digits(18, 9)), plain),
         (F.concat(pick(55, ["your_", "example_", "test_", "dummy_", "changeme_"]), word(19), F.lit("_key_1234")), assign), (F.concat(F.repeat(pick(56, ["x", "0", "a1"]), 12), F.lit("0")), assign),
         (F.concat_ws("-", F.substring(h(3), 1, 8), F.substring(h(3), 9, 4), F.substring(h(3), 13, 4), F.substring(h(3), 17, 4), F.substring(h(3), 21, 12)), digest), (F.concat_ws("-", digits(31, 4), digits(32, 2), F.lit("01T00"), word(33), word(34)), plain), (snake, assign), (path, assign),
+        (host, address), (host, url), (F.concat(word(64), F.lit("/"), word(65), F.lit("-"), digits(66, 3)), url), (F.concat(word(67), F.lit("."), word(68), F.lit("_"), word(69), digits(70, 2)), assign),
+        (F.concat(date, F.lit("_"), word(71), F.lit(".csv.gz")), plain), (F.concat_ws(".", word(72), digits(73, 2), digits(74, 1), F.lit("rc1"), word(75)), plain), (F.concat(F.lit("DE"), digits(76, 15), digits(77, 5)), plain),
+        (F.concat(F.lit("os.environ/"), word(78), F.lit("_"), word(79), digits(80, 1)), assign),
     ]
     every = [F.struct(v.alias("value"), b.alias("before"), F.lit(1.0).alias("label")) for v, b in positive] + [F.struct(v.alias("value"), b.alias("before"), F.lit(0.0).alias("label")) for v, b in negative]
     one = F.element_at(F.array(*every), (F.pmod(F.col("id"), F.lit(len(every))) + 1).cast("int"))
