@@ -67,8 +67,9 @@ def regime(q_v: Column, mean_var: Column, limit: float = 1.0) -> tuple[Column, C
     return ratio, F.when(ratio > limit, "replacement").otherwise("signal-preserving")
 
 
-def backtest(test: DataFrame, alpha: float | Column, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """One row per pair: counts, rates, coverage tests, zones and scores before and after correction."""
+def backtest(test: DataFrame, alpha: float | Column, keys: tuple[str, ...] = PAIR, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per pair: counts, rates, coverage tests, zones and scores before and after correction; `more`
+    are further aggregates of the same rows."""
     marked = transitions(transitions(test, "viol_raw", keys), "viol_corr", keys)
     last = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
     marked = marked.withColumn("_age", F.row_number().over(last))
@@ -77,7 +78,7 @@ def backtest(test: DataFrame, alpha: float | Column, keys: tuple[str, ...] = PAI
         v, p = F.col(f"viol_{s}"), F.col(f"prev_viol_{s}")
         aggs += [F.sum(v).alias(f"viol_{s}"), F.sum(F.when(F.col("_age") <= 250, v)).alias(f"last_{s}"), F.avg(stats.pinball(F.col("r"), -F.col(f"var_{s}"), a)).alias(f"qs_{s}")]
         aggs += [F.sum(((p == i) & (v == j)).cast("int")).alias(f"n{i}{j}_{s}") for i in (0, 1) for j in (0, 1)]
-    out = marked.groupBy(*keys).agg(*aggs)
+    out = marked.groupBy(*keys).agg(*aggs, *more)
     n = F.col("n_test")
     for s in ("raw", "corr"):
         x = F.col(f"viol_{s}")
@@ -154,9 +155,12 @@ def rolling_audit(paths: DataFrame, alpha: float = 0.01, window: int = 250, warm
     kept = paths.filter(F.col("pos") >= warmup).withColumn("pos", F.col("pos") - warmup)
     rolled = rolling_qv(kept, alpha, window)
     test = corrected(rolled.withColumns({"var_raw": -F.col("q"), "var_corr": -F.col("q") + F.col("q_v"), "r_t": F.abs("q_v") / (F.abs("q") + 1e-12)}))
-    runs = longest_run(test, F.col("r_t") > 1.0)
-    means = test.groupBy(*PAIR).agg(F.avg("q_v").alias("q_v_mean"), F.stddev_pop("q_v").alias("q_v_std"), F.avg("r_t").alias("r_mean"))
-    out = backtest(test, alpha).drop("q_v", "ratio", "regime").join(means, list(PAIR)).join(runs, list(PAIR))
+    flag = F.coalesce(F.col("r_t") > 1.0, F.lit(False))
+    island = F.row_number().over(Window.partitionBy(*PAIR).orderBy("pos")) - F.row_number().over(Window.partitionBy(*PAIR, "_f").orderBy("pos"))
+    test = test.withColumn("_f", flag).withColumn("_i", island)
+    test = test.withColumn("_run", F.when(F.col("_f"), F.count("*").over(Window.partitionBy(*PAIR, "_f", "_i"))).otherwise(0))
+    more = (F.avg("q_v").alias("q_v_mean"), F.stddev_pop("q_v").alias("q_v_std"), F.avg("r_t").alias("r_mean"), F.max("_run").alias("max_run"))
+    out = backtest(test, alpha, more=more).drop("q_v", "ratio", "regime")
     return out.withColumn("regime", F.when(F.col("max_run") >= persistence, "replacement").otherwise("signal-preserving"))
 
 

@@ -47,34 +47,25 @@ def _isotonic(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q[order], np.clip(numeric.pava((r < q)[order].astype(float)), 0, 1)
 
 
-def _evt_scale(q: np.ndarray, r: np.ndarray, alpha: float, decay: float = 0.94, threshold: float = 0.9) -> float:
-    sigma = numeric.ewma_vol(r, decay)
-    z = (r / sigma)[np.isfinite(r / sigma)]
-    if len(z) < 50 or np.abs(q).mean() <= 1e-12:
+def _evt_scale(q: np.ndarray, r: np.ndarray, alpha: float, decay: float = 0.94) -> float:
+    """Mean volatility times the tail quantile of standardised losses, relative to the forecasts' mean size."""
+    sigma, size = numeric.ewma_vol(r, decay), float(np.abs(q).mean())
+    losses = -r / sigma
+    losses = losses[np.isfinite(losses)]
+    if size <= 1e-12 or losses.size < numeric.MIN_SAMPLE:
         return 1.0
-    losses = -z
-    u = float(np.quantile(losses, threshold))
-    excess = losses[losses > u] - u
-    var = -float(np.quantile(z, alpha))
-    if len(excess) >= 10:
-        xi, beta = numeric.gpd_fit(excess)
-        if abs(xi) <= 0.5 and beta > 0:
-            rate = len(z) / len(excess) * alpha
-            var = u + (beta / xi * (rate**-xi - 1) if abs(xi) > 1e-9 else -beta * np.log(rate))
-    return float(sigma.mean() * var / np.abs(q).mean())
+    return float(sigma.mean()) * numeric.tail_quantile(losses, alpha) / size
 
 
 def _skew_t(cal: np.ndarray, r: np.ndarray, test: np.ndarray, alpha: float) -> np.ndarray:
     """Quantiles of the skewed Student regression; of a normal one around the linear fit where it fails."""
-    p = numeric.skew_t_fit(r, *cal.T)
-    if p is None:
-        from statistics import NormalDist
-
-        slope, base = np.polyfit(cal[:, 0], r, 1)
-        return base + slope * test[:, 0] + NormalDist().inv_cdf(alpha) * np.std(r - base - slope * cal[:, 0])
-    df, xi = float(np.exp(np.clip(p[5], -5, 5))) + 2, float(np.exp(np.clip(p[6], -3, 3)))
-    scale = np.exp(np.clip(p[2] + p[3] * test[:, 1] + p[4] * test[:, 2], -10, 10))
-    return p[0] + p[1] * test[:, 0] + scale * numeric.skew_t_quantile(alpha, df, xi)
+    law = numeric.TwoPieceStudent(cal[:, 0], cal[:, 1:], r)
+    if law.sound:
+        return law.quantile(alpha, test[:, 0], test[:, 1:])
+    from statistics import NormalDist
+
+    slope, base = np.polyfit(cal[:, 0], r, 1)
+    return base + slope * test[:, 0] + NormalDist().inv_cdf(alpha) * np.std(r - base - slope * cal[:, 0])
 
 
 def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...] = ("linear_qr", "isotonic", "evt_pot", "gbm_qr", "skew_t")) -> DataFrame:

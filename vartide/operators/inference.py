@@ -21,10 +21,13 @@ def pooled_kupiec(facts: DataFrame, alpha: float = 0.01, keys: tuple[str, ...] =
 
 
 def loss_pairs(losses: DataFrame, keys: tuple[str, ...] = ("asset", "pos")) -> DataFrame:
-    """model_a < model_b, keys and diff of losses at the same keys (inner; rows are aligned by keys)."""
-    a = losses.select(F.col("model").alias("model_a"), *keys, F.col("loss").alias("loss_a"))
-    b = losses.select(F.col("model").alias("model_b"), *keys, F.col("loss").alias("loss_b"))
-    return a.join(b, list(keys)).filter("model_a < model_b").withColumn("diff", F.col("loss_a") - F.col("loss_b"))
+    """model_a < model_b, keys, loss_a, loss_b and their diff at the same keys (inner; rows are aligned by keys).
+
+    The models of one key are few, so their losses meet in one array and no table is read twice."""
+    met = losses.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("model", "loss"))).alias("xs"))
+    pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: x["model"] < y["model"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    rows = met.select(*keys, F.explode(pairs).alias("p"))
+    return rows.select(F.col("p.a.model").alias("model_a"), F.col("p.b.model").alias("model_b"), *keys, F.col("p.a.loss").alias("loss_a"), F.col("p.b.loss").alias("loss_b"), (F.col("p.a.loss") - F.col("p.b.loss")).alias("diff"))
 
 
 def diebold_mariano(pairs: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b", "asset"), hln: bool = True) -> DataFrame:
@@ -55,8 +58,13 @@ def hac_dm(sums: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b"), band
     s = s.withColumn("mean_diff", F.aggregate("s", stats.d(0), add) / n)
     s = s.withColumn("e", F.transform("s", lambda x: x - F.col("mean_diff")))
     lagged = lambda k: F.aggregate(F.zip_with(F.slice("e", k + 1, F.greatest(F.size("e") - k, F.lit(0))), F.slice("e", F.lit(1), F.greatest(F.size("e") - k, F.lit(0))), lambda a, b: a * b), stats.d(0), add)
-    before = F.lag("s").over(Window.partitionBy(*keys).orderBy(F.col("rpos").desc()))
-    s = s.join(sums.withColumn("_before", before).groupBy(*keys).agg(F.corr("s", "_before").alias("_rho")), list(keys))
+    # correlation of the series with itself one day before
+    late, early = F.slice("s", F.lit(2), F.size("s")), F.slice("s", F.lit(1), F.size("s") - 1)
+    mean = lambda xs: F.aggregate(xs, stats.d(0), add) / F.size(xs)
+    s = s.withColumns({"_late": F.transform(late, lambda x: x), "_early": early}).withColumns({"_ml": mean(F.col("_late")), "_me": mean(F.col("_early"))})
+    s = s.withColumns({"_late": F.transform("_late", lambda x: x - F.col("_ml")), "_early": F.transform("_early", lambda x: x - F.col("_me"))})
+    dot = lambda xs, ys: F.aggregate(F.zip_with(xs, ys, lambda x, y: x * y), stats.d(0), add)
+    s = s.withColumn("_rho", F.try_divide(dot("_late", "_early"), F.sqrt(dot("_late", "_late") * dot("_early", "_early"))))
     s = s.withColumn("g0", lagged(F.lit(0)) / n)
     rho = F.greatest(stats.d(-0.99), F.least(stats.d(0.99), F.coalesce(F.nanvl("_rho", stats.d(0)), stats.d(0))))
     a = 4 * rho * rho / F.pow((1 - rho) * (1 + rho), F.lit(2.0))

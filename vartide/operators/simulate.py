@@ -27,7 +27,7 @@ def innovations(law: str, n: int, rng: np.random.Generator) -> np.ndarray:
         df = int(law[1])
         return rng.standard_t(df, n) / math.sqrt(df / (df - 2))
     if law == "skew_t":
-        df, skew = 5.0, -0.3
+        df, skew = 3.0, -0.5
         a, b, _ = hansen_constants(df, skew)
         t = np.abs(rng.standard_t(df, n)) * math.sqrt((df - 2) / df)
         right = rng.random(n) < (1 + skew) / 2
