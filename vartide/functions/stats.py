@@ -116,6 +116,48 @@ def basel_zone_report(violations: Column, n: Column) -> Column:
     return F.when(scaled <= 4, "Green").when(scaled <= 9, "Yellow").otherwise("Red")
 
 
+def _log_odds(a: Column) -> Column:
+    return F.ln(a / (1.0 - a))
+
+
+def _binomial_sum(n: Column, a: Column, counts) -> Column:
+    """Sum of binomial probabilities of the k for which counts(k, log probability) holds, by a fold over 0..n."""
+
+    def step(acc: Column, k: Column) -> Column:
+        ahead = F.when(k < n, acc["lp"] + F.ln((n - k).cast("double") / (k + 1)) + _log_odds(a)).otherwise(acc["lp"])
+        return F.struct(ahead.alias("lp"), (acc["total"] + F.when(counts(k, acc["lp"]), F.exp(acc["lp"])).otherwise(d(0))).alias("total"))
+
+    start = F.struct((n * F.ln(1.0 - a)).alias("lp"), d(0).alias("total"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), start, step, lambda acc: F.least(d(1), acc["total"]))
+
+
+def binomial_two_sided(x: Column, n: Column, a: Column) -> Column:
+    """Exact test: the probabilities of all counts that are not likelier than x."""
+    own = F.aggregate(F.slice(F.sequence(F.lit(0).cast("long"), n.cast("long")), F.lit(2), x.cast("int")), n * F.ln(1.0 - a), lambda lp, k: lp + F.ln((n - k + 1).cast("double") / k) + _log_odds(a))
+    return _binomial_sum(n, a, lambda k, lp: lp <= own + 1e-7)
+
+
+def binomial_upper(x: Column, n: Column, a: Column) -> Column:
+    """P(X >= x)."""
+    return _binomial_sum(n, a, lambda k, lp: k >= x)
+
+
+def binomial_zone(x: Column, n: Column, a: Column) -> Column:
+    """Traffic light by the probability of fewer violations; at the ends by the rate alone."""
+    below = 1.0 - binomial_upper(x, n, a)
+    return F.when((x == 0) | (x == n), F.when(x / n <= 0.015, "Green").otherwise("Red")).when(below >= 0.9999, "Red").when(below >= 0.95, "Yellow").otherwise("Green")
+
+
+def coverage_variants(x: Column, n: Column, lr: Column, a: Column) -> list[Column]:
+    """p_exact (binomial where no or all days violate), p_floor (1 and 0 there), p_distance (1 within .02 of the
+    level, else 0; absolute likelihood ratio) and upper_tail, P(X >= x)."""
+    ends, p = (x == 0) | (x == n), chi2_sf1(lr)
+    return [
+        F.when(ends, binomial_two_sided(x, n, a)).otherwise(p).alias("p_exact"), F.when(x == 0, d(1)).when(x == n, d(0)).otherwise(p).alias("p_floor"),
+        F.when(ends, F.when(F.abs(x / n - a) > 0.02, d(0)).otherwise(d(1))).otherwise(chi2_sf1(F.abs(lr))).alias("p_distance"), binomial_upper(x, n, a).alias("upper_tail"),
+    ]
+
+
 def pinball(r: Column, q: Column, alpha: Column) -> Column:
     e = r - q
     return F.when(e < 0, (alpha - 1.0) * e).otherwise(alpha * e)

@@ -7,6 +7,8 @@ model and asset go through one plan: windows by (model, asset), partial aggregat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,8 +118,6 @@ def rolling_qv(paths: DataFrame, alpha: float = 0.01, window: int = 250, method:
     if method == "linear":
         q = F.percentile("score", F.lit(1.0 - alpha)).over(w)
     else:
-        import math
-
         rank = min(math.ceil((window + 1) * (1 - alpha)), window)
         if method == "order":
             q = F.element_at(F.array_sort(F.collect_list("score").over(w)), rank)
@@ -180,3 +180,24 @@ def coverage_bound(n_cal: Column, alpha: float = 0.01) -> Column:
     """Guaranteed coverage in percent: 1 - alpha - 2.5 sqrt(ln n / n)."""
     n = n_cal.cast("double")
     return (1.0 - alpha - 2.5 * F.sqrt(F.ln(n) / n)) * 100.0
+
+
+def rolling_bound(tv: Column, window: int = 250, alpha: float = 0.01) -> Column:
+    """Coverage guaranteed under drift: 1 - alpha - tv - sqrt(ln w / w)."""
+    return (1.0 - alpha - (math.log(window) / window) ** 0.5) - tv
+
+
+def at_least(parts: DataFrame, n_cal: int, n_test: int) -> DataFrame:
+    """The pairs that have so many days to fit on and to test."""
+    return parts.filter((F.col("n_cal") >= n_cal) & (F.col("n") - F.col("n_cal") >= n_test))
+
+
+def var_es_correction(parts: DataFrame, alpha: float = 0.01, es_level: float = 0.025) -> DataFrame:
+    """Test rows (with es, negative) with q_v and var_corr, and with n_viol, q_e and es_corr: the correction of
+    expected shortfall is a hybrid quantile of r - es over the violation days of the calibration part, 0 without any."""
+    hits = parts.filter("role = 'cal' and r < q").groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.col("r") - F.col("es"))).alias("s"))
+    n = F.size("s")
+    q_e = stats.lerp_sorted(F.col("s"), stats.order_rank(n, stats.d(es_level)).cast("double") / n.cast("double"))
+    shortfall = hits.select(*PAIR, n.alias("n_viol"), q_e.alias("q_e"))
+    test = apply_shift(parts, fit_static(parts, alpha, "hybrid")).join(shortfall, list(PAIR), "left").fillna(0, ["n_viol", "q_e"])
+    return test.withColumn("es_corr", F.col("q_e") - F.col("es"))

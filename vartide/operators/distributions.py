@@ -80,3 +80,12 @@ def normal_quantile(mean: Column, sd: Column, level: float) -> Column:
 def normal_shortfall(mean: Column, sd: Column, level: float) -> Column:
     z = stats.z_value(level)
     return mean - sd * (0.3989422804014327 * 2.718281828459045 ** (-z * z / 2) / level)
+
+
+def least_squares_normal(quantiles: Column, levels: list[float], first: int, last: int, level: float) -> Column:
+    """The quantile at `level` of the normal law that fits the grid's knots first..last (from 1) by least squares.
+    The knots are symmetric, so location and scale are fitted apart."""
+    z = [stats.z_value(u) for u in levels[first - 1 : last]]
+    knots = F.slice(quantiles, first, last - first + 1)
+    slope = sum((F.get(quantiles, F.lit(first - 1 + k)) * v for k, v in enumerate(z)), stats.d(0)) / sum(v * v for v in z)
+    return mean_of(knots) + slope * stats.z_value(level)

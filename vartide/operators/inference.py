@@ -165,3 +165,34 @@ def wild_cluster_dm(pairs: DataFrame, draws: int = 999, seed: int = 42, keys: tu
     hits = F.sum((F.round(F.abs("t_star"), 9) >= F.round(F.abs("t"), 9)).cast("int"))
     out = star.groupBy(*keys).agg(F.first("t").alias("t"), F.first("se").alias("se"), hits.alias("hits"))
     return out.withColumn("p_boot", F.when(F.col("se") > 0, (F.col("hits") + 1) / (draws + 1)).otherwise(1.0)).drop("hits", "se")
+
+
+def pooled_hac(test: DataFrame, keys: tuple[str, ...] = ("model",), violations: str = "viol_corr") -> DataFrame:
+    """keys, n, days, pi and se_hac: the pooled rate with the Bartlett long-run error of daily sums over assets."""
+    daily = test.groupBy(*keys, "date").agg(F.sum(violations).cast("double").alias("s"), F.count("*").alias("k"))
+    g = daily.groupBy(*keys).agg(F.sum("k").alias("n"), F.count("*").alias("days"), F.sum("s").alias("x"), F.array_sort(F.collect_list(F.struct("date", "s"))).alias("s"))
+    days, add = F.col("days").cast("double"), lambda a, x: a + x
+    g = g.withColumn("e", F.transform("s", lambda v: v["s"] - F.col("x") / days)).withColumn("lags", F.floor(4.0 * F.pow(days / 100.0, F.lit(2 / 9))).cast("int"))
+    lagged = lambda k: F.aggregate(F.zip_with(F.slice("e", k + 1, F.greatest(F.size("e") - k, F.lit(0))), F.slice("e", F.lit(1), F.greatest(F.size("e") - k, F.lit(0))), lambda a, b: a * b), stats.d(0), add)
+    weighted = F.transform(F.sequence(F.lit(0), F.col("lags")), lambda k: F.when(k == 0, 1.0).otherwise(2.0 * (1.0 - k / (F.col("lags") + 1.0))) * lagged(k))
+    error = F.sqrt(F.aggregate(weighted, stats.d(0), add) / (days * (days - 1)))
+    return g.select(*keys, "n", "days", (F.col("x") / F.col("n")).alias("pi"), (error * days / F.col("n")).alias("se_hac"))
+
+
+def two_sample(rows: DataFrame, y: str, late: str, keys: tuple[str, ...]) -> DataFrame:
+    """Student's (equal variances) and Welch's t of the means of y before and after, with Welch's degrees."""
+    part = lambda f, c: f(F.when(F.col(late) == F.lit(c), F.col(y)))
+    g = rows.groupBy(*keys).agg(*[part(f, c).alias(f"{k}{int(c)}") for c in (False, True) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    n0, n1, gap = F.col("n0").cast("double"), F.col("n1").cast("double"), F.col("m0") - F.col("m1")
+    a, b = F.col("v0") / n0, F.col("v1") / n1
+    pooled = ((n0 - 1) * F.col("v0") + (n1 - 1) * F.col("v1")) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)
+    return g.select(*keys, F.col("n0").alias("n_before"), F.col("n1").alias("n_after"), (gap / F.sqrt(pooled)).alias("t"), (gap / F.sqrt(a + b)).alias("welch_t"), ((a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1))).alias("welch_df"))
+
+
+def wild_cluster_sums(sums: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b")) -> DataFrame:
+    """The bootstrap of daily sums over assets whose own series are centred first. A centred series has mean 0 under
+    any signs, so every draw's statistic is 0, and the share of draws that reach t is 1 where t is 0, else 0:
+    no draw has to be made."""
+    g = sums.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("s").alias("m"), F.var_samp("s").alias("v"))
+    g = g.withColumn("t_orig", F.when(F.col("v") > 0, F.abs("m") / F.sqrt(F.col("v") / F.col("n"))).otherwise(0.0))
+    return g.withColumn("p_boot", (F.round("t_orig", 9) <= 0).cast("double")).drop("m", "v")

@@ -39,6 +39,23 @@ def fit_aci(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05) -> DataF
     return cal.withColumn("_a", level).select(*PAIR, F.lit("aci").alias("method"), stats.lerp_sorted(F.col("s"), 1.0 - F.col("_a")).alias("param"))
 
 
+def aci_path(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05) -> DataFrame:
+    """model, asset, pos, score, level and q_t of adaptive inference run over the test part: the level of a day
+    follows the raw violations before it, q_t is that quantile of all test scores."""
+    test = parts.filter("role = 'test'").groupBy(*PAIR).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "score", (F.col("r") < F.col("q")).cast("double").alias("v")))).alias("days"), F.array_sort(F.collect_list("score")).alias("s")
+    )
+
+    def step(a, x):
+        moved = F.greatest(stats.d(1e-6), F.least(stats.d(1 - 1e-6), a["level"] + gamma * (alpha - x["v"])))
+        return F.struct(moved.alias("level"), F.concat(a["all"], F.array(a["level"])).alias("all"))
+
+    start = F.struct(stats.d(alpha).alias("level"), F.array().cast("array<double>").alias("all"))
+    levels = F.aggregate("days", start, step, lambda a: a["all"])
+    rows = test.select(*PAIR, "s", F.explode(F.arrays_zip("days", levels.alias("level"))).alias("d"))
+    return rows.select(*PAIR, "d.days.pos", "d.days.score", "d.level", stats.lerp_sorted(F.col("s"), 1.0 - F.col("d.level")).alias("q_t"))
+
+
 def fit_fhs(parts: DataFrame, alpha: float = 0.01, decay: float = 0.94) -> DataFrame:
     """Filtered historical simulation: mean volatility times the quantile of standardised returns, relative to
     the mean size of the raw forecast."""

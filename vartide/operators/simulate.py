@@ -77,3 +77,83 @@ def summary(runs: DataFrame) -> DataFrame:
         F.count("*").alias("reps"), F.avg("q_v").alias("mean_q_v"), F.stddev_pop("q_v").alias("std_q_v"), F.try_divide(F.stddev_pop("q_v"), F.abs(F.avg("q_v"))).alias("cv"),
         F.avg("pi_raw").alias("mean_pi_raw"), F.avg("pi_corr").alias("mean_pi_corr"), (100 * F.avg(F.col("green").cast("double"))).alias("green_pct"),
     )
+
+
+def rolling_normal_path(r: np.ndarray, window: int, z: float) -> np.ndarray:
+    """Normal quantiles from the mean and deviation of the `window` returns before each day; nan at the start."""
+    q = np.full(len(r), np.nan)
+    past = np.lib.stride_tricks.sliding_window_view(r, window)[:-1]
+    q[window:] = past.mean(axis=1) + z * past.std(axis=1)
+    return q
+
+
+def hybrid_level(n: int, alpha: float) -> float:
+    return min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
+
+
+#: Fixed values of the studies: lengths, calibration shares.
+SAMPLE_SIZES, SHORT_SIZES, SHARES = (250, 500, 1000, 2000, 5000), (250, 500, 1000), (0.4, 0.5, 0.6, 0.7, 0.8)
+
+
+def robustness(spark: SparkSession, reps: int = 500, alpha: float = 0.01, seed: int = 2027) -> DataFrame:
+    """study, law, length, split, rep: rolling normal forecasts on simulated returns, corrected by the hybrid
+    quantile. Study 1: every law and sample size at a share of .7; study 2: two laws, short samples, all shares."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(alpha)
+    cells = [(1, law, n, 0.7) for law in LAWS for n in SAMPLE_SIZES] + [(2, law, n, f) for law in ("t5", "skew_t") for n in SHORT_SIZES for f in SHARES]
+    one = [F.struct(F.lit(k).alias("study"), F.lit(law).alias("law"), F.lit(n).alias("length"), F.lit(f).alias("split")) for k, law, n, f in cells]
+    grid = spark.range(reps).withColumnRenamed("id", "rep").withColumn("c", F.explode(F.array(*one))).select("c.*", "rep").repartition(64, "study", "law", "length", "split", "rep")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for study_, law, n, split, rep in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, study_, LAWS.index(law), int(n), int(split * 10), int(rep)])
+                r, _ = garch_path(n, innovations(law, n, rng))
+                window = min(250, max(50, n // 5))
+                q = rolling_normal_path(r, window, z)[window:]
+                r = r[window:]
+                cut = int(len(r) * split)
+                q_v = float(np.quantile(q[:cut] - r[:cut], hybrid_level(cut, alpha)))
+                hit = r[cut:] < q[cut:] - q_v
+                rows.append((study_, law, n, split, rep, q_v, float((r[cut:] < q[cut:]).mean()), float(hit.mean()), bool(hit.sum() * 250 / len(hit) <= 4)))
+            yield pd.DataFrame(rows, columns=["study", "law", "length", "split", "rep", "q_v", "pi_raw", "pi_corr", "green"])
+
+    return grid.mapInPandas(run, "study int, law string, length int, split double, rep long, q_v double, pi_raw double, pi_corr double, green boolean")
+
+
+def robustness_summary(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("study", "law", "length", "split").agg(
+        F.count("*").alias("reps"), F.avg("q_v").alias("mean_q_v"), F.stddev_pop("q_v").alias("std_q_v"), F.avg("pi_raw").alias("mean_pi_raw"), F.avg("pi_corr").alias("mean_pi_corr"),
+        (100 * F.avg(F.col("green").cast("double"))).alias("green_pct"),
+    )
+
+
+def regime_shift(spark: SparkSession, reps: int = 200, length: int = 5000, shock: tuple[int, int] = (2000, 2500), window: int = 250, alpha: float = 0.01, seed: int = 2028) -> DataFrame:
+    """law, rep and the mean rolling correction before, during and (a window) after a stretch of tripled omega."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(alpha)
+    grid = spark.range(reps).withColumnRenamed("id", "rep").withColumn("law", F.explode(F.array(F.lit("t5"), F.lit("skew_t")))).repartition(64, "law", "rep")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rep, law in pdf[["rep", "law"]].itertuples(index=False):
+                rng = np.random.default_rng([seed, LAWS.index(law), int(rep)])
+                r, _ = garch_path(length, innovations(law, length, rng), shocked=shock)
+                score = (rolling_normal_path(r, window, z) - r)[window:]
+                q = np.quantile(np.lib.stride_tricks.sliding_window_view(score, window)[:-1], hybrid_level(window, alpha), axis=1)
+                day = np.arange(2 * window, length)
+                rows.append((law, rep, float(q[day < shock[0]].mean()), float(q[(day >= shock[0]) & (day < shock[1])].mean()), float(q[day >= shock[1] + window].mean())))
+            yield pd.DataFrame(rows, columns=["law", "rep", "before", "during", "after"])
+
+    return grid.mapInPandas(run, "law string, rep long, before double, during double, after double")
+
+
+def regime_summary(runs: DataFrame) -> DataFrame:
+    """Means by law, and Student's t (equal variances) of before against after."""
+    n = F.count("*").cast("double")
+    pooled = (F.var_samp("before") + F.var_samp("after")) / 2
+    return runs.groupBy("law").agg(F.count("*").alias("reps"), *[F.avg(c).alias(c) for c in ("before", "during", "after")], ((F.avg("before") - F.avg("after")) / F.sqrt(pooled * 2 / n)).alias("t_before_after"))

@@ -1,4 +1,4 @@
 """All queries by name, with the SQL that gives the same rows; importing the modules registers them."""
 
-from vartide.plans import datasets, fitted, report  # noqa: F401
+from vartide.plans import datasets, detail, fitted, report  # noqa: F401
 from vartide.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

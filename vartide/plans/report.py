@@ -389,12 +389,17 @@ def shortfall_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recalibration ---------------------------------------------------------------------------------------
 
 
+def recalibration_sql() -> str:
+    """CTEs up to pm: the parameters of the closed-form methods that need no recursion."""
+    return """hq AS (SELECT model, asset, -quantile_cont(r, 0.01) AS param FROM parts WHERE pos < n_cal GROUP BY ALL),
+sc AS (SELECT model, asset, CASE WHEN AVG(CAST(r < q AS DOUBLE)) > 0 THEN 0.01::DOUBLE / AVG(CAST(r < q AS DOUBLE)) ELSE 1 END AS param FROM parts WHERE pos < n_cal GROUP BY ALL),
+pm AS (SELECT model, asset, 'shift' AS method, q_v AS param FROM qv UNION ALL SELECT model, asset, 'hist_quantile', param FROM hq UNION ALL SELECT model, asset, 'scale', param FROM sc)"""
+
+
 @query(
     Shape("model asset method", "n_test viol", "param qs", 7),
     f"""{S.models()},\n{S.parts()},\n{S.qv()},
-hq AS (SELECT model, asset, -quantile_cont(r, 0.01) AS param FROM parts WHERE pos < n_cal GROUP BY ALL),
-sc AS (SELECT model, asset, CASE WHEN AVG(CAST(r < q AS DOUBLE)) > 0 THEN 0.01::DOUBLE / AVG(CAST(r < q AS DOUBLE)) ELSE 1 END AS param FROM parts WHERE pos < n_cal GROUP BY ALL),
-pm AS (SELECT model, asset, 'shift' AS method, q_v AS param FROM qv UNION ALL SELECT model, asset, 'hist_quantile', param FROM hq UNION ALL SELECT model, asset, 'scale', param FROM sc),
+{recalibration_sql()},
 ap AS (SELECT p.*, method, param, CASE method WHEN 'shift' THEN -q + param WHEN 'hist_quantile' THEN param ELSE -q * param END AS v FROM parts p JOIN pm USING (model, asset) WHERE pos >= n_cal)""",
     f"(SELECT model, asset, method, COUNT(*) AS n_test, SUM(CAST(r < -v AS INT)) AS viol, ANY_VALUE(param) AS param, AVG({S.pinball('r', '(-v)', '0.01::DOUBLE')}) AS qs FROM ap GROUP BY ALL)",
 )

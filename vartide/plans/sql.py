@@ -29,6 +29,33 @@ def kupiec_lr(x: str, n: str, a: str) -> str:
     )
 
 
+def _log_pmf(k: str, n: str, a: str) -> str:
+    return f"(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - {k} + 1.0::DOUBLE) + {k} * ln({a}) + ({n} - {k}) * ln(1.0::DOUBLE - {a}))"
+
+
+def binomial_two_sided(x: str, n: str, a: str) -> str:
+    """Sum of the probabilities that are not above that of x."""
+    return f"list_sum(list_transform(list_filter(range(0, CAST({n} AS BIGINT) + 1), lambda k: {_log_pmf('k', n, a)} <= {_log_pmf(x, n, a)} + 1e-7::DOUBLE), lambda k: exp({_log_pmf('k', n, a)})))"
+
+
+def binomial_upper(x: str, n: str, a: str) -> str:
+    """P(X >= x)."""
+    return f"least(1.0::DOUBLE, list_sum(list_transform(range(CAST({x} AS BIGINT), CAST({n} AS BIGINT) + 1), lambda k: exp({_log_pmf('k', n, a)}))))"
+
+
+def binomial_zone(x: str, n: str, a: str) -> str:
+    up = binomial_upper(x, n, a)
+    return f"(CASE WHEN {x} = 0 OR {x} = {n} THEN CASE WHEN {x}::DOUBLE / {n} <= 0.015 THEN 'Green' ELSE 'Red' END WHEN 1.0::DOUBLE - {up} >= 0.9999 THEN 'Red' WHEN 1.0::DOUBLE - {up} >= 0.95 THEN 'Yellow' ELSE 'Green' END)"
+
+
+def transition_p_report(s: str) -> str:
+    """The reports' form: null where a state never occurs or a rate is 0 or 1."""
+    n00, n01, n10, n11 = (f"n{c}_{s}::DOUBLE" for c in ("00", "01", "10", "11"))
+    p01, p11, p = f"({n01} / ({n00} + {n01}))", f"({n11} / ({n10} + {n11}))", f"(({n01} + {n11}) / ({n00} + {n01} + {n10} + {n11}))"
+    lr = f"(-2.0::DOUBLE * (({n00} + {n10}) * ln(1 - {p}) + ({n01} + {n11}) * ln({p}) - {n00} * ln(1 - {p01}) - {n01} * ln({p01}) - {n10} * ln(1 - {p11}) - {n11} * ln({p11})))"
+    return f"(CASE WHEN {n00} > 0 AND {n01} > 0 AND {n10} > 0 AND {n11} > 0 THEN {chi2_sf1(lr)} END)"
+
+
 def transition_lr(s: str) -> str:
     keep = lambda p: f"greatest(1e-12::DOUBLE, least({p}, 1.0::DOUBLE - 1e-12::DOUBLE))"
     n00, n01, n10, n11 = (f"n{c}_{s}" for c in ("00", "01", "10", "11"))
