@@ -22,13 +22,12 @@ def std_of(xs: Column) -> Column:
 
 
 def sample_quantile(samples: Column, level: float) -> Column:
-    return stats.lerp_sorted(F.array_sort(samples), stats.d(level))
+    return stats.let(F.sort_array(samples), lambda s: stats.lerp_sorted(s, stats.d(level)))
 
 
 def sample_shortfall(samples: Column, level: float) -> Column:
     """Mean of the samples at or below the quantile, else the quantile."""
-    q = sample_quantile(samples, level)
-    return F.coalesce(mean_of(F.filter(samples, lambda x: x <= q)), q)
+    return stats.let(sample_quantile(samples, level), lambda q: F.coalesce(mean_of(F.filter(samples, lambda x: x <= q)), q))
 
 
 def sample_cdf(samples: Column, at: Column) -> Column:
@@ -37,7 +36,7 @@ def sample_cdf(samples: Column, at: Column) -> Column:
 
 def tail_mean(samples: Column, k: int = 10) -> Column:
     """Mean of the k smallest samples."""
-    return mean_of(F.slice(F.array_sort(samples), 1, k))
+    return mean_of(F.slice(F.sort_array(samples), 1, k))
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:

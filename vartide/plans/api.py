@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vartide.functions import stats
 from vartide.operators import conformal, fit, forecast, inference, recalibrate
@@ -20,18 +21,54 @@ FORECASTERS: dict[str, Callable[[DataFrame, float, int], DataFrame]] = {
 }
 
 
-def audit(returns: DataFrame, forecasts: DataFrame | None = None, forecaster: str | Callable | None = None, mode: str = "static", alpha: float = 0.01, split: float = 0.7, window: int = 250, warmup: int = 50) -> DataFrame:
+#: Recalibration methods by name. Closed forms are fitted as short tables, the others in grouped tasks.
+CLOSED = {"shift": recalibrate.fit_shift, "hist_quantile": recalibrate.fit_hist_quantile, "scale": recalibrate.fit_scale, "aci": recalibrate.fit_aci, "fhs": recalibrate.fit_fhs}
+FITTED = ("linear_qr", "isotonic", "evt_pot", "gbm_qr", "skew_t")
+#: One of these names, or a function of parts (model, asset, pos, r, q, role) and alpha that returns the test rows
+#: with var_raw and var_corr.
+Recalibration = str | Callable[[DataFrame, float], DataFrame]
+
+
+def recalibrated(parts: DataFrame, alpha: float, recalibration: Recalibration) -> DataFrame:
+    """Test rows corrected by a method that was fitted on the calibration rows."""
+    if callable(recalibration):
+        rows = recalibration(parts, alpha)
+    elif recalibration in CLOSED:
+        rows = recalibrate.apply(parts, CLOSED[recalibration](parts, alpha))
+    elif recalibration in FITTED:
+        rows = fit.recalibrate(parts, alpha, (recalibration,))
+    else:
+        raise ValueError(f"unknown recalibration {recalibration!r}")
+    # the size of the correction stands in for the shift, so that regimes compare alike
+    shift = F.avg(F.col("var_corr") - F.col("var_raw")).over(Window.partitionBy(*conformal.PAIR))
+    return conformal.corrected(rows.withColumn("q_v", shift))
+
+
+def audit(
+    returns: DataFrame, forecasts: DataFrame | None = None, forecaster: str | Callable | None = None, mode: str = "static", alpha: float = 0.01, split: float = 0.7, window: int = 250, warmup: int = 50,
+    recalibration: Recalibration | None = None,
+) -> DataFrame:
     """One row per pair. Exactly one of `forecasts` (model, asset, date, q) and `forecaster` (a name, or a function
-    of returns, alpha, window); mode is static or rolling."""
+    of returns, alpha, window); mode is static or rolling. With a forecaster, `recalibration` replaces the
+    conformal shift: fitted on the calibration part, in rolling mode on the first `window` days."""
     if (forecasts is None) == (forecaster is None):
         raise ValueError("give exactly one of forecasts and forecaster")
     if mode not in ("static", "rolling"):
         raise ValueError(f"unknown mode {mode!r}")
+    if recalibration is not None and forecasts is not None:
+        raise ValueError("recalibration needs a forecaster")
     if forecasts is not None:
         path, warmup = conformal.align(returns, forecasts), 0
     else:
         path = (FORECASTERS[forecaster] if isinstance(forecaster, str) else forecaster)(returns, alpha, window)
-    return conformal.static_audit(path, alpha, split, warmup) if mode == "static" else conformal.rolling_audit(path, alpha, window, warmup)
+    if recalibration is None:
+        return conformal.static_audit(path, alpha, split, warmup) if mode == "static" else conformal.rolling_audit(path, alpha, window, warmup)
+    if mode == "static":
+        parts = conformal.split_paths(path, split, warmup)
+    else:
+        kept = path.filter(F.col("pos") >= warmup).withColumn("pos", F.col("pos") - warmup)
+        parts = conformal.split_paths(kept).withColumns({"n_cal": F.lit(window), "role": F.when(F.col("pos") < window, "cal").otherwise("test")})
+    return conformal.backtest(recalibrated(parts, alpha, recalibration), alpha)
 
 
 def classify_regime(path: DataFrame, mode: str = "static", alpha: float = 0.01, window: int = 250, persistence: int = 20) -> DataFrame:

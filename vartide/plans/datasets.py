@@ -119,17 +119,17 @@ def practitioner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    Shape("model_a", "", "hist_sim norm_roll scaled_05 scaled_12", 6),
-    f"{S.models()},\n{S.parts()},\n{S.qv()},\n{S.TEST}, {PAIRS_CTE}, dm AS (SELECT model_a, model_b, AVG(diff) / SQRT(GREATEST(VAR_POP(diff), 1e-20) / COUNT(*)) * SQRT((COUNT(*) - 1)::DOUBLE / COUNT(*)) AS dm FROM pr WHERE asset = '1-URGENT' GROUP BY ALL), pv AS (SELECT model_a, model_b, {S.two_sided_p('dm')} AS p FROM dm)",
-    "(SELECT model_a, MAX(CASE WHEN model_b = 'hist_sim' THEN p END) AS hist_sim, MAX(CASE WHEN model_b = 'norm_roll' THEN p END) AS norm_roll, MAX(CASE WHEN model_b = 'scaled_05' THEN p END) AS scaled_05, MAX(CASE WHEN model_b = 'scaled_12' THEN p END) AS scaled_12 FROM pv GROUP BY model_a)",
+    Shape("asset model_a", "", "hist_sim norm_roll scaled_05 scaled_12", 6),
+    f"{S.models()},\n{S.parts()},\n{S.qv()},\n{S.TEST}, {PAIRS_CTE}, dm AS (SELECT asset, model_a, model_b, AVG(diff) / SQRT(GREATEST(VAR_POP(diff), 1e-20) / COUNT(*)) * SQRT((COUNT(*) - 1)::DOUBLE / COUNT(*)) AS dm FROM pr GROUP BY ALL), pv AS (SELECT asset, model_a, model_b, {S.two_sided_p('dm')} AS p FROM dm)",
+    "(SELECT asset, model_a, MAX(CASE WHEN model_b = 'hist_sim' THEN p END) AS hist_sim, MAX(CASE WHEN model_b = 'norm_roll' THEN p END) AS norm_roll, MAX(CASE WHEN model_b = 'scaled_05' THEN p END) AS scaled_05, MAX(CASE WHEN model_b = 'scaled_12' THEN p END) AS scaled_12 FROM pv GROUP BY asset, model_a)",
 )
 def dm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paths(spark, sf_dir).filter("asset = '1-URGENT'")
-    parts = conformal.split_paths(p)
+    """P-values of all pairs of models, a matrix for every asset."""
+    parts = conformal.split_paths(paths(spark, sf_dir))
     test = conformal.apply_shift(parts, conformal.fit_static(parts, ALPHA))
     losses = test.select("model", "asset", "pos", stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA)).alias("loss"))
     tests = inference.diebold_mariano(inference.loss_pairs(losses))
-    return tests.groupBy("model_a").pivot("model_b", ["hist_sim", "norm_roll", "scaled_05", "scaled_12"]).agg(F.first("p_value"))
+    return tests.groupBy("asset", "model_a").pivot("model_b", ["hist_sim", "norm_roll", "scaled_05", "scaled_12"]).agg(F.first("p_value"))
 
 
 @query(
@@ -138,25 +138,21 @@ def dm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(SELECT asset, model_a, MAX(CASE WHEN model_b = 'hist_sim' THEN p END) AS hist_sim, MAX(CASE WHEN model_b = 'norm_roll' THEN p END) AS norm_roll, MAX(CASE WHEN model_b = 'scaled_05' THEN p END) AS scaled_05, MAX(CASE WHEN model_b = 'scaled_12' THEN p END) AS scaled_12 FROM pv GROUP BY asset, model_a)",
 )
 def dm_matrix_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of every asset."""
-    parts = conformal.split_paths(paths(spark, sf_dir))
-    test = conformal.apply_shift(parts, conformal.fit_static(parts, ALPHA))
-    losses = test.select("model", "asset", "pos", stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA)).alias("loss"))
-    tests = inference.diebold_mariano(inference.loss_pairs(losses))
-    return tests.groupBy("asset", "model_a").pivot("model_b", ["hist_sim", "norm_roll", "scaled_05", "scaled_12"]).agg(F.first("p_value"))
+    """The same under its earlier name."""
+    return dm_matrix(spark, sf_dir)
 
 
 @query(
     Shape("model_a model_b asset", "", "dm"),
     f"{S.models()},\n{S.parts()},\n{S.qv()},\n{S.TEST}, {PAIRS_CTE}, dm AS (SELECT model_a, model_b, asset, AVG(diff) / SQRT(GREATEST(VAR_POP(diff), 1e-20) / COUNT(*)) * SQRT((COUNT(*) - 1)::DOUBLE / COUNT(*)) AS dm FROM pr GROUP BY ALL)",
-    "(SELECT model_a, model_b, asset, dm FROM dm ORDER BY ABS(dm) DESC LIMIT 20)",
+    "(SELECT model_a, model_b, asset, dm FROM dm ORDER BY ROUND(ABS(dm), 9) DESC, model_a, model_b, asset LIMIT 20)",
 )
 def dm_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty strongest comparisons, a report of fixed length."""
     parts = conformal.split_paths(paths(spark, sf_dir))
     test = conformal.apply_shift(parts, conformal.fit_static(parts, ALPHA))
     losses = test.select("model", "asset", "pos", stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA)).alias("loss"))
-    return inference.diebold_mariano(inference.loss_pairs(losses)).orderBy(F.abs("dm").desc()).limit(20)
+    return inference.diebold_mariano(inference.loss_pairs(losses)).orderBy(F.round(F.abs("dm"), 9).desc(), "model_a", "model_b", "asset").limit(20)
 
 
 @query(

@@ -84,7 +84,8 @@ _EVERY = f"""{S.models()},\n{S.parts()},\n{S.qv()},\n{_CLOSED},\n{_VOL},\n{_ACI}
 pa AS (SELECT * FROM pm UNION ALL SELECT model, asset, 'fhs', param FROM fz UNION ALL SELECT model, asset, 'aci', param FROM ac),
 ap AS (SELECT p.*, method, CASE WHEN method IN ('shift', 'aci') THEN -q + param WHEN method = 'hist_quantile' THEN param WHEN method = 'scale' THEN -q * param ELSE ABS(q) * param END AS v FROM parts p JOIN pa USING (model, asset) WHERE pos >= n_cal),
 bs AS (SELECT model, asset, method, COUNT(*) AS n, SUM(CAST(r < -v AS INT)) AS x, AVG(ABS(v)) AS width, AVG({S.pinball('r', '(-v)', ONE)}) AS qs FROM ap GROUP BY ALL),
-bz AS (SELECT *, x::DOUBLE / n AS pi, CASE WHEN x IN (0, n) THEN {S.binomial_two_sided('x', 'n', ONE)} ELSE {S.chi2_sf1(S.kupiec_lr('x', 'n', ONE))} END AS p, {S.binomial_zone('x', 'n', ONE)} AS zone FROM bs)"""
+bl AS (SELECT *, {S.kupiec_lr('x', 'n', ONE)} AS lr FROM bs),
+bz AS (SELECT *, x::DOUBLE / n AS pi, CASE WHEN x IN (0, n) THEN {S.binomial_two_sided('x', 'n', ONE)} ELSE {S.chi2_sf1('lr')} END AS p, {S.binomial_zone('x', 'n', ONE)} AS zone FROM bl)"""
 
 
 def baselines(parts: DataFrame, alpha: float = 0.01) -> DataFrame:

@@ -23,28 +23,24 @@ def _every_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.panel(spark, sf_dir).withColumn("samples", F.collect_list("r").over(w)).filter("pos >= 50")
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th day, as the SQL of the queries that use it says."""
-    return _every_sample(spark, sf_dir).filter("pos % 25 = 0")
+SAMPLES_SQL = f"{S.returns()}, sm AS (SELECT asset, date, pos, list(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS xs FROM ret), st AS (SELECT asset, date, pos, list_sort(xs) AS s FROM sm WHERE pos >= 50), sq AS (SELECT *, s[3] + (s[4] - s[3]) * (0.05::DOUBLE * 49 - 2) AS q FROM st)"
 
 
-SAMPLES_SQL = f"{S.returns()}, sm AS (SELECT asset, date, pos, list(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS xs FROM ret), st AS (SELECT asset, date, pos, list_sort(xs) AS s FROM sm WHERE pos >= 50 AND pos % 25 = 0), sq AS (SELECT *, s[3] + (s[4] - s[3]) * (0.05::DOUBLE * 49 - 2) AS q FROM st)"
-
-
-DAILY_SQL = SAMPLES_SQL.replace(" AND pos % 25 = 0", "")
+DAILY_SQL = SAMPLES_SQL
 SAMPLE_SHAPE = Shape("asset date", "", "quantile shortfall cdf0 tail10")
 SAMPLE_ROWS = "(SELECT asset, date, q AS quantile, list_avg(list_filter(s, lambda x: x <= q)) AS shortfall, len(list_filter(s, lambda x: x <= 0)) / 50.0::DOUBLE AS cdf0, list_avg(s[1:10]) AS tail10 FROM sq)"
 
 
 @query(SAMPLE_SHAPE, SAMPLES_SQL, SAMPLE_ROWS)
 def sample_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample_facts(_samples(spark, sf_dir))
+    """Every day with a full window."""
+    return _sample_facts(_every_sample(spark, sf_dir))
 
 
-@query(SAMPLE_SHAPE, DAILY_SQL, SAMPLE_ROWS)
+@query(SAMPLE_SHAPE, SAMPLES_SQL, SAMPLE_ROWS)
 def sample_distribution_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day with a full window."""
-    return _sample_facts(_every_sample(spark, sf_dir))
+    """The same under its earlier name."""
+    return sample_distribution(spark, sf_dir)
 
 
 def _sample_facts(samples: DataFrame) -> DataFrame:
@@ -66,13 +62,14 @@ GRID_ROWS = f"(SELECT asset, date, g[2] AS own, g[2] + (g[3] - g[2]) * (0.25::DO
 
 @query(GRID_SHAPE, f"{SAMPLES_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)", GRID_ROWS)
 def grid_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_facts(_grids(_samples(spark, sf_dir)))
+    """Every day with a full window."""
+    return _grid_facts(_grids(_every_sample(spark, sf_dir)))
 
 
-@query(GRID_SHAPE, f"{DAILY_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)", GRID_ROWS)
+@query(GRID_SHAPE, f"{SAMPLES_SQL}, gr AS (SELECT asset, date, [{_GRID}] AS g FROM st)", GRID_ROWS)
 def grid_distribution_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day with a full window."""
-    return _grid_facts(_grids(_every_sample(spark, sf_dir)))
+    """The same under its earlier name."""
+    return grid_distribution(spark, sf_dir)
 
 
 def _grid_facts(grids: DataFrame) -> DataFrame:
@@ -102,7 +99,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Shape("model asset method", "n_test viol", "qs width", 5))
 def recalibration_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paths(spark, sf_dir).filter(F.col("model").isin("hist_sim", "scaled_05") & (F.col("pos") >= W))
+    p = paths(spark, sf_dir).filter(F.col("pos") >= W)
     p = p.withColumn("pos", F.col("pos") - W)
     rows = conformal.corrected(fit.recalibrate(conformal.split_paths(p)))
     qs = stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA))
@@ -150,17 +147,18 @@ def forecast_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    Shape("asset", "pre_days lag_days", "pre_std peak_r", 7),
-    f"""{S.returns()}, sh AS (SELECT asset, MIN(date) AS d0, MAX_BY(date, ABS(r)) AS peak FROM ret WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY asset)""",
-    "(SELECT ret.asset, SUM(CAST(date < d0 AND date >= d0 - INTERVAL 365 DAY AS INT)) AS pre_days, STDDEV_SAMP(CASE WHEN date < d0 AND date >= d0 - INTERVAL 365 DAY THEN r END) AS pre_std, SUM(CAST(date > d0 AND date <= peak AS INT)) AS lag_days, MAX(CASE WHEN date = peak THEN ABS(r) END) AS peak_r FROM ret JOIN sh USING (asset) GROUP BY ret.asset)",
+    Shape("asset", "year pre_days lag_days", "pre_std peak_r", 7),
+    f"""{S.returns()}, sh AS (SELECT asset, year(date) AS year, MIN(date) AS d0, MAX_BY(date, (ABS(r), -pos)) AS peak FROM ret GROUP BY ALL)""",
+    "(SELECT ret.asset, year, SUM(CAST(date < d0 AND date >= d0 - INTERVAL 365 DAY AS INT)) AS pre_days, STDDEV_SAMP(CASE WHEN date < d0 AND date >= d0 - INTERVAL 365 DAY THEN r END) AS pre_std, SUM(CAST(date > d0 AND date <= peak AS INT)) AS lag_days, MAX(CASE WHEN date = peak THEN ABS(r) END) AS peak_r FROM ret JOIN sh USING (asset) GROUP BY ret.asset, year)",
 )
 def shock_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days from the start of a year to its largest move, beside the calm year before."""
+    """Days from the start of each year to its largest move (the first of equals), beside the calm year before."""
     r = panels.panel(spark, sf_dir)
-    shock = r.filter(F.col("date").between("1998-01-01", "1998-12-31")).groupBy("asset").agg(F.min("date").alias("d0"), F.max_by("date", F.abs("r")).alias("peak"))
-    joined = r.join(shock, "asset")
+    peak = F.max_by("date", F.struct(F.abs("r"), -F.col("pos")))
+    shock = r.groupBy("asset", F.year("date").alias("year")).agg(F.min("date").alias("d0"), peak.alias("peak"))
+    joined = r.join(shock, "asset")  # a row for each day and year of an asset
     before = (F.col("date") < F.col("d0")) & (F.col("date") >= F.date_sub("d0", 365))
-    return joined.groupBy("asset").agg(
+    return joined.groupBy("asset", "year").agg(
         F.sum(before.cast("int")).alias("pre_days"), F.stddev_samp(F.when(before, F.col("r"))).alias("pre_std"),
         F.sum(((F.col("date") > F.col("d0")) & (F.col("date") <= F.col("peak"))).cast("int")).alias("lag_days"), F.max(F.when(F.col("date") == F.col("peak"), F.abs("r"))).alias("peak_r"),
     )

@@ -58,12 +58,13 @@ def forecast_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     Shape("asset date next_date", "", "next_r", 12),
-    f"{S.returns()}, late AS (SELECT asset, date FROM ret WHERE pos % 7 = 3)",
-    "(SELECT l.asset, l.date, r.date AS next_date, r.r AS next_r FROM late l ASOF LEFT JOIN ret r ON l.asset = r.asset AND l.date < r.date)",
+    S.returns(),
+    "(SELECT l.asset, l.date, r.date AS next_date, r.r AS next_r FROM ret l ASOF LEFT JOIN ret r ON l.asset = r.asset AND l.date < r.date)",
 )
 def asof_next_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's next return."""
     r = panels.panel(spark, sf_dir)
-    return forecast.next_return(r.filter(F.col("pos") % 7 == 3).select("asset", "date"), r)
+    return forecast.next_return(r.select("asset", "date"), r)
 
 
 @query(
@@ -72,9 +73,8 @@ def asof_next_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(SELECT l.asset, l.date, r.date AS next_date, r.r AS next_r FROM ret l ASOF LEFT JOIN ret r ON l.asset = r.asset AND l.date < r.date)",
 )
 def asof_next_return_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day's next return."""
-    r = panels.panel(spark, sf_dir)
-    return forecast.next_return(r.select("asset", "date"), r)
+    """The same under its earlier name."""
+    return asof_next_return(spark, sf_dir)
 
 
 # --- static audits ---------------------------------------------------------------------------------------
@@ -172,10 +172,10 @@ def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     Shape("alpha model", "pairs rejected_raw rejected_corr"),
     FACTS_SQL,
-    "(SELECT alpha, model, COUNT(*) AS pairs, SUM(CAST(kupiec_p_raw < 0.05 AS INT)) AS rejected_raw, SUM(CAST(kupiec_p_corr < 0.05 AS INT)) AS rejected_corr FROM facts WHERE model IN ('hist_sim', 'scaled_05', 'norm_roll') GROUP BY ALL)",
+    "(SELECT alpha, model, COUNT(*) AS pairs, SUM(CAST(kupiec_p_raw < 0.05 AS INT)) AS rejected_raw, SUM(CAST(kupiec_p_corr < 0.05 AS INT)) AS rejected_corr FROM facts GROUP BY ALL)",
 )
 def multi_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = full_facts(spark, sf_dir).filter(F.col("model").isin("hist_sim", "scaled_05", "norm_roll"))
+    f = full_facts(spark, sf_dir)
     rejected = lambda c: F.sum((F.col(c) < 0.05).cast("int"))
     return f.groupBy("alpha", "model").agg(F.count("*").alias("pairs"), rejected("kupiec_p_raw").alias("rejected_raw"), rejected("kupiec_p_corr").alias("rejected_corr"))
 
