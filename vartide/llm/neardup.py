@@ -8,7 +8,7 @@
 3. In each bucket every member is paired with the smallest one only. Pairs whose likelihood over the
    three outcomes of registers (greater, equal, less), given both set sizes, peaks too far below the
    threshold are dropped, the rest is verified on full sets, and components are formed.
-4. A bucket that still spans several components may hide links between them. For its members the
+4. A bucket whose other members still span several components may hide links between these. For them the
    shingles that other such members have, too, are counted: their number bounds the similarity that
    any pair can reach, and who cannot reach the threshold is out. Of the others the one whose shingles
    are the most common (the middle of its group) is paired with all members of other components.
@@ -275,7 +275,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = graph.components(links)
     named = lambda rows: rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
-    open_ = common.materialize(across(common.materialize(named(met).select("band", "rep", "label"), "labelled")), "open")
+    # the smallest member has met all others, so only links between others can be hidden
+    others = named(met.filter("rep <> leader")).select("band", "rep", "label")
+    open_ = common.materialize(across(common.materialize(others, "labelled")), "open")
     shingled = common.materialize(shingle_rows(open_.select("rep").distinct(), docs), "shingles")
     several = shingled.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     held = common.materialize(shingled.join(several, "shingle"), "held")
