@@ -116,3 +116,18 @@ def test_label_model_against_plain_expectation_maximisation():
         good = (8 + sum(q)) / (10 + len(q))
         p = {c: [[x / sum(m) for x in m] for m in mass[c]] for c in (0, 1)}
     assert all(abs(model.posterior(c) - post(v)) < 1e-9 for c, v in zip(codes, patterns, strict=True))
+
+
+def test_groups_of_a_large_bin_are_its_windows(spark, monkeypatch):
+    """With bins of more than two classes dealt by windows, every repeated window is still covered by groups."""
+    monkeypatch.setattr(repeats, "BIN", 2)
+    passage = " ".join(words(60, 21))
+    rows = [(k, " ".join(words(30, 30 + k)) + passage + " ".join(words(30, 60 + k))) for k in range(5)]
+    raw = {k: t.encode() for k, t in rows}
+    groups = collections.defaultdict(set)
+    for r in repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups[r.group_id].add((r.doc_id, r.start, raw[r.doc_id][r.start : r.start + r.length]))
+    assert groups and all(len({x for *_, x in g}) == 1 and len(g) > 1 for g in groups.values())
+    covered = {(d, k) for g in groups.values() for d, at, x in g for k in range(at, at + len(x) - 199)}
+    at = collections.Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
+    assert covered == {(d, k) for d, b in raw.items() for k in range(len(b) - 199) if at[b[k : k + 200]] > 1}

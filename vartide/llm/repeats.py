@@ -287,17 +287,22 @@ def reaches(shared: DataFrame, docs: DataFrame, min_len: int = MIN_LEN) -> DataF
 
 
 def repeat_groups(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """Maximal repeat groups with all occurrences: group_id, length, doc_id, text_key, start."""
+    """Maximal repeat groups with all occurrences: group_id, length, doc_id, text_key, start. In a bin of more
+    than BIN classes the groups are its repeated `min_len`-byte windows, found with partial counts."""
     docs = keyed(docs)
     shared = shared_places(docs, min_len)
     place = F.struct("doc_id", "text_key", "at", "start", "stop")
     classes = common.materialize(shared.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(place).alias("place")), "classes")
-    sliced = slice_classes(classes.withColumn("hot", F.lit(False)).join(shared.filter("mixed").select("gram").distinct(), "gram"), docs)
-    groups = bin_groups(sliced, min_len)
-    same = classes.filter("n > 1").select("gram", F.lit(-1).alias("group"), "region", (F.col("place.at") - F.col("place.start")).alias("reach_left"), (F.col("place.stop") - F.col("place.at")).alias("reach_right"))
-    every = shared.join(groups.unionByName(same), ["gram", "region"])
-    group_id = F.when(F.col("group") < 0, F.xxhash64("gram", "region")).otherwise(F.xxhash64("gram", "group"))
-    return every.select(group_id.alias("group_id"), (F.col("reach_left") + F.col("reach_right")).alias("length"), "doc_id", "text_key", (F.col("at") - F.col("reach_left")).alias("start"))
+    mixed = shared.filter("mixed").select("gram").distinct()
+    bins = common.materialize(classes.join(mixed, "gram").groupBy("gram").agg((F.count("*") > BIN).alias("hot")), "bins")
+    sliced = common.materialize(slice_classes(classes.join(bins, "gram"), docs), "sliced")
+    groups = bin_groups(sliced.filter("not hot"), min_len).select("gram", F.xxhash64("gram", "group").alias("group_id"), "region", "reach_left", "reach_right")
+    windows = common.materialize(window_rows(sliced.filter("hot"), min_len), "windows")
+    twice = common.materialize(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "twice")
+    from_windows = windows.join(twice, "window").select("gram", F.col("window").alias("group_id"), "region", F.col("ahead").alias("reach_left"), (F.lit(min_len) - F.col("ahead")).alias("reach_right"))
+    same = classes.filter("n > 1").select("gram", F.xxhash64("gram", "region").alias("group_id"), "region", (F.col("place.at") - F.col("place.start")).alias("reach_left"), (F.col("place.stop") - F.col("place.at")).alias("reach_right"))
+    every = shared.join(groups.unionByName(from_windows).unionByName(same), ["gram", "region"])
+    return every.select("group_id", (F.col("reach_left") + F.col("reach_right")).alias("length"), "doc_id", "text_key", (F.col("at") - F.col("reach_left")).alias("start"))
 
 
 def remove_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
