@@ -6,7 +6,9 @@ come from a hash of the pair, never from partitions, so results do not depend on
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -68,9 +70,15 @@ def _skew_t(cal: np.ndarray, r: np.ndarray, test: np.ndarray, alpha: float) -> n
     return base + slope * test[:, 0] + NormalDist().inv_cdf(alpha) * np.std(r - base - slope * cal[:, 0])
 
 
+def _features(pdf: pd.DataFrame) -> np.ndarray:
+    """Forecast and the deviations of the 5 and 20 returns before each day."""
+    past = pd.Series(pdf.r.to_numpy())
+    return np.column_stack([pdf.q, past.rolling(5, min_periods=2).std().shift().fillna(0), past.rolling(20, min_periods=2).std().shift().fillna(0)])
+
+
 def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...] = ("linear_qr", "isotonic", "evt_pot", "gbm_qr", "skew_t")) -> DataFrame:
     """Test rows by method with var_corr: quantile regression (pinball loss), isotonic coverage, peaks over
-    threshold on standardised returns, boosted quantile stumps and a skewed Student regression on forecast and
+    threshold on standardised returns, boosted quantile trees and a skewed Student regression on forecast and
     lagged volatilities."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,10 +97,9 @@ def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...]
             elif method == "evt_pot":
                 v = np.abs(tq) * _evt_scale(q, r, alpha)
             else:
-                past = pd.Series(pdf.r.to_numpy())
-                vol = np.column_stack([pdf.q, past.rolling(5, min_periods=2).std().shift().fillna(0), past.rolling(20, min_periods=2).std().shift().fillna(0)])
+                vol = _features(pdf)
                 a, b = vol[(pdf.role == "cal").to_numpy()], vol[(pdf.role == "test").to_numpy()]
-                v = -(numeric.boosted_quantile(a, r, alpha)(b) if method == "gbm_qr" else _skew_t(a, r, b, alpha))
+                v = -(numeric.BoostedQuantile(a, r, alpha)(b) if method == "gbm_qr" else _skew_t(a, r, b, alpha))
             out.append(test[["model", "asset", "pos", "r"]].assign(method=method, var_raw=-tq, var_corr=v))
         return pd.concat(out)[["model", "asset", "pos", "r", "method", "var_raw", "var_corr"]]
 
@@ -100,28 +107,39 @@ def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...]
     return parts.select(*PAIR, "pos", "r", "q", "role").groupBy(*PAIR).applyInPandas(run, schema)
 
 
-def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, span: int = 32) -> DataFrame:
-    """GJR-GARCH forecasts with normal quantiles, refitted every day on the last `window` returns; mean and
-    deviation of the window where a fit is not possible.
+#: Settings of the boosted regression that `boosted_grid` compares: trees, leaves (2^depth - 1), rate.
+GRID = tuple((n, 2**d - 1, rate) for n in (100, 500) for d in (3, 5) for rate in (0.01, 0.05))
 
-    A group is an asset's `span` days with the `window` days before them, so one history spreads over tasks."""
-    from statistics import NormalDist
 
-    z = NormalDist().inv_cdf(alpha)
+def boosted_grid(parts: DataFrame, alpha: float = 0.01, grid: tuple[tuple[int, int, float], ...] = GRID) -> DataFrame:
+    """Test rows by pair and setting of the boosted regression, with var_corr and the trees kept; each pair and
+    setting is a group of its own, so a grid spreads over tasks."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        x, cal, test = _features(pdf), (pdf.role == "cal").to_numpy(), (pdf.role == "test").to_numpy()
+        trees, leaves, rate = grid[key[2]]
+        model = numeric.BoostedQuantile(x[cal], pdf.r.to_numpy()[cal], alpha, trees, rate, leaves)
+        out = pdf[test]
+        return pd.DataFrame({"model": key[0], "asset": key[1], "pos": out.pos, "r": out.r, "trees": trees, "leaves": leaves, "rate": rate, "kept": len(model.trees), "var_raw": -out.q, "var_corr": -model(x[test])})
+
+    rows = parts.select(*PAIR, "pos", "r", "q", "role", F.explode(F.array(*map(F.lit, range(len(grid))))).alias("_setting"))
+    rows = rows.repartition(max(TASKS, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *PAIR, "_setting")
+    return rows.groupBy(*PAIR, "_setting").applyInPandas(run, "model string, asset string, pos long, r double, trees int, leaves int, rate double, kept int, var_raw double, var_corr double")
+
+
+def _daily(returns: DataFrame, window: int, span: int, forecasts: Callable[[np.ndarray], dict[str, float | None]]) -> DataFrame:
+    """Paths of forecasts made for every day from its last `window` returns: `forecasts` gives a quantile for
+    each model name, or None where a day has none.
+
+    A group is an asset's `span` days with the `window` days before them, so one history spreads over tasks."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_t")
-        r, own = pdf.r.to_numpy() * 100, (pdf["_t"] >= key[1] * span).to_numpy()
-        q = np.zeros(len(r))
-        for t in np.flatnonzero(own):
-            past = r[max(0, t - window) : t]
-            if len(past) < 50:
-                q[t] = past.mean() + z * past.std() if len(past) > 1 else 0.0
-                continue
-            fit = numeric.gjr_fit(past)
-            q[t] = fit[0] + z * np.sqrt(numeric.gjr_filter(past, *fit)[-1])
-        mine = pdf[own]
-        return pd.DataFrame({"model": "gjr_garch", "asset": key[0], "date": mine.date, "pos": mine.pos, "r": mine.r, "q": q[own] / 100})
+        r, own = pdf.r.to_numpy(), (pdf["_t"] >= key[1] * span).to_numpy()
+        dates, places = pdf.date.to_numpy(), pdf.pos.to_numpy()
+        rows = [(m, key[0], dates[t], places[t], r[t], q) for t in np.flatnonzero(own) for m, q in forecasts(r[max(0, t - window) : t]).items() if q is not None]
+        return pd.DataFrame(rows, columns=["model", "asset", "date", "pos", "r", "q"])
 
     t = F.row_number().over(Window.partitionBy("asset").orderBy("pos")) - 1
     last = F.max("_t").over(Window.partitionBy("asset"))
@@ -132,6 +150,67 @@ def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, span:
     return dealt.groupBy("asset", "_span").applyInPandas(run, "model string, asset string, date date, pos long, r double, q double")
 
 
+def gjr_garch(returns: DataFrame, alpha: float = 0.01, window: int = 250, span: int = 32, innovations: str = "normal", leverage: bool = True) -> DataFrame:
+    """GARCH forecasts refitted every day on the last `window` returns; the normal law of the window where it has
+    fewer than 50 or no fit is found. Innovations: `normal`, or `skewed_t` (Hansen's law, which
+    always has leverage), whose quantile is that of the non-central t that stands for it in `parametric`, or
+    `hansen` for the fitted law's own quantile. Without `leverage` the normal model is the plain one."""
+    from statistics import NormalDist
+
+    if innovations not in ("normal", "skewed_t", "hansen") or (innovations != "normal" and not leverage):
+        raise ValueError(f"unknown model: innovations {innovations!r}, leverage {leverage}")
+    z = NormalDist().inv_cdf(alpha)
+    name = {"normal": "gjr_garch" if leverage else "garch", "skewed_t": "gjr_skewed_t", "hansen": "gjr_hansen"}[innovations]
+
+    def one(past: np.ndarray) -> dict[str, float | None]:
+        past = past * 100
+        if len(past) < 50:
+            return {name: float(past.mean() + z * past.std()) / 100 if len(past) > 1 else 0.0}
+        own = z
+        if innovations == "normal":
+            model = numeric.gjr_fit(past, leverage)
+        else:
+            *model, df, skew = numeric.skewed_gjr_fit(past)
+            own = (numeric.nct_ppf if innovations == "skewed_t" else numeric.hansen_ppf)(alpha, df, skew)
+        q = model[0] + own * math.sqrt(numeric.gjr_filter(past, *model)[-1])
+        return {name: float(q if math.isfinite(q) else past.mean() + z * past.std()) / 100}
+
+    return _daily(returns, window, span, one)
+
+
+#: Fixed values of the daily tail forecasts: the peaks' quantile and the largest Value-at-Risk taken.
+PEAKS_FROM, VAR_CAP = 0.95, 1.0
+
+
+def tail_forecasts(returns: DataFrame, alpha: float = 0.01, window: int = 250, span: int = 32, cap: float | None = VAR_CAP) -> DataFrame:
+    """Paths of `fhs` (filtered historical simulation) and `evt_pot` (a generalised Pareto law over the peaks of
+    standardised losses) for every day with a full window.
+
+    Returns are standardised by a plain zero-mean GARCH fitted to the window; where that has no finite forecast,
+    the whole window by one exponentially weighted volatility. evt_pot takes fhs's forecast where peaks are
+    few, the law is unsound, or the result is not within (0, cap]; None sets no cap, for returns that are
+    not fractions. A window of zeros has no forecast."""
+
+    def one(past: np.ndarray) -> dict[str, float | None]:
+        if len(past) < max(window, numeric.MIN_SAMPLE) or not past.any():
+            return {}
+        model = numeric.gjr_fit(past * 100, leverage=False, mean=False)
+        sigma = np.sqrt(numeric.gjr_filter(past * 100, *model)) / 100
+        ahead, z = float(sigma[-1]), past / np.maximum(sigma[:-1], 1e-300)
+        if not (math.isfinite(ahead) and ahead > 0 and np.isfinite(z).all()):
+            weights = 0.94 ** np.arange(len(past) - 1, -1, -1.0)
+            ahead = float(np.sqrt(np.sum(weights * past**2) / weights.sum()))
+            if ahead <= 0:
+                return {}
+            z = past / ahead
+        fhs = ahead * float(np.quantile(z, alpha))
+        peaks = -ahead * numeric.tail_quantile(-z, alpha, PEAKS_FROM)
+        sound = -peaks > 0 and (cap is None or -peaks <= cap)
+        return {"fhs": fhs, "evt_pot": peaks if sound else fhs}
+
+    return _daily(returns, window, span, one)
+
+
 def parametric(laws: DataFrame, alpha: float = 0.01) -> DataFrame:
     """laws (id, family, df, skew, location, scale, at) with quantile, shortfall and the distribution function
     at `at`. Families: normal, student_t (needs df), skewed_t (needs df and skew: a non-central t).

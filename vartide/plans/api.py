@@ -18,6 +18,10 @@ FORECASTERS: dict[str, Callable[[DataFrame, float, int], DataFrame]] = {
     "norm_roll": lambda r, a, w: forecast.rolling_normal(r, a, w).drop("es"),
     "ewma": lambda r, a, w: forecast.ewma(r, a, w),
     "gjr_garch": lambda r, a, w: fit.gjr_garch(r, a, w),
+    "garch": lambda r, a, w: fit.gjr_garch(r, a, w, leverage=False),
+    "gjr_skewed_t": lambda r, a, w: fit.gjr_garch(r, a, w, innovations="skewed_t"),
+    "fhs_daily": lambda r, a, w: fit.tail_forecasts(r, a, w).filter("model = 'fhs'"),
+    "evt_pot_daily": lambda r, a, w: fit.tail_forecasts(r, a, w).filter("model = 'evt_pot'"),
 }
 
 

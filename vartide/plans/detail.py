@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vartide.functions import stats
-from vartide.operators import conformal, forecast, inference, recalibrate, simulate
+from vartide.operators import conformal, fit, forecast, inference, recalibrate, simulate
 from vartide.operators import distributions as D
 from vartide.plans import report as R
 from vartide.plans import sql as S
@@ -211,18 +211,33 @@ cr AS (SELECT closure AS model, cl.asset, cl.date, ROW_NUMBER() OVER (PARTITION
 )
 def tail_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ways from deciles to the 1 % quantile (a normal law by least squares on nine or the inner seven
-    deciles, a straight line), each corrected and audited. `tail_completion` has the Student closure."""
+    deciles, a straight line), each corrected and audited. `tail_closures_student` has the Student law."""
     g = _grids(_every_sample(spark, sf_dir))
     u, q = F.col("levels"), F.col("quantiles")
     cells = [("gaussian", D.least_squares_normal(q, LEVELS, 1, 9, ALPHA)), ("inner7", D.least_squares_normal(q, LEVELS, 2, 8, ALPHA)), ("linear", D.grid_quantile(u, q, ALPHA))]
     rows = g.select("asset", "date", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), forecast.exact(v).alias("q")) for k, v in cells])).alias("c")).select("c.model", "asset", "date", "c.q")
-    path = conformal.align(panels.panel(spark, sf_dir), rows)
+    return _closure_audit(conformal.align(panels.panel(spark, sf_dir), rows))
+
+
+def _closure_audit(path: DataFrame) -> DataFrame:
     f = conformal.static_audit(path, ALPHA, method="order")
     n = conformal.split_paths(path).groupBy(*PAIR).agg(F.first("n_cal").alias("n_cal"))
     zone = stats.binomial_zone(F.col("viol_corr"), F.col("n_test"), stats.d(ALPHA))
     return f.join(n, PAIR).select(F.col("model").alias("closure"), "asset", zone.alias("zone"), "regime", "n_cal", "n_test", F.col("viol_corr").alias("viol"), "q_v", "ratio", F.col("pi_corr").alias("pi"))
 
 
+@query(Shape("closure asset zone regime", "n_cal n_test viol", "q_v ratio pi", 5))
+def tail_closures_student(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Student law fitted to all nine or the inner seven deciles, corrected and audited in the same way."""
+    g = _grids(_every_sample(spark, sf_dir)).repartition(fit.TASKS, "asset", "date")
+    cells = [F.struct(F.lit(k).alias("closure"), F.slice("levels", first, n).alias("levels"), F.slice("quantiles", first, n).alias("quantiles")) for k, first, n in (("student", 1, 9), ("inner7_student", 2, 7))]
+    keyed = g.select("asset", "date", F.explode(F.array(*cells)).alias("c"))
+    fitted = fit.complete_tail(keyed.select(F.to_json(F.struct("c.closure", "asset", F.col("date").cast("string").alias("date"))).alias("id"), "c.levels", "c.quantiles"), ALPHA)
+    key = F.from_json("id", "closure string, asset string, date string")
+    rows = fitted.select(key.alias("k"), "quantile").select(F.col("k.closure").alias("model"), "k.asset", F.to_date("k.date").alias("date"), forecast.exact(F.col("quantile")).alias("q"))
+    return _closure_audit(conformal.align(panels.panel(spark, sf_dir), rows))
+
+
 # --- panel errors ----------------------------------------------------------------------------------------
 
 

@@ -111,6 +111,36 @@ def garch_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal.static_audit(fit.gjr_garch(panels.panel(spark, sf_dir), ALPHA, W), ALPHA)
 
 
+@query(Shape("model asset regime", "n_test viol_raw viol_corr", "q_v pi_raw pi_corr", 5))
+def garch_skewed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under skewed Student innovations."""
+    return conformal.static_audit(fit.gjr_garch(panels.panel(spark, sf_dir), ALPHA, W, innovations="skewed_t"), ALPHA)
+
+
+@query(Shape("model asset zone", "n viol", "pi p_kupiec qs width", 5))
+def daily_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily forecasts of filtered simulation and peaks over threshold, over the test part as they stand. Day
+    totals move by more than their own size, so their Value-at-Risk has no cap."""
+    path = fit.tail_forecasts(panels.panel(spark, sf_dir), ALPHA, W, cap=None)
+    parts, a = conformal.split_paths(path).filter("role = 'test'"), stats.d(ALPHA)
+    g = parts.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum((F.col("r") < F.col("q")).cast("int")).alias("viol"), F.avg(stats.pinball(F.col("r"), F.col("q"), a)).alias("qs"), F.avg(-F.col("q")).alias("width"))
+    yearly = F.col("viol") / F.col("n") * 250
+    return g.select(
+        "*", (F.col("viol") / F.col("n")).alias("pi"), stats.chi2_sf1(stats.kupiec_lr(F.col("viol"), F.col("n"), a)).alias("p_kupiec"),
+        F.when(yearly <= 4, "Green").when(yearly <= 9, "Yellow").otherwise("Red").alias("zone"),
+    )
+
+
+@query(Shape("model asset trees leaves rate kept", "n viol", "pi p_kupiec qs width", 5))
+def boosted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight settings of the boosted quantile regression, every pair."""
+    p = paths(spark, sf_dir).filter(F.col("pos") >= W).withColumn("pos", F.col("pos") - W)
+    rows, a = fit.boosted_grid(conformal.split_paths(p), ALPHA), stats.d(ALPHA)
+    broken, q = (F.col("r") < -F.col("var_corr")).cast("int"), -F.col("var_corr")
+    g = rows.groupBy(*PAIR, "trees", "leaves", "rate", "kept").agg(F.count("*").alias("n"), F.sum(broken).alias("viol"), F.avg(stats.pinball(F.col("r"), q, a)).alias("qs"), F.avg(F.abs("var_corr")).alias("width"))
+    return g.select("*", (F.col("viol") / F.col("n")).alias("pi"), stats.chi2_sf1(stats.kupiec_lr(F.col("viol"), F.col("n"), a)).alias("p_kupiec"))
+
+
 @query(Shape("model asset", "n", "mean_ks share_rejected", 6))
 def rolling_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fit.rolling_ks(forecast.hist_sim(panels.panel(spark, sf_dir), ALPHA, W), W)
