@@ -121,9 +121,10 @@ def garch_skewed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily forecasts of filtered simulation and peaks over threshold, over the test part as they stand. Day
     totals move by more than their own size, so their Value-at-Risk has no cap."""
-    path = fit.tail_forecasts(panels.panel(spark, sf_dir), ALPHA, W, cap=None)
-    parts, a = conformal.split_paths(path).filter("role = 'test'"), stats.d(ALPHA)
-    g = parts.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum((F.col("r") < F.col("q")).cast("int")).alias("viol"), F.avg(stats.pinball(F.col("r"), F.col("q"), a)).alias("qs"), F.avg(-F.col("q")).alias("width"))
+    returns, a = panels.panel(spark, sf_dir), stats.d(ALPHA)
+    days = returns.groupBy("asset").agg(F.count("*").alias("days"))  # of the whole history, the window included
+    test = fit.tail_forecasts(returns, ALPHA, W, cap=None).join(days, "asset").filter(F.col("pos") >= F.floor(F.col("days") * 0.7))
+    g = test.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum((F.col("r") < F.col("q")).cast("int")).alias("viol"), F.avg(stats.pinball(F.col("r"), F.col("q"), a)).alias("qs"), F.avg(-F.col("q")).alias("width"))
     yearly = F.col("viol") / F.col("n") * 250
     return g.select(
         "*", (F.col("viol") / F.col("n")).alias("pi"), stats.chi2_sf1(stats.kupiec_lr(F.col("viol"), F.col("n"), a)).alias("p_kupiec"),
