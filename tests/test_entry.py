@@ -9,7 +9,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 
 
-@pytest.mark.parametrize("module", ["vartide.plans.report", "vartide.plans.fitted", "vartide.plans.datasets", "vartide.plans.api", "vartide.plans.catalog", "__spark_entry__"])
+@pytest.mark.parametrize("module", ["vartide.plans.report", "vartide.plans.fitted", "vartide.plans.datasets", "vartide.plans.variants", "vartide.plans.api", "vartide.plans.catalog", "__spark_entry__"])
 def test_modules_import_alone(module):
     subprocess.run([sys.executable, "-c", f"import {module}"], cwd=ROOT, check=True, timeout=120)
 

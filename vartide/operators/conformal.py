@@ -59,6 +59,23 @@ def corrected(test: DataFrame) -> DataFrame:
     return test.withColumns({"viol_raw": hit("var_raw"), "viol_corr": hit("var_corr")})
 
 
+def carry_shortfall(test: DataFrame) -> DataFrame:
+    """Corrected test rows with es (negative, as q is) and es_corr, positive: the shortfall moves by as much as the
+    Value-at-Risk does."""
+    return test.withColumn("es_corr", -F.col("es") + (F.col("var_corr") - F.col("var_raw")))
+
+
+def mixing_gap(parts: DataFrame, keys: tuple[str, ...] = PAIR, least: float = 0.01, most: float = 0.99) -> DataFrame:
+    """keys, rho and gap: ceil(ln n / |ln |rho||) days between calibration and test, by which scores whose lag-one
+    correlation is rho are close to independent. |rho| is held between `least` and `most`, so the gap is finite;
+    a series without a correlation (constant, or under three rows) takes `least`."""
+    cal = parts.filter("role = 'cal'").withColumn("_before", F.lag("score").over(Window.partitionBy(*keys).orderBy("pos")))
+    g = cal.groupBy(*keys).agg(F.max("n").alias("n"), F.corr("score", "_before").alias("rho"))
+    rho = F.coalesce(F.nanvl("rho", stats.d(0)), stats.d(0))
+    size = F.greatest(stats.d(least), F.least(stats.d(most), F.abs(rho)))
+    return g.select(*keys, rho.alias("rho"), F.ceil(F.ln(F.col("n").cast("double")) / F.abs(F.ln(size))).cast("int").alias("gap"))
+
+
 def transitions(df: DataFrame, column: str, keys: tuple[str, ...] = PAIR) -> DataFrame:
     return df.withColumn(f"prev_{column}", F.lag(column).over(Window.partitionBy(*keys).orderBy("pos")))
 

@@ -39,6 +39,23 @@ def diebold_mariano(pairs: DataFrame, keys: tuple[str, ...] = ("model_a", "model
     return g.withColumn("p_value", F.when(F.col("n") >= 2, stats.two_sided_p(F.col("dm"))).otherwise(stats.d(1))).drop("_v")
 
 
+def diebold_mariano_ahead(pairs: DataFrame, horizon: int, keys: tuple[str, ...] = ("model_a", "model_b", "asset"), order: str = "pos", hln: bool = True) -> DataFrame:
+    """The test for forecasts `horizon` days ahead: Bartlett weights up to horizon - 1 lags, each autocovariance a
+    mean over the rows that have that lag; the small-sample factor follows the horizon. One sorted partitioning
+    serves every lag."""
+    every = Window.partitionBy(*keys)
+    centred = pairs.withColumn("_e", F.col("diff") - F.avg("diff").over(every))
+    products = [F.avg(F.col("_e") * F.col(f"_e{k}")).alias(f"_g{k}") for k in range(1, horizon)]
+    lagged = centred.withColumns({f"_e{k}": F.lag("_e", k).over(every.orderBy(order)) for k in range(1, horizon)}) if horizon > 1 else centred
+    g = lagged.groupBy(*keys).agg(F.count("diff").alias("n"), F.avg("diff").alias("mean_diff"), F.avg(F.col("_e") * F.col("_e")).alias("_g0"), *products)
+    n = F.col("n").cast("double")
+    spread = sum((2.0 * (1 - k / horizon) * F.coalesce(F.col(f"_g{k}"), stats.d(0)) for k in range(1, horizon)), F.col("_g0"))
+    factor = F.sqrt(F.greatest(n + 1 - 2 * horizon + horizon * (horizon - 1) / n, stats.d(0)) / n) if hln else stats.d(1)
+    t = F.col("mean_diff") / F.sqrt(F.greatest(spread, stats.d(1e-20)) / n) * factor
+    g = g.withColumn("dm", F.when(n >= 2, t).otherwise(stats.d(0)))
+    return g.select(*keys, "n", "mean_diff", "dm", F.when(n >= 2, stats.two_sided_p(F.col("dm"))).otherwise(stats.d(1)).alias("p_value"))
+
+
 def tail_aligned(pairs: DataFrame, keys: tuple[str, ...] = ("model_a", "model_b")) -> DataFrame:
     """keys, rpos and the cross-sectional sum of differences over the last days that all assets have."""
     w = Window.partitionBy(*keys, "asset").orderBy(F.col("pos").desc())
@@ -107,6 +124,12 @@ def regress(rows: DataFrame, y: str, x1: str, x2: str, cluster: str) -> DataFram
     )
 
 
+def wide_rates(facts: DataFrame, names: dict[str, str], violations: str = "viol_corr") -> DataFrame:
+    """model and one column for each asset in `names` (asset: suffix), pi_<suffix>: that asset's own rate."""
+    pi = F.col(violations) / F.col("n_test")
+    return facts.groupBy("model").agg(*[F.max(F.when(F.col("asset") == asset, pi)).alias(f"pi_{suffix}") for asset, suffix in names.items()])
+
+
 def wild_cluster_kupiec(facts: DataFrame, draws: int = 999, alpha: float = 0.01, seed: int = 42, keys: tuple[str, ...] = ("model",)) -> DataFrame:
     """Rademacher bootstrap of pooled coverage over assets: an asset's violations enter a draw where its sign
     is +1. Signs come from a hash of (seed, draw, asset), so any engine and any partitioning draw alike."""

@@ -110,7 +110,7 @@ def audit_panel(returns: DataFrame, forecasters: list[str | Callable], alpha: fl
     path = None
     for f in forecasters:
         one = (FORECASTERS[f] if isinstance(f, str) else f)(returns, alpha, window)
-        path = one if path is None else path.unionByName(one)
+        path = one if path is None else path.unionByName(one, allowMissingColumns=True)
     return conformal.static_audit(path, alpha, split)
 
 

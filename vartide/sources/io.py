@@ -29,6 +29,18 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     return long.select("model", "asset", F.to_date("date").alias("date"), F.regexp_extract("level", LEVEL_COLUMN, 1).cast("double").alias("alpha"), "q")
 
 
+def read_routed(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """source, model, asset, date, alpha, q of several stores (source: folder), each in the layout of
+    `read_forecasts`; a filter on source drops the other folders from the plan."""
+    out = None
+    for source, folder in folders.items():
+        one = read_forecasts(spark, folder).select(F.lit(source).alias("source"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no folders given")
+    return out
+
+
 def write_forecasts(paths: DataFrame, path: str) -> None:
     """model, asset, date, alpha, q to parquet under model=/asset=, one column for each level."""
     wide = paths.withColumn("level", F.concat(F.lit("VaR_"), F.col("alpha").cast("string"))).groupBy("model", "asset", "date").pivot("level").agg(F.first("q"))
