@@ -70,7 +70,9 @@ def mixing_gap(parts: DataFrame, keys: tuple[str, ...] = PAIR, least: float = 0.
     correlation is rho are close to independent. |rho| is held between `least` and `most`, so the gap is finite;
     a series without a correlation (constant, or under three rows) takes `least`."""
     cal = parts.filter("role = 'cal'").withColumn("_before", F.lag("score").over(Window.partitionBy(*keys).orderBy("pos")))
-    g = cal.groupBy(*keys).agg(F.max("n").alias("n"), F.corr("score", "_before").alias("rho"))
+    both = F.when(F.col("_before").isNotNull(), F.col("score"))
+    spread = F.stddev_pop(both) * F.stddev_pop("_before")
+    g = cal.groupBy(*keys).agg(F.max("n").alias("n"), F.try_divide(F.covar_pop(both, F.col("_before")), spread).alias("rho"))
     rho = F.coalesce(F.nanvl("rho", stats.d(0)), stats.d(0))
     size = F.greatest(stats.d(least), F.least(stats.d(most), F.abs(rho)))
     return g.select(*keys, rho.alias("rho"), F.ceil(F.ln(F.col("n").cast("double")) / F.abs(F.ln(size))).cast("int").alias("gap"))
