@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vartide.llm.media import SAMPLE_RATE
+from vartide.llm.urls import BLOCKED_PARTS, RULES
 
 #: Python's white space, as str.strip and str.split know it.
 _BLANK = "(SELECT string_agg(chr(c), '') FROM (SELECT unnest([9,10,11,12,13,28,29,30,31,32,133,160,5760,8192,8193,8194,8195,8196,8197,8198,8199,8200,8201,8202,8232,8233,8239,8287,12288]) AS c))"
@@ -146,4 +147,130 @@ for _name, _value in (("LE_ALL", "size + 36"), ("LE_SIZE", "size")):
     STORED_SAMPLES = STORED_SAMPLES.replace(_name, " || ".join(f"lpad(to_hex((({_value}) >> {k}) & 255), 2, '0')" for k in (0, 8, 16, 24)))
 STORED_SAMPLES = STORED_SAMPLES.replace("LEVELS", ", ".join(f"count(*) FILTER (v // 16 = {k})" for k in range(16))).replace("RATE", SAMPLE_RATE.to_bytes(4, "little").hex())
 
-ORACLE_SQL = {"op2_neardup": NEAR_DUPLICATES, "op4_media": STORED_SAMPLES, "op7_warc": ARCHIVED_PAGES, "op9_lines": REPEATED_LINES, "op10_repeats": REPEATED_BYTES}
+
+
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ 0xEDB88320 * (c & 1) for c in table]
+    return table
+
+
+def _crc32(said: str) -> str:
+    """SQL of the checksum of a string's UTF-8 bytes, byte by byte."""
+    bytes_ = f"list_transform(range(octet_length(encode({said}))), lambda i: CAST('0x' || substring(hex(encode({said})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c, b) % 256 + 1])), 4294967295::BIGINT)"
+
+
+def _moves() -> str:
+    """Rows of the repair's transitions: state, initial that it needs, edits' letters, state after, cost, inserted roles; every
+    edit with none, one or two insertions behind it."""
+    after, kept, roles, rows = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}), {2: "user", 3: "assistant"}, []
+    for s in range(4):
+        for letter, initial, to, cost in [("D", None, s, 2), ("R", None, after[s], 1), *(("K", i, t, 0) for i, t in kept[s].items())]:
+            made, new, state = "NULL" if initial is None else f"'{initial}'", "", to
+            for k in range(3):
+                rows.append(f"({s}, {made}, '{letter}{'I' * k}', '{roles.get(to, '')}', {state}, {cost + 5 * k}, '{new}')")
+                state = after[state]
+                new += "|" + roles[state] + ":"
+    return ", ".join(rows)
+
+
+REPAIRED = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), dealt AS (
+  SELECT *, CRC % 20 AS kind FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM dealt WHERE kind <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM damaged
+), faulty AS (
+  SELECT *, substring(role, 1, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM faulty) GROUP BY conv_id
+), moves AS (
+  SELECT * FROM (VALUES MOVES) AS m(before, needs, letters, becomes, after, price, made)
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, state, CAST(cost AS BIGINT) AS cost, audit, said
+  FROM (SELECT conv_id FROM counts), (VALUES (0, 0, '', ''), (2, 5, 'I', chr(10) || 'user:'), (3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) AS s(state, cost, audit, said)
+  UNION ALL
+  SELECT conv_id, pos, state, cost, audit, said FROM (
+    SELECT p.conv_id, f.pos, m.after AS state, p.cost + m.price + CASE WHEN f.fault = 'truncated' AND letters NOT LIKE 'D%' THEN 5 ELSE 0 END AS cost, p.audit || m.letters AS audit,
+           p.said || CASE WHEN letters LIKE 'D%' THEN '' ELSE chr(10) || CASE WHEN letters LIKE 'K%' THEN f.role ELSE m.becomes END || ':' || f.text END || replace(m.made, '|', chr(10)) AS said
+    FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1 JOIN moves m ON m.before = p.state AND (m.needs IS NULL OR m.needs = f.initial)
+    WHERE letters LIKE 'D%' OR f.fault NOT IN ('blank', 'duplicate')
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT p.conv_id, cost, audit, substring(said, 2) AS said
+  FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.pos = c.n WHERE state IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost, audit) = 1
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+""".replace("CRC", _crc32("name")).replace("MOVES", _moves())
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAMS = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram"
+
+RESAMPLED = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), g AS (
+  SELECT r, {_GRAMS} FROM d
+), b AS (
+  SELECT {_GRAMS} FROM (SELECT {_TERMS} AS w FROM benchmark)
+), named AS MATERIALIZED (
+  SELECT gram, {_crc32("gram")} % 10000 AS bucket FROM (SELECT gram FROM g UNION SELECT gram FROM b)
+), f AS (
+  SELECT r, bucket FROM g JOIN named USING (gram)
+), s AS (
+  SELECT bucket, count(*) AS s FROM f GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN named USING (gram) GROUP BY bucket
+), totals AS (
+  SELECT (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) FROM s) AS all_s, (SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) AS all_t
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * (all_s + 10000) / ((s + CAST(1 AS DOUBLE)) * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), totals
+), weights AS (
+  SELECT r, count(*) AS n, sum(gain) AS weight FROM f JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substring(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)
+), ranks AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER () AS n_enough FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= 5 * n_enough // 100 THEN place END AS rank, CAST(n_words AS BIGINT) AS n_words
+FROM scored LEFT JOIN ranks USING (r)
+"""
+
+FILTERED = r"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r
+  FROM pages
+), rules AS (
+  SELECT * FROM (VALUES RULES) AS x(action, rule_host, rule_path)
+), fits AS (
+  SELECT r, action, rule_host || rule_path AS rule FROM parts, rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])(PARTS)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (r)
+""".replace("RULES", ", ".join(map(str, RULES))).replace("PARTS", "|".join(BLOCKED_PARTS))
+
+ORACLE_SQL = {
+    "op2_neardup": NEAR_DUPLICATES, "op4_media": STORED_SAMPLES, "op7_warc": ARCHIVED_PAGES, "op9_lines": REPEATED_LINES, "op10_repeats": REPEATED_BYTES,
+    "op11_dialogue": REPAIRED, "op12_resample": RESAMPLED, "op13_urls": FILTERED,
+}

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vartide.llm import bpe, common, licenses, linededup, media, neardup, oracles, packing, quality, repeats, secrets, warc
+from vartide.llm import bpe, common, dialogue, licenses, linededup, media, neardup, oracles, packing, quality, repeats, resample, secrets, urls, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -119,5 +119,29 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_repeats": op10_repeats}
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations after damage: what is wrong with each, the cheapest repair, and the digest of the repaired turns."""
+    rows = common.table(spark, sf_dir, "conversations")
+    figures, turns = dialogue.repair(dialogue.damage(rows))
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    sha = dialogue.digests(turns)
+    out = every.join(figures.withColumnRenamed("conv_id", "c1"), F.col("conv_id").eqNullSafe(F.col("c1")), "left").join(sha.withColumnRenamed("conv_id", "c2"), F.col("conv_id").eqNullSafe(F.col("c2")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    empty = hashlib.sha256(b"").hexdigest()
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score, and its rank if it is drawn."""
+    out = resample.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_media": op4_media, "op5_licenses": op5_licenses, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_repeats": op10_repeats, "op11_dialogue": op11_dialogue, "op12_resample": op12_resample, "op13_urls": op13_urls}
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
