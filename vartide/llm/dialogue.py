@@ -272,27 +272,31 @@ def edits(parts: DataFrame, seams: DataFrame) -> DataFrame:
     rows = parts.alias("p").join(seams.select("conv_id", "place", "before", "after").alias("s"), on).select("p.conv_id", "p.place", "keys", "ns", "initials", "before", audit.alias("audit"))
     types = _types(EDIT_SCHEMA)
 
-    def walk(r: dict) -> Iterator[dict]:
-        state, audit, p, at = r["before"], r["audit"], 0, 0
-
-        def inserted() -> Iterator[dict]:
-            nonlocal state, p, at
+    def walk(conv: int | None, place: dict, keys: list, ns: list, initials: str, state: int, audit: str) -> Iterator[tuple]:
+        p = at = 0
+        for key, n, initial in zip([None, *keys], [0, *ns], ["-", *initials], strict=True):
+            if n and audit[p] != "D":
+                state, at = dict(KEEP[state])[initial] if audit[p] == "K" else NEXT[state], at + 1
+                yield conv, place, at, key, None if audit[p] == "K" else ROLES[state], audit[p]
+            p += n
             while p < len(audit) and audit[p] == "I":
                 state, p, at = NEXT[state], p + 1, at + 1
-                yield {"conv_id": r["conv_id"], "place": r["place"], "at": at, "key": None, "role": ROLES[state], "edit": "I"}
+                yield conv, place, at, None, ROLES[state], "I"
 
-        yield from inserted()
-        for key, n, initial in zip(r["keys"], r["ns"], r["initials"], strict=True):
-            if audit[p] != "D":
-                state, at = dict(KEEP[state])[initial] if audit[p] == "K" else NEXT[state], at + 1
-                yield {"conv_id": r["conv_id"], "place": r["place"], "at": at, "key": key, "role": None if audit[p] == "K" else ROLES[state], "edit": audit[p]}
-            p += n
-            yield from inserted()
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                yield pa.RecordBatch.from_pylist(list(walk(b.slice(k, 1).to_pylist()[0])), types)
+            out: list[tuple] = []
+            for k in range(0, b.num_rows, 64):  # a chunk has up to CHUNK keys
+                for r in zip(*(c.to_pylist() for c in b.slice(k, 64).columns), strict=True):
+                    out += walk(*r)
+                if len(out) > 20_000:
+                    yield made(out)
+                    out = []
+            yield made(out)
 
     return rows.mapInArrow(run, EDIT_SCHEMA)
 
