@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vartide.functions import stats
+from vartide.operators import ranks, sliding
 
 PAIR = ("model", "asset")
 
@@ -35,7 +36,10 @@ def split_paths(paths: DataFrame, split: float | Column = 0.7, warmup: int = 0,
 
 def fit_static(parts: DataFrame, alpha: float | Column = 0.01, method: str = "linear", keys: tuple[str, ...] = PAIR) -> DataFrame:
     """model, asset, q_v from calibration scores: `linear` (type-7 quantile), `order` (order statistic of
-    rank ceil((n+1)(1-alpha))) or `hybrid` (type-7 at that rank's level). alpha may be one of the keys."""
+    rank ceil((n+1)(1-alpha))) or `hybrid` (type-7 at that rank's level). alpha may be one of the keys. `selected` gives
+    the linear one by passes over brackets, for calibration parts that no task can hold."""
+    if method == "selected":
+        return ranks.quantiles(parts.filter("role = 'cal'"), "score", 1.0 - alpha, keys).withColumnRenamed("quantile", "q_v")
     cal = parts.filter("role = 'cal'").groupBy(*keys)
     if method == "linear" and not isinstance(alpha, Column):
         return cal.agg(F.percentile("score", F.lit(1.0 - alpha)).alias("q_v"))
@@ -132,17 +136,11 @@ def static_audit(paths: DataFrame, alpha: float | Column = 0.01, split: float |
 
 def rolling_qv(paths: DataFrame, alpha: float = 0.01, window: int = 250, method: str = "linear") -> DataFrame:
     """Rows from position `window` on with q_v over the preceding `window` scores."""
-    w = Window.partitionBy(*PAIR).orderBy("pos").rowsBetween(-window, -1)
     scored = paths.withColumn("score", F.col("q") - F.col("r"))
-    if method == "linear":
-        q = F.percentile("score", F.lit(1.0 - alpha)).over(w)
-    else:
-        rank = min(math.ceil((window + 1) * (1 - alpha)), window)
-        if method == "order":
-            q = F.element_at(F.array_sort(F.collect_list("score").over(w)), rank)
-        else:
-            q = F.percentile("score", F.lit(rank / window)).over(w)
-    return scored.withColumn("q_v", q).filter(F.col("pos") >= window)
+    rank = min(math.ceil((window + 1) * (1 - alpha)), window)
+    wanted = {"ranks": (rank,)} if method == "order" else {"quantiles": (1.0 - alpha if method == "linear" else rank / window,)}
+    slid = sliding.sliding(scored, "score", window, keys=PAIR, name="_q", **wanted)
+    return slid.withColumn("q_v", F.get("_q", F.lit(0))).drop("_q").filter(F.col("pos") >= window)
 
 
 def drift(paths: DataFrame, window: int = 250, bins: int | None = None) -> DataFrame:

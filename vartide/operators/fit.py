@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vartide.functions import numeric
+from vartide.operators import isotonic
 
 PAIR = ("model", "asset")
 #: Small tables with long fits are dealt over at least so many partitions.
@@ -40,13 +41,22 @@ def bootstrap_ci(parts: DataFrame, alpha: float = 0.01, confidence: float = 0.95
 
 
 def _linear_quantile(q: np.ndarray, r: np.ndarray, alpha: float) -> tuple[float, float]:
-    best, _ = numeric.nelder_mead(lambda x: numeric.pinball(r, x[0] + x[1] * q, alpha), np.array([0.0, 1.0]), np.array([0.1 * r.std() + 1e-9, 0.2]), rounds=1500)
-    return float(best[0]), float(best[1])
+    """Intercept and slope of the exact quantile regression; slope 0 where all forecasts are equal."""
+    if not np.ptp(q):
+        return float(numeric.quantile_regression(np.ones((len(q), 1)), r, alpha)[0][0]), 0.0
+    (a, b), _ = numeric.quantile_regression(np.column_stack([np.ones(len(q)), q]), r, alpha)
+    return float(a), float(b)
 
 
-def _isotonic(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(q, kind="stable")
-    return q[order], np.clip(numeric.pava((r < q)[order].astype(float)), 0, 1)
+def isotonic_rows(parts: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """Test rows with var_raw and var_corr: forecasts scaled by alpha over the violation rate that an isotonic fit over
+    forecasts gives, linear between them; as they are where it is 0. Parts of any length (see `operators.isotonic`)."""
+    cal = parts.filter("role = 'cal'").withColumn("_hit", F.coalesce(F.col("r") < F.col("q"), F.lit(False)).cast("double"))
+    fitted = isotonic.knots(isotonic.fit(cal, "q", "_hit", PAIR), PAIR)
+    test = parts.filter("role = 'test'").join(fitted, list(PAIR))
+    p = isotonic.value(F.col("q"), F.col("xs"), F.col("ys"))
+    scaled = test.withColumn("_p", p).withColumn("var_corr", -F.col("q") * F.when(F.col("_p") > 1e-6, alpha / F.col("_p")).otherwise(F.lit(1.0)))
+    return scaled.select(*PAIR, "pos", "r", F.lit("isotonic").alias("method"), (-F.col("q")).alias("var_raw"), "var_corr")
 
 
 def _evt_scale(q: np.ndarray, r: np.ndarray, alpha: float, decay: float = 0.94) -> float:
@@ -79,21 +89,18 @@ def _features(pdf: pd.DataFrame) -> np.ndarray:
 def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...] = ("linear_qr", "isotonic", "evt_pot", "gbm_qr", "skew_t")) -> DataFrame:
     """Test rows by method with var_corr: quantile regression (pinball loss), isotonic coverage, peaks over
     threshold on standardised returns, boosted quantile trees and a skewed Student regression on forecast and
-    lagged volatilities."""
+    lagged volatilities. Isotonic fits are merged over tasks, the others take a pair at a time."""
+    grouped = tuple(m for m in methods if m != "isotonic")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         cal, test = pdf[pdf.role == "cal"], pdf[pdf.role == "test"]
         q, r, tq = cal.q.to_numpy(), cal.r.to_numpy(), test.q.to_numpy()
         out = []
-        for method in methods:
+        for method in grouped:
             if method == "linear_qr":
                 a, b = _linear_quantile(q, r, alpha)
                 v = -(a + b * tq)
-            elif method == "isotonic":
-                xs, ps = _isotonic(q, r)
-                p = np.interp(tq, xs, ps)
-                v = -tq * np.where(p > 1e-6, alpha / np.maximum(p, 1e-6), 1.0)
             elif method == "evt_pot":
                 v = np.abs(tq) * _evt_scale(q, r, alpha)
             else:
@@ -104,7 +111,11 @@ def recalibrate(parts: DataFrame, alpha: float = 0.01, methods: tuple[str, ...]
         return pd.concat(out)[["model", "asset", "pos", "r", "method", "var_raw", "var_corr"]]
 
     schema = "model string, asset string, pos long, r double, method string, var_raw double, var_corr double"
-    return parts.select(*PAIR, "pos", "r", "q", "role").groupBy(*PAIR).applyInPandas(run, schema)
+    out = parts.select(*PAIR, "pos", "r", "q", "role").groupBy(*PAIR).applyInPandas(run, schema) if grouped else None
+    if "isotonic" not in methods:
+        return out
+    rows = isotonic_rows(parts, alpha).withColumn("pos", F.col("pos").cast("long"))
+    return rows if out is None else out.unionByName(rows)
 
 
 #: Settings of the boosted regression that `boosted_grid` compares: trees, leaves (2^depth - 1), rate.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vartide.functions import stats
+from vartide.operators import scan, sliding
 from vartide.operators.returns import by_asset, exact
 
 
@@ -17,8 +18,9 @@ def trailing(window: int):
 
 def hist_sim(returns: DataFrame, alpha: float = 0.01, window: int = 250, scale: float = 1.0, model: str = "hist_sim") -> DataFrame:
     """Historical simulation: the trailing quantile (type 7), 0 before the first return."""
-    q = F.coalesce(F.percentile("r", F.lit(float(alpha))).over(trailing(window)), stats.d(0))
-    return returns.select(F.lit(model).alias("model"), "asset", "date", "pos", "r", exact(scale * q).alias("q"))
+    slid = sliding.sliding(returns.select("asset", "date", "pos", "r"), "r", window, (float(alpha),))
+    q = F.coalesce(F.get("qs", F.lit(0)), stats.d(0))
+    return slid.select(F.lit(model).alias("model"), "asset", "date", "pos", "r", exact(scale * q).alias("q"))
 
 
 def rolling_normal(returns: DataFrame, alpha: float = 0.01, window: int = 250) -> DataFrame:
@@ -55,8 +57,8 @@ def levels_set(returns: DataFrame, alphas: tuple[float, ...], window: int = 250)
     """The models of `standard_set` at several levels, with a column alpha: one sliding pass gives all quantiles,
     mean and deviation; the variants are arithmetic on one row."""
     w = trailing(window)
-    q = F.percentile("r", F.array(*[F.lit(float(a)) for a in alphas])).over(w)
-    base = returns.select("asset", "date", "pos", "r", q.alias("qs"), F.avg("r").over(w).alias("m"), F.coalesce(F.stddev_samp("r").over(w), stats.d(0)).alias("s"))
+    slid = sliding.sliding(returns.select("asset", "date", "pos", "r"), "r", window, tuple(map(float, alphas)))
+    base = slid.select("asset", "date", "pos", "r", "qs", F.avg("r").over(w).alias("m"), F.coalesce(F.stddev_samp("r").over(w), stats.d(0)).alias("s"))
     cells = []
     for k, a in enumerate(alphas):
         h = exact(F.coalesce(F.get("qs", F.lit(k)), stats.d(0)))
@@ -66,20 +68,11 @@ def levels_set(returns: DataFrame, alphas: tuple[float, ...], window: int = 250)
     return base.select("asset", "date", "pos", "r", F.explode(F.array(*cells)).alias("v")).select("v.model", "v.alpha", "asset", "date", "pos", "r", "v.q")
 
 
-def recursive_vol(series: DataFrame, decay: float = 0.94, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """keys and `sigma`, the array of recursive EWMA volatilities (start: variance of the first 20), by a fold."""
-    rs = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("rs"))
-    head = F.slice("rs", 1, 20)
-    mean = F.aggregate(head, stats.d(0), lambda a, x: a + x) / F.size(head)
-    var0 = F.aggregate(head, stats.d(0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(head)
-    start = F.struct(var0.alias("v"), F.array(var0).alias("all"))
-
-    def step(a, x):
-        v = decay * a["v"] + (1 - decay) * x * x
-        return F.struct(v.alias("v"), F.concat(a["all"], F.array(v)).alias("all"))
-
-    folded = F.aggregate(F.slice("rs", F.lit(1), F.size("rs") - 1), start, step, lambda a: F.transform(a["all"], lambda v: F.sqrt(F.greatest(v, stats.d(1e-20)))))
-    return rs.select(*keys, "rs", folded.alias("sigma"))
+def recursive_vol(series: DataFrame, decay: float = 0.94, keys: tuple[str, ...] = ("asset",), chunk: int = scan.CHUNK) -> DataFrame:
+    """keys, pos, r and `sigma`, the recursive EWMA volatility before each day (start: variance of the first 20)."""
+    start = series.filter("pos < 20").groupBy(*keys).agg(F.var_pop("r").alias("start"))
+    rows = scan.scan(series.select(*keys, "pos", "r"), scan.Affine(decay), "r", start, keys, "_v", chunk)
+    return rows.select(*keys, "pos", "r", F.sqrt(F.greatest("_v", stats.d(1e-20))).alias("sigma"))
 
 
 def next_return(forecasts: DataFrame, returns: DataFrame) -> DataFrame:

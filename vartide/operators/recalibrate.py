@@ -6,11 +6,13 @@ these are native expressions; methods that need an optimiser live in `vartide.op
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vartide.functions import stats
+from vartide.operators import ranks, scan
 from vartide.operators.conformal import PAIR, corrected, fit_static
+from vartide.sources import scratch
 
 
 def fit_shift(parts: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -29,44 +31,50 @@ def fit_scale(parts: DataFrame, alpha: float = 0.01) -> DataFrame:
     return g.select(*PAIR, F.lit("scale").alias("method"), F.when(F.col("_rate") > 0, alpha / F.when(F.col("_rate") > 0, F.col("_rate"))).otherwise(stats.d(1)).alias("param"))
 
 
-def fit_aci(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05) -> DataFrame:
-    """Adaptive conformal inference: the level moves with each violation (a fold over the ordered array),
-    the correction is the score quantile at the last level."""
-    cal = parts.filter("role = 'cal'").groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct("pos", (F.col("r") < F.col("q")).cast("double").alias("v")))).alias("vs"), F.array_sort(F.collect_list("score")).alias("s")
-    )
-    level = F.aggregate("vs", stats.d(alpha), lambda a, x: F.greatest(stats.d(1e-6), F.least(stats.d(1 - 1e-6), a + gamma * (alpha - x["v"]))))
-    return cal.withColumn("_a", level).select(*PAIR, F.lit("aci").alias("method"), stats.lerp_sorted(F.col("s"), 1.0 - F.col("_a")).alias("param"))
+def _adaptive(alpha: float, gamma: float) -> scan.ClippedShift:
+    return scan.ClippedShift(gamma, alpha, 1e-6, 1 - 1e-6)
 
 
-def aci_path(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05) -> DataFrame:
-    """model, asset, pos, score, level and q_t of adaptive inference run over the test part: the level of a day
-    follows the raw violations before it, q_t is that quantile of all test scores."""
-    test = parts.filter("role = 'test'").groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "score", (F.col("r") < F.col("q")).cast("double").alias("v")))).alias("days"), F.array_sort(F.collect_list("score")).alias("s")
-    )
+def _violations(parts: DataFrame, role: str) -> DataFrame:
+    """model, asset, pos (from 0), score and v of one part."""
+    rows = parts.filter(F.col("role") == role)
+    return rows.select(*PAIR, "pos", "score", (F.col("r") < F.col("q")).cast("double").alias("v"))
+
+
+def fit_aci(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05, chunk: int = scan.CHUNK) -> DataFrame:
+    """Adaptive conformal inference: the level moves with each violation (a scan of clipped shifts), the correction is
+    the score quantile at the last level."""
+    cal = _violations(parts, "cal")
+    start = cal.groupBy(*PAIR).agg(_start(alpha))
+    last = scan.last_states(cal, _adaptive(alpha, gamma), "v", start, PAIR, "level", chunk)
+    s = cal.groupBy(*PAIR).agg(F.array_sort(F.collect_list("score")).alias("s"))
+    return s.join(last, list(PAIR)).select(*PAIR, F.lit("aci").alias("method"), stats.lerp_sorted(F.col("s"), 1.0 - F.col("level")).alias("param"))
 
-    def step(a, x):
-        moved = F.greatest(stats.d(1e-6), F.least(stats.d(1 - 1e-6), a["level"] + gamma * (alpha - x["v"])))
-        return F.struct(moved.alias("level"), F.concat(a["all"], F.array(a["level"])).alias("all"))
 
-    start = F.struct(stats.d(alpha).alias("level"), F.array().cast("array<double>").alias("all"))
-    levels = F.aggregate("days", start, step, lambda a: a["all"])
-    rows = test.select(*PAIR, "s", F.explode(F.arrays_zip("days", levels.alias("level"))).alias("d"))
-    return rows.select(*PAIR, "d.days.pos", "d.days.score", "d.level", stats.lerp_sorted(F.col("s"), 1.0 - F.col("d.level")).alias("q_t"))
+def _start(alpha: float) -> Column:
+    return F.first(stats.d(alpha)).alias("start")
+
+
+def aci_path(parts: DataFrame, alpha: float = 0.01, gamma: float = 0.05, chunk: int = scan.CHUNK) -> DataFrame:
+    """model, asset, pos, score, level and q_t of adaptive inference run over the test part: the level of a day
+    follows the raw violations before it, q_t is that quantile of all test scores."""
+    test = scratch.written(_violations(parts, "test"), "test")
+    start = test.groupBy(*PAIR).agg(_start(alpha))
+    rows = scan.scan(test, _adaptive(alpha, gamma), "v", start, PAIR, "level", chunk).withColumn("upper", 1.0 - F.col("level"))
+    sorted_ = scratch.written(ranks.ranked(test.select(*PAIR, "pos", "score"), "score", PAIR), "ranks")
+    return ranks.at_levels(rows, "upper", sorted_, "score", PAIR, "q_t").select(*PAIR, "pos", "score", "level", "q_t")
 
 
-def fit_fhs(parts: DataFrame, alpha: float = 0.01, decay: float = 0.94) -> DataFrame:
+def fit_fhs(parts: DataFrame, alpha: float = 0.01, decay: float = 0.94, chunk: int = scan.CHUNK) -> DataFrame:
     """Filtered historical simulation: mean volatility times the quantile of standardised returns, relative to
     the mean size of the raw forecast."""
     from vartide.operators.forecast import recursive_vol
 
     cal = parts.filter("role = 'cal'")
-    vol = recursive_vol(cal.select(*PAIR, "pos", "r"), decay, PAIR)
-    n = F.size("sigma")
-    std = vol.select(*PAIR, (F.aggregate("sigma", stats.d(0), lambda a, x: a + x) / n).alias("_sigma"), n.alias("_n"), F.array_sort(F.zip_with("rs", "sigma", lambda r, s: r / s)).alias("_z"))
+    vol = recursive_vol(cal.select(*PAIR, "pos", "r"), decay, PAIR, chunk)
+    std = vol.groupBy(*PAIR).agg(F.avg("sigma").alias("_sigma"), F.count("*").alias("_n"), F.percentile(F.col("r") / F.col("sigma"), F.lit(float(alpha))).alias("_z"))
     size = cal.groupBy(*PAIR).agg(F.avg(F.abs("q")).alias("_size"))
-    factor = -F.col("_sigma") * stats.lerp_sorted(F.col("_z"), stats.d(alpha)) / F.when(F.col("_size") > 1e-12, F.col("_size"))
+    factor = -F.col("_sigma") * F.col("_z") / F.when(F.col("_size") > 1e-12, F.col("_size"))
     return std.join(size, list(PAIR)).select(*PAIR, F.lit("fhs").alias("method"), F.when(F.col("_n") < 20, stats.d(1)).otherwise(F.coalesce(factor, stats.d(1))).alias("param"))
 
 
