@@ -88,3 +88,15 @@ def quantiles(rows: DataFrame, value: str, prob: float, keys: tuple[str, ...], f
     up, down = F.ceil("at") - F.col("at"), F.col("at") - F.floor("at")
     picked = both.select(*[f"h.{k}" for k in keys], F.when((F.col("low") == F.col("high")) | (a == b), a).otherwise(up * a + down * b).alias("quantile"))
     return out.unionByName(picked)
+
+
+def cumulated(rows: DataFrame, order: list[Column], value: str, name: str = "running") -> DataFrame:
+    """rows with the sum of `value` over all rows up to each in this order (which tells rows apart), over the whole
+    table: summed within sorted ranges, ahead of which go the totals of the ranges before."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = scratch.written(sorted_, "sorted").withColumn("_part", F.shiftright("_at", 33))
+    totals = sorted_.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row a part
+    ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = sorted_.join(totals.select("_part", ahead.alias("_ahead")), "_part")
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(name, F.col("_ahead") + own).drop("_at", "_part", "_ahead")

@@ -83,16 +83,21 @@ class Ranks:
         return a if low == high or a == b else (high - at) * a + (at - low) * b
 
 
+def with_history(rows: DataFrame, window: int, keys: tuple[str, ...], size: int) -> DataFrame:
+    """rows dealt and sorted by keys, `_chunk` (of `size` >= window positions each) and pos; the last `window` rows of a
+    chunk are in the next one as well, where they only are history."""
+    own, place = F.floor(F.col("pos") / size), F.pmod(F.col("pos"), F.lit(size))
+    dealt = rows.withColumn("_chunk", F.explode(F.when(place >= size - window, F.array(own, own + 1)).otherwise(F.array(own))))
+    return dealt.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "pos")
+
+
 def sliding(rows: DataFrame, value: str, window: int, quantiles: tuple[float, ...] = (), ranks: tuple[int, ...] = (), keys: tuple[str, ...] = ("asset",), name: str = "qs", chunk: int = 0) -> DataFrame:
     """rows with the array column `name`: the quantiles, then the values of these ranks (from 1; null beyond the
     window's size), of `value` over the `window` rows before each; null where these hold no value.
 
     pos counts the rows of each key from 0 without gaps. Null values take a place in the window but do not count."""
     size = max(chunk or CHUNK, 4 * window)
-    own, place = F.floor(F.col("pos") / size), F.pmod(F.col("pos"), F.lit(size))
-    dealt = rows.withColumn("_chunk", F.explode(F.when(place >= size - window, F.array(own, own + 1)).otherwise(F.array(own))))
-    order = [*keys, "_chunk"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "pos")
+    dealt = with_history(rows, window, keys, size)
     schema = StructType([*rows.schema.fields, StructField(name, ArrayType(DoubleType()))])
     at = [dealt.columns.index(c) for c in (*keys, "_chunk", "pos", value)]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vartide.functions import stats
-from vartide.operators import conformal, fit, forecast, inference, recalibrate, simulate
+from vartide.operators import conformal, fit, forecast, inference, ranks, recalibrate, simulate
 from vartide.operators import distributions as D
 from vartide.plans import report as R
 from vartide.plans import sql as S
@@ -358,9 +358,9 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evicted_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a forecast store that go, oldest first, until it holds 60 % of its rows."""
     entries = R.paths(spark, sf_dir).groupBy(*PAIR).agg(F.max("date").alias("stamp"), F.count("*").alias("size"))  # a row per pair
-    newest = Window.partitionBy(F.lit(1)).orderBy(F.col("stamp").desc(), F.col("model").desc(), F.col("asset").desc())
-    total = F.sum("size").over(Window.partitionBy(F.lit(1)))
-    return entries.select("*", F.sum("size").over(newest).alias("running"), total.alias("total")).filter(F.col("running") > F.col("total") * 0.6)
+    order = [F.col(c).desc() for c in ("stamp", "model", "asset")]
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    return ranks.cumulated(entries, order, "size").filter(F.col("running") > F.lit(float(total)) * 0.6)
 
 
 @query(
