@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by rounds of DataFrame joins."""
+"""Connected components of an edge table, by rounds of DataFrame joins.
+
+Defined cases: loops make their node a component of its own, repeated edges and both directions count once, an empty
+table gives an empty result; nodes are longs and not null; chains and stars of any size take at most log2 rounds."""
 
 from __future__ import annotations
 

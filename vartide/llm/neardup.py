@@ -8,16 +8,17 @@
 3. In each bucket every member is paired with the smallest one only. Pairs whose likelihood over the
    three outcomes of registers (greater, equal, less), given both set sizes, peaks too far below the
    threshold are dropped, the rest is verified on full sets, and components are formed.
-4. A bucket whose other members still span several components may hide links between these. For them the
-   shingles that other such members have, too, are counted: their number bounds the similarity that
-   any pair can reach, and who cannot reach the threshold is out. Of the others the one whose shingles
-   are the most common (the middle of its group) is paired with all members of other components.
-5. Members of buckets that span several components even then are joined by prefix: with shingles
-   in one order, rarest first, a pair at the threshold shares one of each side's first
-   n - ceil(n * threshold) + 1, at places that leave enough to come. Only such pairs across components
-   are looked at, by likelihood and on full sets.
-
-Steps 3 and 4 make as many pairs as a bucket has members. Step 5 is exact for what they leave: every link
+4. A bucket whose other members still span several components may hide links between these. Members that share
+   shingles with too few others to reach the threshold are out. The rest falls into clusters of overlapping
+   buckets, and each member becomes its difference from what most of its cluster holds (`deviations`). Sizes of
+   intersections follow exactly from the differences, which are short where a cluster is dense: the text that all
+   members have no longer makes pairs.
+5. Members so close to the least deviating one that no difference in common is needed are linked to it. For any other link a
+   number of differences in common follows from both sizes; a pair that has them shares one of each side's first
+   few, rarest first (`joined`). Who shares one meets in blocks of at most BLOCK members, which are compared on their whole
+   differences; each block gives at most one link a member, those that join its components.
+
+Steps 3 and 5 give as many pairs as a bucket or block has members; step 5 is exact for what step 3 leaves: every link
 between members that share a bucket is found, and nothing is capped.
 
 A pair at similarity .85 misses all 25 bands of 5 registers with probability 5e-7. At lower thresholds
@@ -25,7 +26,8 @@ bands have fewer registers (`band_width`): at .80, 31 bands of 4 miss a pair wit
 
 Defined cases: documents without words or text have the empty set and stay alone, as do null doc_ids
 (component null); rows that repeat a doc_id are one document as far as links go and each get a result;
-with fewer than five words the whole sequence is one shingle; equal sets always link; very long texts are
+with fewer than five words the whole sequence is one shingle; equal sets always link, and of members that tie for
+smallest, rarest or least deviating the smallest id or hash goes first; very long texts are
 taken whole; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
@@ -45,7 +47,8 @@ from vartide.llm import common, graph
 WORDS, REGISTERS, ROWS = 5, 125, 5
 BASE, LIMIT = 1.02, 1200
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary"
-BLOCK = 1024
+#: Members of a block of step 5, and differences that they have together.
+BLOCK, BLOCK_SIZE = 1024, 1 << 20
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.random.default_rng(20).integers(1 << 62, 1 << 63, WORDS, np.uint64) | np.uint64(1)
@@ -210,56 +213,105 @@ def across(buckets: DataFrame) -> DataFrame:
     return buckets.join(common.materialize(mixed, "mixed"), "band")
 
 
-def central_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's member of the largest `centre` with those of other labels; buckets: band,
-    rep, label, centre."""
-    top = buckets.groupBy("band").agg(F.max(F.struct("centre", (-F.col("rep")).alias("minus"), "label")).alias("top"))
-    top = common.materialize(top.select("band", (-F.col("top.minus")).alias("hub"), F.col("top.label").alias("of")), "hubs")
-    pairs = buckets.join(top, "band").filter("label <> of")
-    return pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-
-
-def prefix_pairs(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across labels that can reach the threshold by their prefixes. held: rep, shingle, holders
-    (of shingles that several have); members: rep, label, n_shingles, alone.
-
-    A shingle that many members have in their prefix is dealt out by pairs of blocks of about BLOCK members."""
-    rows = held.join(members, "rep")
-    at = F.col("alone") + F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
-    rows = rows.withColumn("at", at).filter(F.col("at") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1)
-    rows = common.materialize(rows.select("shingle", "rep", "label", "n_shingles", "at"), "prefixes")
-    sizes = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    sizes = common.materialize(sizes.select("shingle", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "sizes")
-    rows = rows.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    names = ["rep", "label", "n_shingles", "at", "block"]
-    rows = rows.select("shingle", *names, F.explode(both).alias("cell")).select("shingle", "cell.i", "cell.j", *names)
-    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "rep")
-
-    def pairs_of(held: list[tuple], cell: tuple[int, int]) -> list[tuple[int, int]]:
-        rep, label, n, at, block = np.array(held).T
-        out, rest = [], n - at + 1
-        for k in range(len(held) - 1):
-            ok = (label[k + 1 :] != label[k]) & ((100 + percent) * np.minimum(rest[k], rest[k + 1 :]) >= percent * (n[k] + n[k + 1 :]))
-            if cell[0] != cell[1]:
-                ok &= block[k + 1 :] != block[k]
-            out += [(int(rep[k]), int(rep[i])) for i in np.flatnonzero(ok) + k + 1]
-        return out
+def deviations(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """rep, cluster, label, weight, off: each member's difference (sorted hashes) from what most of its cluster holds.
+
+    held: rep, shingle of members with others; members: rep, cluster, label, n_shingles. With n the set's size and d the
+    difference's, two members link if and only if they share at least (weight + weight') / (2 (100 + percent)) of their
+    differences, where weight = 2 percent n - (100 + percent) (held - d)."""
+    rows = common.materialize(held.select("rep", "shingle").join(members.select("rep", "cluster"), "rep"), "held")
+    size = rows.select("cluster", "rep").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
+    most = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("k")).join(size, "cluster").filter(2 * F.col("k") > F.col("m"))
+    usual = common.materialize(most.groupBy("cluster").agg(F.collect_set("shingle").alias("usual")), "usual")  # at most twice a mean set
+    own = common.materialize(rows.groupBy("rep").agg(F.collect_list("shingle").alias("own")), "own")
+    both = common.materialize(members.join(own, "rep"), "members").join(usual, "cluster", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    off = F.array_sort(F.concat(F.array_except("own", "usual"), F.array_except("usual", "own")))
+    both = both.withColumn("off", off)
+    weight = 2 * percent * F.col("n_shingles") - (100 + percent) * (F.size("own") - F.size("off"))
+    return both.select("rep", "cluster", "label", weight.cast("long").alias("weight"), "off")
+
+
+def spanning(weights: np.ndarray, offs: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Of members the fewest pairs (places) that link and join all components that links join, across labels; with
+    sides only links from one side to the other count."""
+    flat = np.concatenate(offs)
+    shingle, code = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(len(offs)), [len(o) for o in offs])
+    root = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, order = [], np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(shingle) + 1))
+    for a in range(len(offs)):
+        mine = code[of == a] if len(offs) < 64 else code[np.searchsorted(of, a) : np.searchsorted(of, a + 1)]
+        holders = np.concatenate([order[starts[c] : starts[c + 1]] for c in mine]) if len(mine) else order[:0]
+        shared = np.bincount(of[holders], minlength=len(offs))
+        linked = 2 * (100 + percent) * shared >= weights[a] + weights
+        linked &= labels != labels[a]
+        linked[: a + 1] = False
+        if sides is not None:
+            linked &= sides != sides[a]
+        for b in np.flatnonzero(linked).tolist():
+            x, y = find(int(labels[a])), find(int(labels[b]))
+            if x != y:
+                root[x] = y
+                out.append((a, b))
+    return out
+
+
+def joined(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, enough of them to join all components that links within clusters join; members as
+    `deviations` gives them. A pair that links shares one of each side's first differences, rarest first."""
+    least = common.materialize(members.groupBy("cluster").agg(F.min(F.struct("weight", "rep", "label")).alias("least")), "least")
+    rows = common.materialize(members.join(least, "cluster"), "weighed")
+    near = (F.col("weight") + F.col("least.weight") <= 0) & (F.col("label") != F.col("least.label"))
+    close = rows.filter(near).select(F.least("rep", "least.rep").alias("a"), F.greatest("rep", "least.rep").alias("b"))
+
+    unit = 2 * (100 + percent)
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least.weight")) / unit))
+    rows = rows.withColumn("first", F.size("off") - need + 1).filter("first > 0").select("rep", "cluster", "label", "weight", "off", "first")
+    each = rows.select("cluster", "rep", "first", F.explode("off").alias("shingle"))
+    rare = each.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("rep"))  # differences that nobody shares come first
+    shared = common.materialize(each.join(rare, ["cluster", "shingle"]).join(rows.select("rep", F.size("off").alias("size")), "rep"), "shared")
+    firsts = shared.withColumn("at", own + alone).filter("at <= first").select("cluster", "shingle", "rep")
+    firsts = common.materialize(firsts.join(rows.select("rep", "label", "weight", "off"), "rep"), "firsts")
+    sizes = firsts.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.sum(F.size("off")).alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("all") / BLOCK_SIZE)).cast("int")
+    sizes = common.materialize(sizes.select("cluster", "shingle", blocks.alias("blocks")), "sizes")
+    cells = firsts.join(sizes, ["cluster", "shingle"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    cells = cells.select("cluster", "shingle", F.explode(to).alias("cell"), "rep", "label", "weight", "block", "off").select("cluster", "shingle", "cell.i", "cell.j", "rep", "label", "weight", "block", "off")
+    cells = cells.repartition("cluster", "shingle", "i", "j").sortWithinPartitions("cluster", "shingle", "i", "j", "rep")
+
+    def pairs_of(cell: tuple, held: list[tuple]) -> list[tuple[int, int]]:
+        rep, label, weight, block = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
+        pairs = spanning(weight, [h[4] for h in held], label, block if cell[2] != cell[3] else None, percent)
+        return [(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held = None, []
         for b in batches:
             out = []
-            for shingle, i, j, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (shingle, i, j) != of:
-                    out += pairs_of(held, of[1:]) if len(held) > 1 else []
-                    of, held = (shingle, i, j), []
-                held.append(r)
+            keys = zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)
+            facts = zip(*(c.to_pylist() for c in b.columns[4:8]), strict=True)
+            for cell, fact, off in zip(keys, facts, b.column(8), strict=True):
+                if cell != of:
+                    out += pairs_of(of, held) if len(held) > 1 else []
+                    of, held = cell, []
+                held.append((*fact, off.values.to_numpy()))
             yield _batch(out, [pa.int64()] * 2, ["a", "b"])
         if len(held) > 1:
-            yield _batch(pairs_of(held, of[1:]), [pa.int64()] * 2, ["a", "b"])
+            yield _batch(pairs_of(of, held), [pa.int64()] * 2, ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    found = cells.mapInArrow(run, "a long, b long")
+    return close.unionByName(found).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -282,18 +334,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = shingled.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     held = common.materialize(shingled.join(several, "shingle"), "held")
     common.discard(shingled)
-    facts = held.groupBy("rep").agg(F.count("*").alias("shared"), F.sum(F.log("holders")).alias("weight")).join(classes.select("rep", "n_shingles"), "rep")
-    facts = facts.filter(100 * F.col("shared") >= percent * F.col("n_shingles"))
-    facts = common.materialize(facts.select("rep", "n_shingles", (F.col("n_shingles") - F.col("shared")).alias("alone"), (F.col("weight") / F.col("n_shingles")).alias("centre")), "facts")
-    open_ = common.materialize(across(common.materialize(open_.join(facts.select("rep", "centre"), "rep"), "viable")), "open")
-    spokes = common.materialize(central_pairs(open_).join(star, ["a", "b"], "left_anti"), "spokes")
-    labels = graph.extend(labels, common.materialize(verify(likely(spokes, classes, least), docs, percent), "links"))
-
-    open_ = across(common.materialize(named(open_.select("band", "rep")).select("band", "rep", "label"), "labelled"))
-    members = common.materialize(open_.select("rep", "label").distinct().join(facts.drop("centre"), "rep"), "members")
-    rest = prefix_pairs(held, members, percent).join(star.unionByName(spokes), ["a", "b"], "left_anti")
-    rest = common.materialize(rest, "rest")
-    labels = graph.extend(labels, common.materialize(verify(likely(rest, classes, least), docs, percent), "links"))
+    facts = held.groupBy("rep").agg(F.count("*").alias("shared")).join(classes.select("rep", "n_shingles"), "rep")
+    facts = common.materialize(facts.filter(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", "n_shingles"), "facts")
+    open_ = common.materialize(across(common.materialize(open_.join(facts.select("rep"), "rep"), "viable")), "open")
+    meet = open_.join(open_.groupBy("band").agg(F.min("rep").alias("first")), "band")
+    clusters = graph.components(common.materialize(meet.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "meet"))
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    members = common.materialize(open_.select("rep", "label").distinct().join(facts, "rep").join(clusters, "rep"), "members")
+    differing = common.materialize(deviations(held.join(members.select("rep"), "rep"), members, percent), "deviations")
+    labels = graph.extend(labels, common.materialize(joined(differing, percent), "links"))
     component = common.materialize(named(classes.select("set_key", "rep")).select("set_key", F.col("label").alias("component")), "named")
     out = sk.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
