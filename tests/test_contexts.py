@@ -77,7 +77,7 @@ def test_put_and_get(spark, held):
     assert sorted((x.pos, x.output[0]) for x in have.collect()) == [(k, 0.5 + k) for k in range(20)] and sorted(x.pos for x in lack.collect()) == list(range(20, 25))
     for other in (forecasts(spark, 5, seed=2), forecasts(spark, 5, model="n"), forecasts(spark, 5).withColumn("context", F.array(F.lit(9.0))), forecasts(spark, 5).withColumn("revision", F.lit("2"))):
         assert held.get(other.drop("output"))[0].count() == 0
-    near = forecasts(spark, 5).withColumn("context", F.transform("context", lambda x: x + 1e-12))  # the same 32-bit floats
+    near = forecasts(spark, 5).withColumn("context", F.transform("context", lambda x: x * (1 + 1e-12)))  # the same 32-bit floats
     assert held.get(near.drop("output"))[0].count() == 5
     assert held.put(forecasts(spark, 25)) and held.entries().count() == 25
 

@@ -69,6 +69,17 @@ def carry_shortfall(test: DataFrame) -> DataFrame:
     return test.withColumn("es_corr", -F.col("es") + (F.col("var_corr") - F.col("var_raw")))
 
 
+def shortfall_measures(alpha: float | Column) -> tuple[Column, ...]:
+    """Aggregates z2_raw, z2_corr, fz_raw and fz_corr of `carry_shortfall` rows: excess over the shortfall on violation days
+    relative to its mean size (0 without any), and the mean joint loss."""
+    out, r = [], F.col("r")
+    for s, v, e in (("raw", F.col("q"), F.col("es")), ("corr", -F.col("var_corr"), -F.col("es_corr"))):
+        hit = F.col(f"viol_{s}") == 1
+        out.append(F.coalesce(F.try_divide(F.sum(F.when(hit, r + F.abs(e))), F.sum(hit.cast("int")) * (F.avg(F.abs(e)) + 1e-12)), stats.d(0)).alias(f"z2_{s}"))
+        out.append(F.avg(stats.fz0(r, v, e, stats.level(alpha))).alias(f"fz_{s}"))
+    return tuple(out)
+
+
 def mixing_gap(parts: DataFrame, keys: tuple[str, ...] = PAIR, least: float = 0.01, most: float = 0.99) -> DataFrame:
     """keys, rho and gap: ceil(ln n / |ln |rho||) days between calibration and test, by which scores whose lag-one
     correlation is rho are close to independent. |rho| is held between `least` and `most`, so the gap is finite;

@@ -15,7 +15,7 @@ from vartide.operators import conformal, fit, forecast, inference, recalibrate
 #: Forecasters by name: returns, alpha, window -> path.
 FORECASTERS: dict[str, Callable[[DataFrame, float, int], DataFrame]] = {
     "hist_sim": lambda r, a, w: forecast.hist_sim(r, a, w),
-    "norm_roll": lambda r, a, w: forecast.rolling_normal(r, a, w).drop("es"),
+    "norm_roll": lambda r, a, w: forecast.rolling_normal(r, a, w),
     "ewma": lambda r, a, w: forecast.ewma(r, a, w),
     "gjr_garch": lambda r, a, w: fit.gjr_garch(r, a, w),
     "garch": lambda r, a, w: fit.gjr_garch(r, a, w, leverage=False),
@@ -50,9 +50,10 @@ def recalibrated(parts: DataFrame, alpha: float, recalibration: Recalibration) -
 
 def audit(
     returns: DataFrame, forecasts: DataFrame | None = None, forecaster: str | Callable | None = None, mode: str = "static", alpha: float = 0.01, split: float = 0.7, window: int = 250, warmup: int = 50,
-    recalibration: Recalibration | None = None,
+    recalibration: Recalibration | None = None, interval: bool = False, seed: int = 2026,
 ) -> DataFrame:
-    """One row per pair. Exactly one of `forecasts` (model, asset, date, q) and `forecaster` (a name, or a function
+    """One row per pair. Forecasts that carry a shortfall (es, negative) get Z2 and the joint loss before and after, the
+    shortfall moving with the Value-at-Risk; `interval` adds the bootstrap interval of a static shift, from `seed`. Exactly one of `forecasts` (model, asset, date, q) and `forecaster` (a name, or a function
     of returns, alpha, window); mode is static or rolling. With a forecaster, `recalibration` replaces the
     conformal shift: fitted on the calibration part, in rolling mode on the first `window` days."""
     if (forecasts is None) == (forecaster is None):
@@ -65,8 +66,18 @@ def audit(
         path, warmup = conformal.align(returns, forecasts), 0
     else:
         path = (FORECASTERS[forecaster] if isinstance(forecaster, str) else forecaster)(returns, alpha, window)
+    if interval and (mode != "static" or recalibration is not None):
+        raise ValueError("an interval belongs to the static shift")
+    if recalibration is None and mode == "static":
+        parts = conformal.split_paths(path, split, warmup)
+        test = conformal.apply_shift(parts, conformal.fit_static(parts, alpha))
+        if "es" in path.columns:
+            out = conformal.backtest(conformal.carry_shortfall(test), alpha, more=conformal.shortfall_measures(alpha))
+        else:
+            out = conformal.backtest(test, alpha)
+        return out.join(fit.bootstrap_ci(parts, alpha, seed=seed).select("model", "asset", "q_lo", "q_hi"), ["model", "asset"]) if interval else out
     if recalibration is None:
-        return conformal.static_audit(path, alpha, split, warmup) if mode == "static" else conformal.rolling_audit(path, alpha, window, warmup)
+        return conformal.rolling_audit(path, alpha, window, warmup)
     if mode == "static":
         parts = conformal.split_paths(path, split, warmup)
     else:
@@ -110,6 +121,7 @@ def audit_panel(returns: DataFrame, forecasters: list[str | Callable], alpha: fl
     path = None
     for f in forecasters:
         one = (FORECASTERS[f] if isinstance(f, str) else f)(returns, alpha, window)
+        one = one.drop("es")
         path = one if path is None else path.unionByName(one, allowMissingColumns=True)
     return conformal.static_audit(path, alpha, split)
 
