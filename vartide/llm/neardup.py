@@ -49,6 +49,8 @@ BASE, LIMIT = 1.02, 1200
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary"
 #: Members of a block of step 5, and differences that they have together.
 BLOCK, BLOCK_SIZE = 1024, 1 << 20
+#: Ids (8 bytes each) that are sent to all tasks; more are joined by a shuffle of the texts.
+FEW_MEMBERS = 2_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.random.default_rng(20).integers(1 << 62, 1 << 63, WORDS, np.uint64) | np.uint64(1)
@@ -203,7 +205,9 @@ def shingle_rows(members: DataFrame, docs: DataFrame) -> DataFrame:
                 s = shingles(text.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(s)], ["rep", "shingle"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").dropDuplicates(["rep"])
+    members = common.materialize(members, "asked")
+    few = members.count() <= FEW_MEMBERS  # then texts stay where they are until their readers are found
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(members) if few else members, "rep").dropDuplicates(["rep"])
     return texts.select("rep", "text").mapInArrow(run, "rep long, shingle long")
 
 
