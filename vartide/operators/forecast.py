@@ -75,13 +75,22 @@ def recursive_vol(series: DataFrame, decay: float = 0.94, keys: tuple[str, ...]
     return rows.select(*keys, "pos", "r", F.sqrt(F.greatest("_v", stats.d(1e-20))).alias("sigma"))
 
 
-def next_return(forecasts: DataFrame, returns: DataFrame) -> DataFrame:
+def next_return(forecasts: DataFrame, returns: DataFrame, days: int = 256) -> DataFrame:
     """Forward as-of join: each forecast with the first return strictly after its date (null if none).
 
-    Both sides meet in one window by asset, from late to early, so no pairs are made."""
+    Both sides meet in one window by asset and stretch of `days`, from late to early, so no pairs are made and one asset's
+    history spreads over tasks. Where a stretch has no later return, the first one of the next stretch that has any is
+    taken: one row a stretch, looked up over the stretches alone."""
+    stretch = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / days)
     a = forecasts.select("asset", F.col("date"), F.lit(1).alias("side"), F.struct(*forecasts.columns).alias("f"), F.lit(None).cast("double").alias("r"), F.lit(None).cast("date").alias("r_date"))
     b = returns.select("asset", F.col("date"), F.lit(0).alias("side"), F.lit(None).cast(a.schema["f"].dataType).alias("f"), "r", F.col("date").alias("r_date"))
+    both = a.unionByName(b).withColumn("_stretch", stretch)
     # latest first; on one date the forecast precedes the return, which is not strictly after it
-    w = Window.partitionBy("asset").orderBy(F.col("date").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("asset", "_stretch").orderBy(F.col("date").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = F.last(F.when(F.col("side") == 0, F.struct("r_date", "r")), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("next", ahead).filter("side = 1").select("f.*", F.col("next.r_date").alias("next_date"), F.col("next.r").alias("next_r"))
+    firsts = both.groupBy("asset", "_stretch").agg(F.min(F.when(F.col("side") == 0, F.struct("r_date", "r"))).alias("_own"))
+    after = Window.partitionBy("asset").orderBy("_stretch").rowsBetween(1, Window.unboundedFollowing)
+    later = firsts.select(F.col("asset").alias("_asset"), F.col("_stretch").alias("_at"), F.first("_own", ignorenulls=True).over(after).alias("_later"))
+    met = both.withColumn("_next", ahead).filter("side = 1").join(later, F.col("asset").eqNullSafe(F.col("_asset")) & F.col("_stretch").eqNullSafe(F.col("_at")), "left")
+    found = F.coalesce("_next", "_later")
+    return met.select("f.*", found["r_date"].alias("next_date"), found["r"].alias("next_r"))

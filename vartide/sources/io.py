@@ -94,26 +94,67 @@ def plausible_pairs(paths: DataFrame, most: float = 1.0) -> DataFrame:
 
 
 def register_price_source(spark: SparkSession) -> None:
-    """The data source `vartide_prices`: one partition per ticker, read from <folder>/<ticker>.csv (date, close).
-    It stands where a market-data service would be; there is no network here."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    """The data source `vartide_prices`: CSV files (date, close) under a folder, either <ticker>.csv or <ticker>/<year>.csv, a
+    partition each. It stands where a market-data service would be; there is no network here.
 
-    class Prices(DataSourceReader):
+    The folder may be any address that Arrow's file systems know (a path, file:, hdfs:, s3:...), as tasks open files through
+    them. Filters on asset and date decide which files are opened: other tickers' and other years' are not."""
+    from pyspark.sql import datasource
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+    def file_system(folder: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+    class Prices(datasource.DataSourceReader):
         def __init__(self, options):
-            self.folder, self.tickers = options["folder"], [t for t in options["tickers"].split(",") if t]
+            self.folder, self.wanted = options["folder"].rstrip("/"), None
+            if options.get("tickers"):
+                self.wanted = {t for t in options["tickers"].split(",") if t}
+            self.first, self.last = None, None
+
+        def pushFilters(self, filters):
+            for f in filters:
+                name, value = f.attribute[0], getattr(f, "value", None)
+                if name == "asset" and isinstance(f, datasource.EqualTo | datasource.In):
+                    these = {value} if isinstance(f, datasource.EqualTo) else set(value)
+                    self.wanted = these if self.wanted is None else self.wanted & these
+                elif name == "date" and value is not None:
+                    if isinstance(f, datasource.EqualTo | datasource.GreaterThan | datasource.GreaterThanOrEqual):
+                        self.first = value if self.first is None else max(self.first, value)
+                    if isinstance(f, datasource.EqualTo | datasource.LessThan | datasource.LessThanOrEqual):
+                        self.last = value if self.last is None else min(self.last, value)
+                yield f  # files are coarser than filters: Spark applies them again
 
         def partitions(self):
-            return [InputPartition(t) for t in self.tickers]
+            from pyarrow import fs
+
+            store, root = file_system(self.folder)
+            files = []
+            for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
+                ticker, _, year = info.path[len(root) :].strip("/").removesuffix(".csv").partition("/")
+                if info.type != fs.FileType.File or not info.path.endswith(".csv") or (self.wanted is not None and ticker not in self.wanted):
+                    continue
+                if year and ((self.first and int(year) < self.first.year) or (self.last and int(year) > self.last.year)):
+                    continue
+                files.append((ticker, info.path))
+            return [datasource.InputPartition(f) for f in sorted(files)]
 
         def read(self, partition):
             import csv
             import datetime
+            import io
 
-            with open(f"{self.folder}/{partition.value}.csv", newline="") as f:
-                for row in csv.DictReader(f):
-                    yield partition.value, datetime.date.fromisoformat(row["date"]), float(row["close"])
+            if partition is None or partition.value is None:  # no file is left
+                return
+            ticker, path = partition.value
+            with file_system(self.folder)[0].open_input_stream(path) as f:
+                for row in csv.DictReader(io.TextIOWrapper(f, newline="")):
+                    yield ticker, datetime.date.fromisoformat(row["date"]), float(row["close"])
 
-    class PriceSource(DataSource):
+    class PriceSource(datasource.DataSource):
         @classmethod
         def name(cls):
             return "vartide_prices"
