@@ -17,6 +17,7 @@ other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,9 +199,8 @@ LEVELS = sorted({priority for *_, priority, _ in RULES}, reverse=True)
 
 
 def words_of(text: str = "text") -> Column:
-    """The words joined by single spaces, with a space at either end; lower() also folds letters beyond
-    ASCII, of which none is part of a rule nor between words."""
-    bare = F.regexp_replace(F.lower(common.text_or_empty(text)), BETWEEN, " ")
+    """The words joined by single spaces, with a space at either end; A-Z in lower case, other letters as they are."""
+    bare = F.regexp_replace(F.translate(common.text_or_empty(text), string.ascii_uppercase, string.ascii_lowercase), BETWEEN, " ")
     return F.concat(F.lit(" "), F.trim(bare), F.lit(" "))
 
 
