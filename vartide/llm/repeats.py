@@ -15,7 +15,8 @@
 Places within a region are exact; a repeat longer than its regions appears as overlapping groups.
 Nothing is collected: bins, classes and places are tables; texts are joined by (doc_id, text hash).
 
-Defined cases: null text is empty; texts shorter than min_len have no repeats; a row that repeats
+Defined cases: null text is empty; texts shorter than min_len have no repeats; very long texts are hashed STEP bytes
+at a time and otherwise taken whole; of equal hashes in a window the leftmost is the anchor; a row that repeats
 another is another place of the same bytes; null doc_ids are kept (joined null-safe); extra columns
 are ignored; empty tables give empty results.
 """
