@@ -14,7 +14,7 @@ from vartide.plans import sql as S
 from vartide.plans.fitted import DAILY_SQL, LEVELS, _every_sample, _grids
 from vartide.plans.registry import ORACLE_SQL, Shape, query
 from vartide.plans.report import ALPHA, PAIR, WC, W
-from vartide.sources import panels
+from vartide.sources import panels, scratch
 
 ONE = f"CAST({ALPHA} AS DOUBLE)"
 
@@ -90,6 +90,7 @@ bz AS (SELECT *, x::DOUBLE / n AS pi, CASE WHEN x IN (0, n) THEN {S.binomial_two
 
 def baselines(parts: DataFrame, alpha: float = 0.01) -> DataFrame:
     """Each pair under each closed-form method: counts, exact-ended coverage test, binomial zone, score, width."""
+    parts = scratch.written(parts, "parts")  # each method reads them
     rows = recalibrate.apply(parts, recalibrate.fit_all(parts, alpha))
     qs = stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(alpha))
     g = rows.groupBy(*PAIR, "method").agg(F.count("*").alias("n"), F.sum("viol_corr").alias("x"), F.avg(F.abs("var_corr")).alias("width"), F.avg(qs).alias("qs"))

@@ -10,7 +10,7 @@ from vartide.functions import stats
 from vartide.operators import conformal, forecast, inference, recalibrate, returns
 from vartide.plans import sql as S
 from vartide.plans.registry import Shape, query
-from vartide.sources import panels
+from vartide.sources import panels, scratch
 
 W, ALPHA = 250, 0.01
 #: Panel C is shorter per asset.
@@ -467,11 +467,12 @@ def panel_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _losses(test: DataFrame) -> DataFrame:
-    return test.select("model", "asset", "pos", stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA)).alias("loss"))
+    """model, asset, pos, loss; written, as comparisons read it several times."""
+    return scratch.written(test.select("model", "asset", "pos", stats.pinball(F.col("r"), -F.col("var_corr"), stats.d(ALPHA)).alias("loss")), "losses")
 
 
 def _test_rows(spark: SparkSession, sf_dir: str, kind: str, window: int) -> DataFrame:
-    parts = conformal.split_paths(paths(spark, sf_dir, kind, ALPHA, window))
+    parts = scratch.written(conformal.split_paths(paths(spark, sf_dir, kind, ALPHA, window)), "parts")
     return conformal.apply_shift(parts, conformal.fit_static(parts, ALPHA))
 
 
