@@ -43,3 +43,8 @@ def test_a_higher_priority_inside_a_longer_match_stays(spark):
     d = spark.createDataFrame([(1, "under the terms of the gnu general public license version 3"), (2, "x")], "doc_id long, text string")
     found = {x.doc_id: (x.labels, x.score) for x in licenses.scan(d).collect()}
     assert found == {1: ("gpl", 0.99), 2: ("", 0.0)}
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    d = spark.createDataFrame([("MARK İX, MitÉ MIT",)], "text string")
+    assert d.select(licenses.words_of().alias("w")).first().w == " marK İx mitÉ mit "
