@@ -51,6 +51,8 @@ SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, registers binary"
 BLOCK, BLOCK_SIZE = 1024, 1 << 20
 #: Ids (8 bytes each) that are sent to all tasks; more are joined by a shuffle of the texts.
 FEW_MEMBERS = 2_000_000
+#: The same for rows of pairs (a, salt, node, role).
+FEW_NODES = 500_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.random.default_rng(20).integers(1 << 62, 1 << 63, WORDS, np.uint64) | np.uint64(1)
@@ -173,8 +175,10 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, salts: int = 64) ->
     b's text goes to a's, dealt over `salts` groups for each a; a group is read as a stream."""
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     nodes = dealt.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(dealt.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("role")))
+    nodes = common.materialize(nodes, "nodes")
+    few = nodes.count() <= FEW_NODES  # then only the texts of pairs move
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = texts.join(nodes, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "node").select("a", "salt", "role", "node", "text")
+    rows = texts.join(F.broadcast(nodes) if few else nodes, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "node").select("a", "salt", "role", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, mine = None, None
@@ -223,7 +227,9 @@ def deviations(held: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     held: rep, shingle of members with others; members: rep, cluster, label, n_shingles. With n the set's size and d the
     difference's, two members link if and only if they share at least (weight + weight') / (2 (100 + percent)) of their
     differences, where weight = 2 percent n - (100 + percent) (held - d)."""
-    rows = common.materialize(held.select("rep", "shingle").join(members.select("rep", "cluster"), "rep"), "held")
+    few = members.count() <= FEW_MEMBERS
+    clusters = members.select("rep", "cluster")
+    rows = common.materialize(held.select("rep", "shingle").join(F.broadcast(clusters) if few else clusters, "rep"), "held")
     size = rows.select("cluster", "rep").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
     most = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("k")).join(size, "cluster").filter(2 * F.col("k") > F.col("m"))
     usual = common.materialize(most.groupBy("cluster").agg(F.collect_set("shingle").alias("usual")), "usual")  # at most twice a mean set
@@ -345,7 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     clusters = graph.components(common.materialize(meet.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "meet"))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     members = common.materialize(open_.select("rep", "label").distinct().join(facts, "rep").join(clusters, "rep"), "members")
-    differing = common.materialize(deviations(held.join(members.select("rep"), "rep"), members, percent), "deviations")
+    differing = common.materialize(deviations(held, members, percent), "deviations")
     labels = graph.extend(labels, common.materialize(joined(differing, percent), "links"))
     component = common.materialize(named(classes.select("set_key", "rep")).select("set_key", F.col("label").alias("component")), "named")
     out = sk.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
