@@ -9,9 +9,10 @@ Decoding concatenates binary pieces: `decode_ids` does it for an array of ids.
 
 Whole texts are encoded by tasks that hold a dictionary of the CACHE_WORDS most frequent words of the
 corpus, folded and decoded that way (a fixed bound, sent to the executors once, as Arrow bytes). It only
-saves work: any other word is merged in place by the same rule over a heap (`merge_word`; also what keeps
-words of many thousand bytes, for which a fold that rebuilds its array is quadratic, in n log n). A text's
-ids and its decoded bytes are its words' one after the other. No text is ever shuffled.
+saves work: any other word is merged in its task by the same rule, the words of many texts at once, one merge
+of each in a round over arrays (`merge_words`); words over FOLD_BYTES go over a heap, which keeps those of many
+thousand bytes, for which a fold that rebuilds its array is quadratic, in n log n. A text's ids and its decoded
+bytes are its words' one after the other. No text is ever shuffled.
 
 Defined cases: null text is empty and has no ids; equal texts get equal ids; repeated rows repeat their
 result; ties of ranks go to the leftmost pair; any byte has an id, so every text round-trips; very long texts
@@ -30,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,10 @@ from vartide.llm import common
 
 CACHE_WORDS, FOLD_BYTES, SLOTS = 1 << 16, 64, 1 << 14
 
+#: Characters of texts, or new words in them, after which words are merged; characters of words that a task keeps
+#: beyond its dictionary, each word counted as ten more.
+CHUNK_CHARS, CHUNK_WORDS, KEPT_CHARS = 4_000_000, 1 << 17, 12_000_000
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a .tiktoken file: base64 of a token and its rank, one on each line."""
@@ -149,12 +155,77 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids that join, as first * (greatest id + 1) + second in order, and the ids that they become.
+    A last key that no pair has ends them, so that a search always finds a place."""
+    size, found = max(ranks.values()) + 1, {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
+                found[a * size + b] = rank
+    keys = np.array(sorted(found), np.int64)
+    return np.append(keys, size * size), np.array([*map(found.get, keys.tolist()), size], np.int32)
+
+
+def merge_words(words: list[bytes], ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray] | None = None) -> list[list[int]]:
+    """What `merge_word` gives for each word. A round takes all words that have `width` parts left, as the columns
+    of one array, and joins in each its pair of least rank, the leftmost of equals; words that have none are ready,
+    all others are one part shorter and meet the words that begin with that many bytes. pairs: `pair_ranks`."""
+    keys, joined = pair_ranks(ranks) if pairs is None else pairs
+    none, out = max(ranks.values()) + 1, [[ranks[w]] if w in ranks else None for w in words]
+    by_length: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        if out[k] is None and w:
+            by_length.setdefault(len(w), []).append(k)
+        elif not w:
+            out[k] = []
+    for n in [n for n in by_length if n > FOLD_BYTES]:
+        for k in by_length.pop(n):
+            out[k] = merge_long(words[k], ranks)
+    single = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * none + b
+        at = keys.searchsorted(key)
+        return np.where(keys[at] == key, joined[at], none).astype(np.int32)
+
+    def ready(which: np.ndarray, parts: np.ndarray) -> None:
+        for k, ids in zip(which.tolist(), parts.T.tolist(), strict=True):
+            out[k] = ids
+
+    of_bytes = rank(np.repeat(single, 256), np.tile(single, 256))
+    longest = max(by_length, default=1)
+    which, parts, found = np.zeros(0, np.int64), np.zeros((longest, 0), np.int32), np.zeros((longest - 1, 0), np.int32)
+    for width in range(longest, 1, -1):
+        if starting := by_length.get(width):
+            raw = np.frombuffer(b"".join([words[k] for k in starting]), np.uint8).reshape(-1, width).T
+            which = np.append(which, starting)
+            parts = np.concatenate([parts, single[raw]], 1)
+            found = np.concatenate([found, of_bytes[raw[:-1].astype(np.int32) * 256 + raw[1:]]], 1)
+        place = np.arange(width - 1, dtype=np.int32)[:, None]
+        least = (found * FOLD_BYTES + place).min(0)  # rank first, then place: below FOLD_BYTES in these words
+        go = least < none * FOLD_BYTES
+        if not go.all():
+            ready(which[~go], parts[:, ~go])
+            which, parts, found, least = which[go], parts[:, go], found[:, go], least[go]
+        least, i = np.divmod(least, FOLD_BYTES)
+        parts = np.where(place <= i, parts[:-1], parts[1:])
+        parts[i, np.arange(len(i))] = least
+        found = np.where(place[:-1] < i, found[:-1], found[1:])
+        (k,) = (i > 0).nonzero()
+        found[i[k] - 1, k] = rank(parts[i[k] - 1, k], least[k])
+        (k,) = (i < width - 2).nonzero()
+        found[i[k], k] = rank(least[k], parts[i[k] + 1, k])
+    ready(which, parts)
+    return out
+
+
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word (binary) and n over all texts, counted in tasks before they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, found = splitter(pattern), Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()).cast(pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
         for b in batches:
             for text in b.column(0):
                 found.update(split(text.as_py() or ""))
@@ -184,15 +255,17 @@ def _members(name: str, most: int) -> str:
 def splitter(pattern: str):
     """All matches of the pattern, as a function of a text. A `+` that ends an alternative is made possessive:
     nothing follows it that could take a character back, so the matches are the same and the engine keeps no
-    positions. Classes are written out for the standard engine, a short form for texts in ASCII; a pattern
-    with other properties than letters, numbers and white space goes to the `regex` module as it is."""
+    positions. Classes are written out for the standard engine, up to U+007F for texts in ASCII and else up to
+    U+FFFF, as it finds characters there by a table but walks through all ranges beyond. Texts with characters
+    beyond, and patterns with other properties than letters, numbers and white space, go to the `regex` module."""
     import re
 
     import regex
 
     pattern = re.sub(r"(?<=[\]}s])\+(?=\||$)", "++", pattern)
+    plain = regex.compile(pattern).findall
     if re.search(r"\\[pP](?!\{[LN]\})|\\[^pPsS]|\(\?(?![!=:])", pattern):
-        return regex.compile(pattern).findall
+        return plain
 
     def written(most: int) -> str:
         known = {k: _members(k, most) for k in (r"\s", r"\p{L}", r"\p{N}")}
@@ -200,28 +273,45 @@ def splitter(pattern: str):
         out = re.sub(r"\[[^\]]*\]", inside, pattern)
         return re.sub(r"(\\s|\\p\{[LN]\})|\\S", lambda m: f"[{known[m[1]]}]" if m[1] else f"[^{known[chr(92) + 's']}]", out)
 
-    short, full = re.compile(written(0x7F)).findall, re.compile(written(0x10FFFF)).findall
-    return lambda text: (short if text.isascii() else full)(text)
+    short, wide = re.compile(written(0x7F)).findall, re.compile(written(0xFFFF)).findall
+    beyond = lambda text: len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return lambda text: (short if text.isascii() else plain if beyond(text) else wide)(text)
 
 
 class Words(dict):
-    """For each word its ids as comma-joined decimals and the bytes that they decode to. Words that the given
-    ones (word, ids, decoded) lack are merged, and kept up to a bound."""
+    """For each word its place in `ids` (comma-joined decimals) and `decoded` (the bytes that they decode to).
+    Words that the given ones (word, ids, decoded) lack get the next places; `settle` merges them."""
 
-    def __init__(self, known: pa.Table, ranks: dict[bytes, int], most: int = 600_000):
-        super().__init__(zip((w.decode() for w in known["word"].to_pylist()), zip(known["ids"].to_pylist(), known["decoded"].to_pylist(), strict=True), strict=True))
-        self.ranks, self.room = ranks, most
+    def __init__(self, known: pa.Table, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray], most: int):
+        super().__init__(zip(known["word"].cast(pa.string()).to_pylist(), range(len(known)), strict=True))
+        self.ids, self.decoded, self.given = known["ids"].to_pylist(), known["decoded"].to_pylist(), len(known)
+        self.ranks, self.pairs, self.most, self.chars, self.new = ranks, pairs, most, 0, []
         self.pieces, self.names = [b""] * (max(ranks.values()) + 1), [str(k) for k in range(max(ranks.values()) + 1)]
         for token, rank in ranks.items():
             self.pieces[rank] = token
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
-        ids = merge_word(word.encode(), self.ranks)
-        found = ",".join([self.names[i] for i in ids]), b"".join([self.pieces[i] for i in ids])
-        if self.room and len(word) < 100:
-            self[word] = found
-            self.room -= 1
-        return found
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        at = self[word] = len(self)
+        return at
+
+    def settle(self) -> None:
+        """Merge the words met since the last call."""
+        pieces, names = self.pieces, self.names
+        for at in range(0, len(self.new), 1 << 15):
+            for ids in merge_words([w.encode() for w in self.new[at : at + (1 << 15)]], self.ranks, self.pairs):
+                self.ids.append(",".join([names[i] for i in ids]))
+                self.decoded.append(b"".join([pieces[i] for i in ids]))
+        self.chars += sum(map(len, self.new)) + 10 * len(self.new)
+        self.new.clear()
+
+    def forget(self) -> None:
+        """Once merged words have over `most` characters (ten more for each), keep the given ones alone. Places of others end here."""
+        if self.chars > self.most:
+            while len(self) > self.given:
+                self.popitem()
+            del self.ids[self.given :], self.decoded[self.given :]
+            self.chars = 0
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -268,22 +358,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, known: pa.Tab
     with pa.ipc.new_stream(sink, known.schema) as writer:
         writer.write_table(known)
     raw = sink.getvalue().to_pybytes()
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, raw))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks), raw))
+    chunk, kept = CHUNK_CHARS, KEPT_CHARS
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, raw = shared.value
-        split, words = splitter(pattern), Words(pa.ipc.open_stream(raw).read_all(), ranks)
-        of = words.__getitem__
+        ranks, pairs, raw = shared.value
+        split, words = splitter(pattern), Words(pa.ipc.open_stream(raw).read_all(), ranks, pairs, kept)
+        of, ids, decoded = words.__getitem__, words.ids, words.decoded
+
+        def rows_of(texts: list[tuple[int, list[int]]]) -> Iterator[tuple]:
+            words.settle()
+            for doc_id, found in texts:
+                said = ",".join([ids[k] for k in found])
+                back = hashlib.sha256(b"".join([decoded[k] for k in found])).hexdigest()
+                n = said.count(",") + 1 if said else 0
+                yield doc_id, n, hashlib.sha256(said.encode()).hexdigest(), back, *[list(map(int, said.split(","))) if n else []] * with_ids
+            words.forget()
+
         for b in batches:
-            rows = []
+            rows, texts, chars = [], [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                found = list(map(of, split(text.as_py() or "")))
-                said = ",".join([x for x, _ in found])
-                back = hashlib.sha256(b"".join([x for _, x in found])).hexdigest()
-                n = said.count(",") + 1 if said else 0
-                rows.append((doc_id, n, hashlib.sha256(said.encode()).hexdigest(), back, *[list(map(int, said.split(","))) if n else []] * with_ids))
+                text = text.as_py() or ""
+                texts.append((doc_id, list(map(of, split(text)))))
+                chars += len(text)
+                if chars > chunk or len(words.new) > CHUNK_WORDS:
+                    rows.extend(rows_of(texts))
+                    texts, chars = [], 0
+            rows.extend(rows_of(texts))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: len(names)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
